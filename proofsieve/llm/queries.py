@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofsieve.llm import bpe, mixing, secrets, simhash, toxicity
+from proofsieve.llm import bpe, mixing, secrets, simhash, substring, toxicity
 from proofsieve.llm.shared import table
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -31,5 +35,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op4_toxicity": op4_toxicity, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op9_secrets": op9_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring": op1_substring, "op2_bpe": op2_bpe, "op4_toxicity": op4_toxicity, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op9_secrets": op9_secrets}
 ORACLE_SQL: dict[str, str] = {}
