@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofsieve.llm import bpe, mixing, secrets, simhash, substring, toxicity
+from proofsieve.llm import bpe, mixing, ngrams, secrets, simhash, substring, toxicity
 from proofsieve.llm.shared import table
 
 
@@ -35,5 +35,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring": op1_substring, "op2_bpe": op2_bpe, "op4_toxicity": op4_toxicity, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op9_secrets": op9_secrets}
+def op10_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring": op1_substring, "op2_bpe": op2_bpe, "op4_toxicity": op4_toxicity, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op9_secrets": op9_secrets, "op10_ngrams": op10_ngrams}
 ORACLE_SQL: dict[str, str] = {}
