@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofsieve.llm import bpe, mixing, ngrams, secrets, simhash, substring, toxicity
+from proofsieve.llm import bpe, ego, mixing, ngrams, rabitq, secrets, simhash, substring, toxicity
 from proofsieve.llm.shared import table
 
 
@@ -19,10 +19,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -39,5 +47,5 @@ def op10_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring": op1_substring, "op2_bpe": op2_bpe, "op4_toxicity": op4_toxicity, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op9_secrets": op9_secrets, "op10_ngrams": op10_ngrams}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring": op1_substring, "op2_bpe": op2_bpe, "op3_ego_join": op3_ego_join, "op4_toxicity": op4_toxicity, "op5_rabitq": op5_rabitq, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op9_secrets": op9_secrets, "op10_ngrams": op10_ngrams}
 ORACLE_SQL: dict[str, str] = {}
