@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofsieve.llm import bpe, ego, mixing, ngrams, rabitq, secrets, simhash, substring, toxicity
+from proofsieve.llm import bpe, ego, licenses, mixing, ngrams, rabitq, secrets, simhash, substring, toxicity
 from proofsieve.llm.shared import table
 
 
@@ -39,6 +39,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring": op1_substring, "op2_bpe": op2_bpe, "op3_ego_join": op3_ego_join, "op4_toxicity": op4_toxicity, "op5_rabitq": op5_rabitq, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op9_secrets": op9_secrets, "op10_ngrams": op10_ngrams}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring": op1_substring, "op2_bpe": op2_bpe, "op3_ego_join": op3_ego_join, "op4_toxicity": op4_toxicity, "op5_rabitq": op5_rabitq, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op8_licenses": op8_licenses, "op9_secrets": op9_secrets, "op10_ngrams": op10_ngrams}
+ORACLE_SQL: dict[str, str] = {"op8_licenses": licenses.oracle_sql()}
