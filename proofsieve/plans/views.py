@@ -109,13 +109,13 @@ sections AS (SELECT document_id, section_key, content[1:50000] AS content FROM (
 def memos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's assistant turns as one memo: sentences of the turn with hints, numbers and citations by rule."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    tag = F.expr("array(' revenue [1].', ' grew 12% [2].', ' risk $1,200 [3] [1].', '.', ' margin 44% [9].')[(conv_id + turn) % 5]")
+    tag = F.expr("array(' Total revenue of all products grew [1].', ' Segment sales demand grew 12% [2].', ' Market risk stands near $1,200 exposure [3] [1].', ' Cash flow and inventory growth.', ' Gross margin reached 44% of sales [9].')[(conv_id + turn) % 5]")
     text = F.concat(F.col("text"), tag)
     made = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", text.alias("x")))), lambda r: r["x"]), "\n").alias("text"))
     return made.select(F.col("conv_id").alias("memo_id"), "text")
 
 
-MEMOS = """memos AS (SELECT conv_id AS memo_id, string_agg(text || [' revenue [1].', ' grew 12% [2].', ' risk $1,200 [3] [1].', '.', ' margin 44% [9].'][(conv_id + turn) % 5 + 1], chr(10) ORDER BY turn, text) AS text
+MEMOS = """memos AS (SELECT conv_id AS memo_id, string_agg(text || [' Total revenue of all products grew [1].', ' Segment sales demand grew 12% [2].', ' Market risk stands near $1,200 exposure [3] [1].', ' Cash flow and inventory growth.', ' Gross margin reached 44% of sales [9].'][(conv_id + turn) % 5 + 1], chr(10) ORDER BY turn, text) AS text
   FROM conversations WHERE role = 'assistant' GROUP BY conv_id)"""
 
 
@@ -124,9 +124,9 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("memo_id"), n.alias("index"), F.concat_ws(" ", "text", F.expr("array('12% revenue grew', 'risk $1200', 'margin')[(conv_id + turn) % 3]")).alias("text"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("memo_id"), n.alias("index"), F.concat_ws(" ", "text", F.expr("array('segment sales grew 12% on demand', 'market risk exposure of $1200', 'total revenue products')[(conv_id + turn) % 3]")).alias("text"))
     return rows.where(F.col("index") <= 3)
 
 
 EVIDENCE = """evidence AS (SELECT memo_id, i AS "index", text FROM (SELECT conv_id AS memo_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i,
-  text || ' ' || ['12% revenue grew', 'risk $1200', 'margin'][(conv_id + turn) % 3 + 1] AS text FROM conversations WHERE role = 'user') WHERE i <= 3)"""
+  text || ' ' || ['segment sales grew 12% on demand', 'market risk exposure of $1200', 'total revenue products'][(conv_id + turn) % 3 + 1] AS text FROM conversations WHERE role = 'user') WHERE i <= 3)"""

@@ -52,7 +52,7 @@ def articles(raw: DataFrame, most: int = 500) -> DataFrame:
 def or_else(*columns: Column | str) -> Column:
     """The first value that isn't null, 0 or ''."""
     pick = [F.col(c) if isinstance(c, str) else c for c in columns]
-    return F.coalesce(*[F.when((c.cast("string") != "") & F.coalesce(c.cast("double") != 0, F.lit(True)), c) for c in pick])
+    return F.coalesce(*[F.when((c.cast("string") != "") & F.coalesce(c.try_cast("double") != 0, F.lit(True)), c) for c in pick])
 
 
 def quotes(raw: DataFrame) -> DataFrame:
