@@ -13,11 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofsieve.llm.shared import stored
+from proofsieve.llm.shared import fresh, stored
 
 #: No document is taken more often than this.
 MOST = 3
-#: Words that the dynamic programming fits exactly; it holds a few arrays of this length.
+#: Words that the dynamic programming fits; it holds two arrays of this length and that of the longest document.
 DP_WORDS = 1 << 16
 #: Documents of one source and size that are ranked together.
 RANKED = 5_000
@@ -25,48 +25,51 @@ SEED = 7
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each size to take, at most ``counts``, for the largest sum up to ``budget``."""
-    reached, by = np.zeros(budget + 1, bool), np.full(budget + 1, -1)
+    """How many of each size to take, at most ``counts``, for the sum nearest to ``budget``, the smaller one of two."""
+    most = budget + int(sizes.max(initial=0))
+    reached, by = np.zeros(most + 1, bool), np.full(most + 1, -1)
     reached[0] = True
     for k, (size, count) in enumerate(zip(sizes.tolist(), counts.tolist(), strict=True)):
         if reached[budget]:
             break
-        if size > budget:
-            continue
         front = np.flatnonzero(reached)
         for _ in range(count):
-            front = front[front <= budget - size] + size
+            front = front[front <= most - size] + size
             front = front[~reached[front]]
             if not len(front):
                 break
             reached[front] = True
             by[front] = k
-    out, at = np.zeros(len(sizes), np.int64), int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    out, at = np.zeros(len(sizes), np.int64), int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         out[by[at]] += 1
         at -= int(sizes[by[at]])
     return out
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, target: float, seed: int = SEED, dp_words: int = DP_WORDS) -> tuple[int, np.ndarray]:
-    """(whole passes, documents of each size to take once more) for a target of words."""
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, target: float, seed: int = SEED, dp_words: int = DP_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(how often to take all documents of each size, how many of them to take once more) for a target of words."""
     total = int((sizes * counts).sum())
     passes = min(MOST, int(target // total))
-    rest = round(target) - passes * total
-    if passes == MOST or rest <= 0:
-        return passes, np.zeros(len(sizes), np.int64)
-    extra = np.minimum(counts, np.floor(counts * (rest / total)).astype(np.int64))
-    rest -= int((sizes * extra).sum())
-    order = np.random.default_rng(seed).permutation(len(sizes))
-    for k in order.tolist():
-        if rest <= dp_words:
-            break
-        if sizes[k] <= rest and extra[k] < counts[k]:
-            extra[k] += 1
-            rest -= int(sizes[k])
-    rest = max(0, min(rest, dp_words))
-    extra[order] += knapsack(sizes[order], (counts - extra)[order], rest)
-    return passes, extra
+    rest = budget = round(target) - passes * total
+    extra, most = np.zeros(len(sizes), np.int64), counts * (MOST - passes)
+    if passes < MOST and budget > 0:
+        extra = np.floor(counts * (budget / total)).astype(np.int64)
+        rest -= int((sizes * extra).sum())
+        order = np.random.default_rng(seed).permutation(len(sizes))
+        for k in order.tolist():
+            if rest <= dp_words:
+                break
+            if sizes[k] <= rest and extra[k] < counts[k]:
+                extra[k] += 1
+                rest -= int(sizes[k])
+        extra[order] += knapsack(sizes[order], (most - extra)[order], max(0, min(rest, dp_words)))
+        if budget <= dp_words and abs(budget - int((sizes * extra).sum())) > 1:  # a source of a few documents: all of the budget is fitted
+            every = np.zeros_like(extra)
+            every[order] = knapsack(sizes[order], most[order], budget)
+            extra = min(extra, every, key=lambda x: abs(budget - int((sizes * x).sum())))
+    return passes + extra // counts, extra % counts
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -133,11 +136,11 @@ def mixture(docs: DataFrame) -> DataFrame:
 
     Rows that share id, source and size are told apart by their place among these, in the order of the text.
     """
-    row = F.xxhash64("doc_id", "source", "__size")
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
-    nth = lambda *order: F.row_number().over(Window.partitionBy("__row").orderBy(*order))
-    plan = copies(docs).withColumnRenamed("size", "__size").withColumn("__row", row)
-    plan = plan.withColumn("__nth", nth("doc_id", "source", "__size", "copies")).where("copies > 0").select("__row", "__nth", "copies")
-    own = docs.withColumn("__size", size).withColumn("__row", row).withColumn("__nth", nth("doc_id", "source", "__size", "text"))
-    repeated = own.hint("merge").join(plan.withColumnRenamed("copies", "__copies").hint("merge"), ["__row", "__nth"])
-    return repeated.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    size, row, place, times, copy = (fresh(n, docs.columns) for n in ("size", "row", "nth", "copies", "copy"))
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+    nth = lambda *order: F.row_number().over(Window.partitionBy(row).orderBy(*order))
+    plan = copies(docs).withColumn(row, F.xxhash64("doc_id", "source", "size"))
+    plan = plan.withColumn(place, nth("doc_id", "source", "size", "copies")).where("copies > 0").select(row, place, F.col("copies").alias(times))
+    own = docs.withColumn(size, words).withColumn(row, F.xxhash64("doc_id", "source", size)).withColumn(place, nth("doc_id", "source", size, "text"))
+    repeated = own.hint("merge").join(plan.hint("merge"), [row, place])
+    return repeated.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)

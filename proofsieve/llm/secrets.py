@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofsieve.llm.shared import per_text
+from proofsieve.llm.shared import fresh, per_text
 
 #: Kinds in the order of the report: base patterns, literals by the target's name, literals that reach one through a constant.
 BASE, KINDS = ("assign", "access", "hex"), ("assign", "access", "hex", "named", "constant")
@@ -146,7 +146,7 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every span in ``text`` replaced by ``mark`` (spans that overlap count as one) and n_chars, if
     there is one, made to fit. Rows without spans stay as they are, null texts included."""
-    columns = docs.columns
+    columns, name = docs.columns, fresh("redacted", docs.columns)
 
     def work(texts: list[str]) -> list[pa.Array]:
         out = []
@@ -159,8 +159,8 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
             out.append("".join([*parts, text[done:]]) if found else None)
         return [pa.array(out, pa.string())]
 
-    done = per_text(docs, "text", [("__redacted", "string")], lambda: work, columns)
-    changed = done.withColumn("text", F.coalesce("__redacted", "text"))
+    done = per_text(docs, "text", [(name, "string")], lambda: work, columns)
+    changed = done.withColumn("text", F.coalesce(name, "text"))
     if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("__redacted").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(F.col(name).isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return changed.select(*columns)

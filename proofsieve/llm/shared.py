@@ -68,6 +68,14 @@ def by_bytes(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores ahead until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def per_text(
     df: DataFrame, column: str, fields: list[tuple[str, str]], make: Callable[[], Callable[[list[str]], list[pa.Array]]],
     keep: list[str], most: int = 4 << 20,
@@ -77,14 +85,13 @@ def per_text(
     ``make`` runs once for each task and returns the function from a list of texts (null: empty) to one
     Arrow array a field. It gets at most ``most`` bytes of text at a time, whole texts always.
     """
-    columns = [*keep, "__text"]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias(fresh("text", keep)))
     schema = ", ".join([*(f"`{c}` {dict(source.dtypes)[c]}" for c in keep), *(f"{n} {t}" for n, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = batch.column(columns.index("__text"))
+            texts = batch.column(len(keep))
             for start, end in by_bytes(texts, most):
                 part = [x if x is not None else "" for x in texts.slice(start, end - start).to_pylist()]
                 own = [batch.column(i).slice(start, end - start) for i in range(len(keep))]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsieve.llm.components import components
-from proofsieve.llm.shared import per_text, stored
+from proofsieve.llm.shared import fresh, per_text, stored
 
 BITS = 64
 
@@ -63,8 +63,9 @@ def near_pairs(classes: DataFrame, most: int = 2, segments: int = 2) -> DataFram
         radius, width = (a if k <= rest else a - 1), high - low
         if radius < 0:
             continue
-        value, segment = F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1), F.lit(k).alias("segment")
-        masks = F.array([F.lit(m).cast("bigint") for m in balls(width, radius)])
+        value, segment = F.shiftrightunsigned("fp", low), F.lit(k).alias("segment")
+        value = value.bitwiseAND((1 << width) - 1) if high < BITS else value  # the last segment has no bits above it
+        masks = F.array([F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("bigint") for m in balls(width, radius)])
         probes.append(classes.withColumn("own", value).select(segment, F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"), "fp", "rep"))
         entries.append(F.struct(segment, value.alias("value")))
     table = classes.select(F.explode(F.array(entries)).alias("x"), F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
@@ -102,5 +103,6 @@ def representatives(docs: DataFrame, **settings: int) -> DataFrame:
     the one with the smallest text; and all rows without an id."""
     kept = near_duplicates(docs, **settings).where("doc_id = component_id").select("doc_id").distinct()
     own = docs.where("doc_id is not null").hint("merge").join(kept.hint("merge"), "doc_id", "left_semi")
-    first = own.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__nth = 1").drop("__nth")
+    nth = fresh("nth", docs.columns)
+    first = own.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(nth) == 1)
     return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofsieve.llm.shared import by_bytes, byte_view, stored
+from proofsieve.llm.shared import by_bytes, byte_view, fresh, stored
 from proofsieve.llm.words import LETTER, Hasher
 
 SEED = 4
+#: A fit takes this many steps at least, however few its rows.
+STEPS = 1000
 
 
 @dataclass
@@ -97,7 +99,7 @@ def fit_weights(y: np.ndarray, rows: np.ndarray, terms: np.ndarray, n_terms: int
     w, v = np.zeros(n_terms), rng.normal(0, 0.05, (n_terms, factors))
     gw, gv, gb = np.full(n_terms, 1e-2), np.full((n_terms, factors), 1e-2), 1e-2
     ends = np.searchsorted(rows, np.arange(n + 1))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * batch // n))):
         for part in np.array_split(rng.permutation(n), max(1, n // batch)):
             sizes = ends[part + 1] - ends[part]
             row = np.repeat(np.arange(len(part)), sizes)
@@ -123,13 +125,13 @@ def fit_weights(y: np.ndarray, rows: np.ndarray, terms: np.ndarray, n_terms: int
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, terms: int = 256, max_rows: int = 40_000, least_rows: int = 5,
+    docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, terms: int = 256, max_rows: int = 40_000, least_rows: int = 5, least_chi: float = 15.0,
     factors: int = 4, epochs: int = 15, rate: float = 0.3, decay: float = 1e-4,
 ) -> Machine:
     """The machine for ``labels`` (doc_id, toxic), from the rows whose crc32(doc_id as text) mod 5 is not 0.
 
     A doc_id labelled twice counts as toxic if any of its labels is 1; null ids and null labels are left out. Buckets in
-    under ``least_rows`` training rows are not used. Without training rows every text scores 0.25.
+    under ``least_rows`` training rows, or with a chi-square under ``least_chi``, are not used. Without training rows every text scores 0.25.
     """
     train = labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     train = train.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
@@ -143,7 +145,7 @@ def fit(
     # Chi-square of bucket and label, with the table's cells a, b / c, d.
     a, both = F.col("n_toxic").cast("double"), F.col("n").cast("double")
     chi = n * F.pow(a * n - both * toxic, 2) / F.greatest(both * (n - both) * toxic * (n - toxic), F.lit(1.0))
-    best = stats.where(F.col("bucket") >= 0).where(F.col("n") >= least_rows).orderBy(chi.desc(), "bucket").limit(terms)
+    best = stats.where(F.col("bucket") >= 0).where((F.col("n") >= least_rows) & (chi >= least_chi)).orderBy(chi.desc(), "bucket").limit(terms)
     chosen = np.array(sorted(r.bucket for r in best.collect()), np.int64)
     place[chosen] = np.arange(len(chosen), dtype=np.int32)
     sample = rows
@@ -163,10 +165,10 @@ def fit(
     return Machine(place, *fit_weights(y, row, flat, max(1, len(chosen)), factors, epochs, rate, decay))
 
 
-def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``score``, 0 to 1, for each row; null and empty texts score by the bias alone."""
+def score(docs: DataFrame, machine: Machine, keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` columns and the score as ``name``, 0 to 1, for each row; null and empty texts score by the bias alone."""
     dtypes = dict(docs.dtypes)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(fresh("text", keep)))
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     buckets = len(machine.place)
 
@@ -179,9 +181,9 @@ def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
                 terms = own.place[terms]
                 there = terms >= 0
                 out = sigmoid(own.raw(rows[there], terms[there], b - a))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), pa.array(out)], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), pa.array(out)], names=[*keep, name])
 
-    return source.mapInArrow(run, ", ".join([*(f"`{c}` {dtypes[c]}" for c in keep), "score double"]))
+    return source.mapInArrow(run, ", ".join([*(f"`{c}` {dtypes[c]}" for c in keep), f"`{name}` double"]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,4 +195,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score under 0.5, with all their columns."""
-    return score(docs, fit(docs, labels), docs.columns).where("score < 0.5").select(*docs.columns)
+    name = fresh("score", docs.columns)
+    return score(docs, fit(docs, labels), docs.columns, name).where(F.col(name) < 0.5).select(*docs.columns)
