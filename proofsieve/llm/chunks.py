@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofsieve.llm.shared import small_batches
+
 #: Bytes of text in a chunk; a text that is longer is a chunk's share by itself.
 CHUNK = 8 << 20
 
@@ -24,7 +26,7 @@ def dealt(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     n = max(math.ceil(total / chunk_bytes), 3 * docs.sparkSession.sparkContext.defaultParallelism)
     text = F.coalesce(F.col(text_column), F.lit(""))
     chunk = F.pmod(F.xxhash64(F.col(id_column), text), F.lit(n)).cast("int")
-    return docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), chunk.alias("chunk")), n
+    return small_batches(docs).select(F.col(id_column).alias("doc_id"), text.alias("text"), chunk.alias("chunk")), n
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:

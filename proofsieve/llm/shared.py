@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: space and the five control characters from tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch that Spark sends to Python.
+BATCH = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,6 +70,15 @@ def by_bytes(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends Python at most BATCH bytes at a time. Whole texts go both ways, each worker and its
+    executor hold a few batches of them, and Spark's own limit of 64 MB is too much for that."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("b")) > BATCH:
+        conf.set(name, f"{BATCH}b")
+    return df
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, with underscores ahead until no column has it in any case."""
     taken = {c.lower() for c in columns}
@@ -97,4 +108,4 @@ def per_text(
                 own = [batch.column(i).slice(start, end - start) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*own, *work(part)], names=[*keep, *(n for n, _ in fields)])
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)

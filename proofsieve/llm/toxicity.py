@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofsieve.llm.shared import by_bytes, byte_view, fresh, stored
+from proofsieve.llm.shared import by_bytes, byte_view, fresh, small_batches, stored
 from proofsieve.llm.words import LETTER, Hasher
 
 SEED = 4
@@ -71,7 +71,7 @@ def features(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
                 found = pa.array([terms[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), found], names=[key, "terms"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return small_batches(docs.select(key, text)).mapInArrow(run, schema)
 
 
 def counts(rows: DataFrame, buckets: int) -> DataFrame:
@@ -183,7 +183,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], name: str = "score
                 out = sigmoid(own.raw(rows[there], terms[there], b - a))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), pa.array(out)], names=[*keep, name])
 
-    return source.mapInArrow(run, ", ".join([*(f"`{c}` {dtypes[c]}" for c in keep), f"`{name}` double"]))
+    return small_batches(source).mapInArrow(run, ", ".join([*(f"`{c}` {dtypes[c]}" for c in keep), f"`{name}` double"]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
