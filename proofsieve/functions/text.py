@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from proofsieve.functions.terms import ALIASES, CLAIM_HINTS, SECTIONS, STOP_WORDS
 
 SPACE = r"[ \t\r\n\f]"
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&rsquo;", "’"), ("&copy;", "©"), ("&amp;", "&")]
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&rsquo;", "’"), ("&copy;", "©"), ("&amp;", "&")]
 #: Headings of the sections that are looked for, with the code that marks them.
 MARKERS = [("business", r"Item\s*1[.\s]+Business"), ("risk_factors", r"Item\s*1A[.\s]+Risk\s*Factors"), ("md&a", r"Item\s*7[.\s]+Management"), ("market_risk", r"Item\s*7A[.\s]+Quantitative")]
 #: Stands before a marked heading; no text of a filing has it.

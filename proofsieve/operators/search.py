@@ -127,7 +127,7 @@ def section_intent(queries: DataFrame, max_sections: int = 3) -> DataFrame:
     scores = F.map_from_entries(F.transform("ranked", lambda x: F.struct(x["k"], F.round(-x["s"], 4))))
     return queries.select("query_id").join(out, "query_id", "left").select(
         "query_id", F.coalesce(F.slice(F.transform("ranked", lambda x: x["k"]), 1, max_sections), empty).alias("target_sections"),
-        F.coalesce(F.round(F.least(F.lit(0.95), F.col("best") / (F.col("best") + 2)), 4), F.lit(0.0)).alias("confidence"),
+        F.when(F.col("best") > 0, F.round(F.least(F.lit(0.95), F.col("best") / (F.col("best") + 2)), 4)).otherwise(0.0).alias("confidence"),
         F.coalesce(F.transform("terms", lambda x: x["term"]), empty).alias("matched_terms"), F.coalesce(scores, F.create_map().cast("map<string,double>")).alias("section_scores"),
     )
 

@@ -22,7 +22,7 @@ ihit AS (SELECT query_id, section_key, term, token, CASE len(string_split(token,
 iper AS (SELECT query_id, section_key, sum(w) AS score FROM ihit GROUP BY 1, 2),
 isec AS (SELECT query_id, list(section_key ORDER BY score DESC, section_key)[1:3] AS target_sections, max(score) AS best FROM iper GROUP BY 1),
 iterm AS (SELECT query_id, list(term ORDER BY token, term) AS matched_terms, list(token ORDER BY token, term) AS matched_tokens FROM (SELECT DISTINCT query_id, term, token FROM ihit) GROUP BY 1),
-intent AS (SELECT q.query_id, coalesce(target_sections, []) AS target_sections, coalesce(round(least(0.95, best / (best + 2)), 4), 0.0)::DOUBLE AS confidence, coalesce(matched_terms, []) AS matched_terms, coalesce(matched_tokens, []) AS matched_tokens
+intent AS (SELECT q.query_id, coalesce(target_sections, []) AS target_sections, CASE WHEN best > 0 THEN round(least(0.95, best / (best + 2)), 4) ELSE 0.0 END::DOUBLE AS confidence, coalesce(matched_terms, []) AS matched_terms, coalesce(matched_tokens, []) AS matched_tokens
   FROM {queries} q LEFT JOIN isec USING (query_id) LEFT JOIN iterm USING (query_id))"""
 
 
