@@ -81,6 +81,29 @@ def test_substring_dedup(spark, odd, corpus):
     assert substring.report(odd.limit(0)).count() == 0
 
 
+def test_repeat_lengths(spark, odd, corpus):
+    docs = {}
+    for i, t, _ in corpus:
+        if i is not None:
+            docs.setdefault(i, []).append(words(t))
+    want, length = {}, 10
+    while True:
+        where = defaultdict(set)
+        for i, texts in docs.items():
+            for w in texts:
+                for p in range(len(w) - length + 1):
+                    where[tuple(w[p : p + length])].add(i)
+        level = set().union(*[s for s in where.values() if len(s) > 1])
+        if not level:
+            break
+        want |= dict.fromkeys(level, length)
+        length *= 2
+    for chunk_bytes in (2_000, 1 << 20):
+        assert dict(substring.repeat_lengths(odd, 10, chunk_bytes=chunk_bytes).collect()) == want
+    assert max(want.values()) == 160
+    assert substring.repeat_lengths(odd.limit(0)).count() == 0
+
+
 def test_bpe_is_that_of_the_library(spark, odd, corpus):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
     got = bpe.encode(odd, RANKS, public_tokenizers.PATTERN, ids=True)
