@@ -184,6 +184,8 @@ HIGHER = ["precision_at_5", "recall_at_5", "mrr_at_5", "ndcg_at_5", "keyword_hit
 LOWER = ["latency_ms", "miss_rate", "first_relevant_rank_mean_among_hits"]
 CONFIG = ["top_k", "retrieved_count"]
 TOLERANCE = 1e-9
+#: Deltas up to this many are sent to every task of the bootstrap; more are joined by a shuffle.
+BROADCAST_DELTAS = 200_000
 
 
 def pair_results(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -210,7 +212,9 @@ def compare(long: DataFrame, baseline: str, mode: str = "mode", compat: bool = F
     lower = LOWER if compat else [*LOWER, "latency_ms_warm", "first_relevant_rank"]
     diff = F.col("candidate") - F.col("baseline")
     better = F.when(F.col("metric").isin(lower), -diff).otherwise(diff)
-    return pairs.groupBy(mode, "metric").agg(
+    rows = pairs.withColumn("diff", diff).withColumn("better", better)
+    diff, better = F.col("diff"), F.col("better")
+    return rows.groupBy(mode, "metric").agg(
         F.avg("baseline").alias("baseline_mean"), F.avg("candidate").alias("candidate_mean"), F.avg(diff).alias("paired_delta"),
         F.when(F.abs(F.avg("baseline")) > TOLERANCE, F.avg(diff) / F.avg("baseline")).alias("relative_delta"),
         F.count_if(better > TOLERANCE).alias("wins"), F.count_if(F.abs(diff) <= TOLERANCE).alias("ties"), F.count_if(better < -TOLERANCE).alias("losses"), F.count("*").alias("shared_count"),
@@ -230,17 +234,18 @@ def paired(long: DataFrame, baseline: str, mode: str = "mode") -> DataFrame:
 def bootstrap_ci(pairs: DataFrame, samples: int = 2000, seed: int = 13, mode: str = "mode") -> DataFrame:
     """(mode, metric, ci_low, ci_high) of the mean delta: each sample draws as many deltas as there are, by md5 of seed, sample and draw.
 
-    The deltas of a (mode, metric) are numbered and joined on the drawn number; no sample is gathered.
+    The deltas of a (mode, metric) are numbered and joined on the drawn number; of a sample only its mean is kept.
     """
     delta = F.col("candidate") - F.col("baseline")
     w = Window.partitionBy(mode, "metric")
     rows = pairs.select(mode, "metric", delta.alias("delta"), (F.row_number().over(w.orderBy("case_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    sizes = rows.groupBy(mode, "metric").agg(F.count("*").alias("n"))
     if samples <= 0:
         return rows.groupBy(mode, "metric").agg(F.avg("delta").alias("ci_low"), F.avg("delta").alias("ci_high"))
-    draws = sizes.select(mode, "metric", "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b")).select("*", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("j"))
+    # The draws depend on the number of deltas alone, so all pairs with as many share them.
+    draws = rows.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b")).repartition("n", "b").select("*", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("j"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "j")), 1, 8), 16, 10).cast("bigint") % F.col("n")
-    picked = draws.withColumn("i", drawn.cast("int")).hint("merge").join(rows.select(mode, "metric", "i", "delta").hint("merge"), [mode, "metric", "i"])
+    how = "broadcast" if rows.count() <= BROADCAST_DELTAS else "merge"
+    picked = draws.select("n", "b", drawn.cast("int").alias("i")).join(rows.hint(how), ["n", "i"])
     means = picked.groupBy(mode, "metric", "b").agg(F.round(F.avg("delta"), 9).alias("mean"))
     ordered = means.groupBy(mode, "metric").agg(F.sort_array(F.collect_list("mean")).alias("m"))
     return ordered.select(mode, "metric", F.col("m")[int(0.025 * (samples - 1))].alias("ci_low"), F.col("m")[int(0.975 * (samples - 1))].alias("ci_high"))

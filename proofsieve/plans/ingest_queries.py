@@ -111,14 +111,16 @@ def load_results(spark: SparkSession, d: str) -> DataFrame:
     return A.repeated_ids(V.table(spark, d, "documents").select((F.col("doc_id") % 97).alias("doc_id")), "doc_id")
 
 
-EXISTING = f"{V.CHUNKS}, existing AS (SELECT chunk_id, text, ticker, 0::BIGINT AS version FROM chunks WHERE doc_id % 3 <> 0), batch AS (SELECT chunk_id, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE text || v END AS text, ticker, v AS version FROM chunks, range(1, 3) t(v) WHERE doc_id % 2 = 0)"
+#: The index is the whole table; a batch has two versions of every chunk, half of them under a new id, some of them blank.
+EXISTING = f"{V.CHUNKS}, existing AS (SELECT chunk_id, text, ticker, 0::BIGINT AS version FROM chunks), batch AS (SELECT CASE WHEN doc_id % 2 = 0 THEN chunk_id ELSE 'N' || doc_id END AS chunk_id, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE text || v END AS text, ticker, v AS version FROM chunks, range(1, 3) t(v))"
 
 
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = V.chunks(spark, d)
-    existing = c.where("doc_id % 3 <> 0").select("chunk_id", "text", "ticker", F.lit(0).cast("bigint").alias("version"))
-    batch = c.where("doc_id % 2 = 0").withColumn("version", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
-    return existing, batch.select("chunk_id", F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.concat("text", "version")).alias("text"), "ticker", "version")
+    existing = c.select("chunk_id", "text", "ticker", F.lit(0).cast("bigint").alias("version"))
+    batch = c.withColumn("version", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
+    chunk_id = F.when(F.col("doc_id") % 2 == 0, F.col("chunk_id")).otherwise(F.concat(F.lit("N"), "doc_id"))
+    return existing, batch.select(chunk_id.alias("chunk_id"), F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.concat("text", "version")).alias("text"), "ticker", "version")
 
 
 @query(f"""WITH {EXISTING}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY version DESC) AS n FROM batch WHERE {strip('text')} <> '') WHERE n = 1)
@@ -260,10 +262,12 @@ def ingestion_report(spark: SparkSession, d: str) -> DataFrame:
     return I.ingestion_report(f, I.chunk_fixed(I.slice_sections(f))).withColumn("sections", F.array_join("sections", ","))
 
 
-@query(f"WITH {V.CHUNKS} SELECT chunk_id FROM chunks WHERE doc_id % 3 <> 0 AND ticker < 'SRC5' UNION ALL SELECT chunk_id FROM chunks WHERE doc_id % 2 = 0 AND ticker NOT IN (SELECT ticker FROM chunks WHERE doc_id % 3 <> 0 AND ticker < 'SRC5')")
+@query(f"WITH {V.CHUNKS} SELECT chunk_id, ticker FROM chunks UNION ALL SELECT 'B' || chunk_id, 'NEW' || ticker FROM chunks WHERE ticker >= 'SRC5'")
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
-    c = V.chunks(spark, d)
-    return I.ingest(c.where("doc_id % 3 <> 0 and ticker < 'SRC5'"), c.where("doc_id % 2 = 0")).select("chunk_id")
+    """A batch of all chunks again, those of some tickers under a new one."""
+    c = V.chunks(spark, d).select("chunk_id", "ticker")
+    again = c.select(F.concat(F.lit("B"), "chunk_id").alias("chunk_id"), F.when(F.col("ticker") < "SRC5", F.col("ticker")).otherwise(F.concat(F.lit("NEW"), "ticker")).alias("ticker"))
+    return I.ingest(c, again)
 
 
 @query()

@@ -120,13 +120,12 @@ MEMOS = """memos AS (SELECT conv_id AS memo_id, string_agg(text || [' Total reve
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three numbered sources of each memo: the user's turns, each with a number of its own."""
+    """Numbered sources of each memo: the user's turns."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("memo_id"), n.alias("index"), F.concat_ws(" ", "text", F.expr("array('segment sales grew 12% on demand', 'market risk exposure of $1200', 'total revenue products')[(conv_id + turn) % 3]")).alias("text"))
-    return rows.where(F.col("index") <= 3)
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("memo_id"), n.alias("index"), F.concat_ws(" ", "text", F.expr("array('segment sales grew 12% on demand', 'market risk exposure of $1200', 'total revenue products')[(conv_id + turn) % 3]")).alias("text"))
 
 
 EVIDENCE = """evidence AS (SELECT memo_id, i AS "index", text FROM (SELECT conv_id AS memo_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i,
-  text || ' ' || ['segment sales grew 12% on demand', 'market risk exposure of $1200', 'total revenue products'][(conv_id + turn) % 3 + 1] AS text FROM conversations WHERE role = 'user') WHERE i <= 3)"""
+  text || ' ' || ['segment sales grew 12% on demand', 'market risk exposure of $1200', 'total revenue products'][(conv_id + turn) % 3 + 1] AS text FROM conversations WHERE role = 'user'))"""
