@@ -37,6 +37,8 @@ ASKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("words", pa.bi
 ANSWER = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary()), ("weights", pa.binary()), ("terms", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 NEXT_BITS = 32
+#: Pairs of a shard that are added up, or looked up, at a time.
+TOGETHER = 2_000_000
 
 
 def step_of(total: int) -> float:
@@ -121,27 +123,25 @@ class Trie:
 
 
 def merged(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """A shard's words with counts, and pairs (context, next) with counts, over all chunks; training only. Chunk by chunk in
-    a balanced tree, so memory follows what is distinct."""
-    parts = []
+    """A shard's words with counts, and pairs (context, next) with counts, over all chunks; training only. Rows are added up whenever
+    they have TOGETHER pairs, so memory follows what is distinct."""
+    parts: list[tuple] = []
     for i in range(table.num_rows):
         read = lambda name, kind, i=i: np.frombuffer(table[name][i].as_py(), kind)
         words, counts, pairs = read("words", np.uint64), read("counts", np.uint32).astype(np.int64), read("pairs", np.uint32).astype(np.int64)
         context = np.repeat(words, read("after", np.int32))
         keep, there = counts > 0, pairs > 0
         parts.append((words[keep], counts[keep], context[there], read("next", np.uint32)[there].astype(np.uint64), pairs[there]))
-        while len(parts) > 1 and len(parts[-2][2]) <= 2 * len(parts[-1][2]):
-            parts.append(_two(parts.pop(), parts.pop()))
-    while len(parts) > 1:
-        parts.append(_two(parts.pop(), parts.pop()))
-    words, counts, context, following, pairs = parts[0]
+        if len(parts) > 1 and sum(len(p[2]) for p in parts) - len(parts[0][2]) >= max(TOGETHER, len(parts[0][2])):
+            parts = [_added(parts)]
+    words, counts, context, following, pairs = _added(parts)
     return words, counts, np.searchsorted(words, context), following, pairs
 
 
-def _two(a: tuple, b: tuple) -> tuple:
-    words, inverse = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate((a[1], b[1])), len(words)).astype(np.int64)
-    context, following, pairs = (np.concatenate(x) for x in zip(a[2:], b[2:], strict=True))
+def _added(parts: list[tuple]) -> tuple:
+    given, counts, context, following, pairs = (np.concatenate(x) for x in zip(*parts, strict=True))
+    words, inverse = np.unique(given, return_inverse=True)
+    counts = np.bincount(inverse, counts, len(words)).astype(np.int64)
     order = np.lexsort((following, context))
     context, following = context[order], following[order]
     new = np.ones(len(order), bool)
@@ -150,6 +150,17 @@ def _two(a: tuple, b: tuple) -> tuple:
     return words, counts, context[begin], following[begin], np.add.reduceat(pairs[order], begin) if len(begin) else pairs
 
 
+def groups(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Ranges of rows of about ``most`` in sum, one row at least."""
+    out, start, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
+            out.append((start, i))
+            start, total = i, 0
+        total += n
+    return [*out, (start, len(sizes))]
+
+
 def corpus_size(docs: DataFrame, shards: int) -> tuple[int, int]:
     """(tokens, distinct tokens) of the rows of (text, train) with train set."""
 
@@ -227,13 +238,18 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         trie = Trie.view(Trie.of(*merged(table), total).pack())
         out = {name: [] for name in ANSWER.names}
-        for i in range(table.num_rows):
-            read = lambda name, kind, i=i: np.frombuffer(table[name][i].as_py(), kind)
+        raw = {c: table[c].to_pylist() for c in ("words", "after", "next")}
+        for a, b in groups([len(x) // 4 for x in raw["next"]], TOGETHER):
+            read = lambda name, kind, a=a, b=b: np.frombuffer(b"".join(raw[name][a:b]), kind)
             counts, weights, terms = trie.ask(read("words", np.uint64), read("after", np.int32), read("next", np.uint32))
             wide = np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64
-            # The counts' width is told by their length against that of the weights.
-            for name, value in zip(ANSWER.names, (table["chunk"][i].as_py(), table["shard"][i].as_py(), counts.astype(wide).tobytes(), weights.tobytes(), terms.tobytes()), strict=True):
-                out[name].append(value)
+            w = p = 0
+            for i in range(a, b):
+                x, y = w + len(raw["words"][i]) // 8, p + len(raw["next"][i]) // 4
+                # The counts' width is told by their length against that of the weights.
+                for name, value in zip(ANSWER.names, (table["chunk"][i].as_py(), table["shard"][i].as_py(), counts[w:x].astype(wide).tobytes(), weights[w:x].tobytes(), terms[p:y].tobytes()), strict=True):
+                    out[name].append(value)
+                w, p = x, y
         return packed(out, ANSWER)
 
     def add_up(table: pa.Table, answers: pa.Table) -> pa.Table:
