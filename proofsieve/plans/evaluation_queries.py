@@ -201,10 +201,10 @@ def method_matrix(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{LONG}{PAIRS}, rows AS (SELECT mode, metric, c - b AS delta, row_number() OVER (PARTITION BY mode, metric ORDER BY case_id) - 1 AS i, count(*) OVER (PARTITION BY mode, metric) AS n FROM pairs WHERE metric = 'precision_at_5'),
 sizes AS (SELECT DISTINCT mode, metric, n FROM rows), draws AS (SELECT mode, metric, b, CAST('0x' || md5('13:' || b || ':' || j)[1:8] AS BIGINT) % n AS i FROM sizes, range(2000) t(b), range(n) u(j)),
 means AS (SELECT d.mode, d.metric, b, round(avg(delta), 9) AS m FROM draws d JOIN rows r ON r.mode = d.mode AND r.metric = d.metric AND r.i = d.i GROUP BY 1, 2, 3)
-SELECT mode, metric, round(list_sort(list(m))[50], 8) AS ci_low, round(list_sort(list(m))[1950], 8) AS ci_high FROM means GROUP BY 1, 2""")
+SELECT mode, metric, list_sort(list(m))[50] AS ci_low, list_sort(list(m))[1950] AS ci_high FROM means GROUP BY 1, 2""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     pairs = X.paired(_long(spark, d).where("metric = 'precision_at_5'"), "semantic")
-    return _rounded(X.bootstrap_ci(pairs), "ci_low", "ci_high")
+    return X.bootstrap_ci(pairs)
 
 
 @query("SELECT 'c' || doc_id AS case_id, CASE WHEN doc_id % 9 = 0 THEN 'semantic' ELSE 'hybrid' END AS mode, concat_ws(',', CASE WHEN doc_id % 4 <> 0 THEN 'bm25' END, CASE WHEN doc_id % 3 = 0 THEN 'dense' END) AS methods FROM labels WHERE doc_id % 9 = 0 OR NOT (doc_id % 3 = 0)")
