@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofsieve.llm import bpe, mixing, secrets, simhash, toxicity
+from proofsieve.llm import bpe, mixing, near_copies, secrets, simhash, toxicity
 from proofsieve.llm.shared import stored, table
 
 
@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
-    return simhash.representatives(docs)
+    """Keeps the document with the smallest id of each group of five-word shingle similarity 0.8 or more."""
+    return simhash.smallest(docs, near_copies.near_copies(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,7 +101,12 @@ def report(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, **settings: int) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is its component's smallest; of rows that repeat such an id
     the one with the smallest text; and all rows without an id."""
-    kept = near_duplicates(docs, **settings).where("doc_id = component_id").select("doc_id").distinct()
+    return smallest(docs, near_duplicates(docs, **settings))
+
+
+def smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """What ``representatives`` returns, for ``groups`` of (doc_id, component_id)."""
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     own = docs.where("doc_id is not null").hint("merge").join(kept.hint("merge"), "doc_id", "left_semi")
     nth = fresh("nth", docs.columns)
     first = own.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(nth) == 1)

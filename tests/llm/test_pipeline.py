@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from proofsieve.llm import simhash, toxicity
+from proofsieve.llm import near_copies, simhash, toxicity
 from proofsieve.llm.shared import stored
 
 
@@ -58,3 +58,41 @@ def test_stages_take_empty_tables(spark, folder):
 def test_clean_documents_stay(spark, folder):
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
     assert toxicity.clean(docs, labels).where("doc_id >= 1000").count() == 8
+
+
+def test_near_copies_are_dropped_at_four_fifths(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    line = [word() for _ in range(40)]
+    rows = [(k, " ".join([word() for _ in range(rng.randint(1, 80))] + line * (k % 3 == 0))) for k in range(60)]
+    for k in range(100, 112):
+        base = [word() for _ in range(rng.randint(40, 200))]
+        rows.append((10 * k, " ".join(base)))
+        for copy in range(1, 8):  # words replaced in more and more places: on both sides of 0.8, few within 2 bits
+            other = list(base)
+            for at in rng.sample(range(len(base)), copy):
+                other[at] = word().upper()
+            rows.append((10 * k + copy, "  ".join(other)))
+    rows += [(5000, "Two words"), (5001, "two\nWORDS"), (5002, None), (5003, ""), (None, rows[1][1]), (7, rows[7][1])]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    named = [(i, shingles(t)) for i, t in rows if i is not None]
+    root = {i: i for i, _ in named}
+    links = [(a, b) for a, x in named for b, y in named if a < b and (x == y or 5 * len(x & y) >= 4 * len(x | y))]
+    for _ in named:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {tuple(r) for r in near_copies.near_copies(docs).collect()} == {*root.items(), (None, None)}
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({*root.values()})
+    assert len({*root.values()}) < len({r.component_id for r in simhash.near_duplicates(docs.where("doc_id is not null")).collect()})
+    near_copies.PAIRS, before = 0, near_copies.PAIRS  # rounds against one class until these find nothing, then all pairs
+    try:
+        assert {tuple(r) for r in near_copies.near_copies(docs).collect()} == {*root.items(), (None, None)}
+    finally:
+        near_copies.PAIRS = before
