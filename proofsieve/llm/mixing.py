@@ -17,7 +17,7 @@ from proofsieve.llm.shared import fresh, stored
 
 #: No document is taken more often than this.
 MOST = 3
-#: Words that the dynamic programming fits; it holds two arrays of this length and that of the longest document.
+#: Words that are left to the dynamic programming, or more where a source's longest document is longer; it holds two arrays of the words that are left and the longest document.
 DP_WORDS = 1 << 16
 #: Documents of one source and size that are ranked together.
 RANKED = 5_000
@@ -64,8 +64,8 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, target: float, seed: int =
             if sizes[k] <= rest and extra[k] < counts[k]:
                 extra[k] += 1
                 rest -= int(sizes[k])
-        extra[order] += knapsack(sizes[order], (most - extra)[order], max(0, min(rest, dp_words)))
-        if budget <= dp_words and abs(budget - int((sizes * extra).sum())) > 1:  # a source of a few documents: all of the budget is fitted
+        extra[order] += knapsack(sizes[order], (most - extra)[order], max(0, rest))  # above dp_words only if some document is longer than the rest
+        if budget <= max(dp_words, 4 * int(sizes.max())) and abs(budget - int((sizes * extra).sum())) > 1:  # a source of a few documents: all of the budget is fitted
             every = np.zeros_like(extra)
             every[order] = knapsack(sizes[order], most[order], budget)
             extra = min(extra, every, key=lambda x: abs(budget - int((sizes * x).sum())))

@@ -272,6 +272,15 @@ def test_knapsack_comes_nearest():
         assert (took <= counts).all() and abs((took * sizes).sum() - budget) == min(abs(x - budget) for x in sums)
 
 
+def test_budget_is_fitted_beside_long_documents():
+    longer = 3 * mixing.DP_WORDS
+    for sizes, counts, target, want in (([300, 200_000], [500, 1], 175_000, 174_900), ([7, longer], [20_000, 2], 250_000, 249_998), ([70_000, 100_000], [2, 2], 140_000, 140_000)):
+        sizes, counts = np.array(sizes), np.array(counts)
+        passes, extra = mixing.fit_budget(sizes, counts, float(target))
+        assert (passes + (extra > 0) <= mixing.MOST).all() and (extra <= counts).all()
+        assert abs(int((sizes * (counts * passes + extra)).sum()) - want) == 0
+
+
 def test_licenses(spark, odd):
     mit = "The MIT Licence (MIT)\n\nCopyright (c) 2020 Someone\n\n" + licenses.MIT.replace("sublicense", "sub-license").lower().replace(". ", ".\n")
     docs = table(spark, [(1, mit, "s"), (2, "Words.\nReleased under the MIT License.\n# SPDX-License-Identifier: ISC\nMore.", "s"), (3, licenses.MIT + " But.", "s"), (4, None, "s"), (5, "Licensed under CC BY-NC 4.0.", "s"), (5, "Licensed under CC BY-NC 4.0.", "s"), (None, "", "s")])
