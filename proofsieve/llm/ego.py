@@ -1,13 +1,14 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
-For unit vectors cosine >= c is a Euclidean distance of at most eps = sqrt(2 - 2 c). Vectors are projected on the
-leading principal dimensions, which never makes a distance larger, and sorted by label and by their cells in a grid of width
-eps. The sorted sequence is cut into blocks with bounding boxes; two blocks of a label whose boxes are further apart than
-eps hold no pair. The other pairs of blocks are dealt over the cluster, and each is joined recursively:
-intervals are halved until their boxes are too distant or they are small enough to compare all.
+For unit vectors cosine >= c is a Euclidean distance of at most eps = sqrt(2 - 2 c). Vectors are projected on
+principal dimensions, which never makes a distance larger, and sorted by label and by their cells in a grid of width
+eps over the leading ones. The sorted sequence is cut into blocks of a few megabytes with bounding boxes over more of
+the dimensions; two blocks of a label whose boxes are further apart than eps hold no pair. The other pairs of blocks are
+dealt over the cluster, and each is joined recursively: intervals are halved until their boxes are too distant or they
+are small enough to compare, and there the rows too far from the other's box are left out first.
 
 Equal vectors of a label form a class that is compared once and counts with its number. A pair of blocks
-returns counts and each vector's component among the pair's links, never the links themselves, so a
+returns one count and one local root for each of its vectors, never the links themselves, so a
 dense group costs rows in proportion to its vectors.
 """
 
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofsieve.llm.components import components
+from proofsieve.llm.components import components, roots
 from proofsieve.llm.shared import stored
 from proofsieve.llm.vectors import block_numbers, by_dim, matrix, moments, usable
 
-#: Vectors in a block; intervals of a block that are compared without halving; leading dimensions of the grid.
-BLOCK, LEAF, LEADING = 1024, 256, 4
+#: Bytes of the vectors of a block; vectors of an interval that are compared without halving.
+BLOCK, LEAF = 4 << 20, 256
+#: Principal dimensions of the grid, and of the boxes.
+LEADING, BOXED = 4, 16
 #: Added to eps against rounding in the projections; links are settled by the cosine alone.
 SLACK = 1e-9
 
@@ -53,7 +56,7 @@ def ego_join(a: Interval, b: Interval, cosine: float, eps: float) -> Iterator[tu
     if a.far(b, eps):
         return
     if max(len(a.ids), len(b.ids)) <= LEAF:
-        yield from compare(a, b, cosine)
+        yield from compare(a, b, cosine, eps)
     elif a is b:
         x, y = a.halves()
         for pair in ((x, x), (x, y), (y, y)):
@@ -66,14 +69,22 @@ def ego_join(a: Interval, b: Interval, cosine: float, eps: float) -> Iterator[tu
             yield from ego_join(a, y, cosine, eps)
 
 
-def compare(a: Interval, b: Interval, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    hit = a.units @ b.units.T >= cosine
+def near_box(rows: Interval, box: Interval, eps: float) -> np.ndarray:
+    """Which rows are within eps of a box."""
+    gap = np.maximum(0, np.maximum(rows.lead - box.high, box.low - rows.lead))
+    return (gap * gap).sum(axis=1) <= eps * eps
+
+
+def compare(a: Interval, b: Interval, cosine: float, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    at, to = np.flatnonzero(near_box(a, b, eps)), np.flatnonzero(near_box(b, a, eps))
+    hit = a.units[at] @ b.units[to].T >= cosine
     if a is b:
-        np.fill_diagonal(hit, False)
+        np.fill_diagonal(hit, False)  # an interval is within its own box, so all its rows are there
     x, y = hit.any(axis=1), hit.any(axis=0)
     if not x.any():
         return
-    hit, ids, other = hit[x][:, y], a.ids[x], b.ids[y]
+    hit, at, to = hit[x][:, y], at[x], to[y]
+    ids, other = a.ids[at], b.ids[to]
     # Each vector takes the smallest root of those it is linked with until nothing changes.
     root, far = ids.copy(), other.copy()
     most = np.iinfo(np.int64).max
@@ -83,16 +94,27 @@ def compare(a: Interval, b: Interval, cosine: float) -> Iterator[tuple[np.ndarra
         if (new_far == far).all() and (new_root == root).all():
             break
         root, far = new_root, new_far
-    yield ids, hit @ b.weights[y], root
+    yield ids, hit @ b.weights[to], root
     if a is not b:
-        yield other, a.weights[x] @ hit, far
+        yield other, a.weights[at] @ hit, far
+
+
+def linked(a: Interval, b: Interval, cosine: float, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, links, roots) of two blocks: each vector that is linked, once."""
+    parts = [*ego_join(a, b, cosine, eps)]
+    if not parts:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    ids, links, root = (np.concatenate(x) for x in zip(*parts, strict=True))
+    own, at = np.unique(ids, return_inverse=True)
+    nodes, lowest = roots(ids, root)
+    return own, np.bincount(at, links, len(own)).astype(np.int64), lowest[np.searchsorted(nodes, own)]
 
 
 def sequence(classes: DataFrame, eps: float, partitions: int | None = None) -> DataFrame:
-    """Blocks of the sorted sequence of ``classes`` (rep, weight, label, v): label, dim, block, low, high and the packed rows."""
+    """Blocks of the sorted sequence of ``classes`` (cid, weight, label, v): label, dim, block, low, high and the packed rows."""
     axes = {}
     for d, (mean, square) in moments(classes.select("v"), square=True, unit=True).items():
-        axes[d] = np.linalg.eigh(square - np.outer(mean, mean))[1][:, ::-1][:, : min(LEADING, d)]
+        axes[d] = np.linalg.eigh(square - np.outer(mean, mean))[1][:, ::-1][:, : min(BOXED, d)]
     dims = [f"c{k}" for k in range(LEADING)]
     kind = dict(classes.dtypes)["label"]
 
@@ -105,10 +127,10 @@ def sequence(classes: DataFrame, eps: float, partitions: int | None = None) -> D
                 lead = x @ axes[d]
                 cells = np.floor(lead / eps).astype(np.int32)
                 own = [pa.array(cells[:, k] if k < cells.shape[1] else np.zeros(len(x), np.int32)) for k in range(LEADING)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.full(len(x), d, np.int32)), *own, pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in lead], pa.binary())], names=["rep", "weight", "label", "dim", *dims, "unit", "lead"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.full(len(x), d, np.int32)), *own, pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in lead], pa.binary())], names=["cid", "weight", "label", "dim", *dims, "unit", "lead"])
 
-    placed = classes.select("rep", "weight", "label", "v").mapInArrow(place, f"rep bigint, weight bigint, label {kind}, dim int, {', '.join(f'{c} int' for c in dims)}, unit binary, lead binary")
-    order = ["label", "dim", *dims, "rep"]
+    placed = classes.select("cid", "weight", "label", "v").mapInArrow(place, f"cid bigint, weight bigint, label {kind}, dim int, {', '.join(f'{c} int' for c in dims)}, unit binary, lead binary")
+    order = ["label", "dim", *dims, "cid"]
     ranged = placed.repartitionByRange(partitions, *order) if partitions else placed.repartitionByRange(*order)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +145,8 @@ def sequence(classes: DataFrame, eps: float, partitions: int | None = None) -> D
 
         for batch in batches:
             label_type = batch.schema.field("label").type
-            for label, d, *row in zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "rep", "weight", "unit", "lead")), strict=True):
-                if held and (key != (label, d) or len(held) == BLOCK):
+            for label, d, *row in zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "cid", "weight", "unit", "lead")), strict=True):
+                if held and (key != (label, d) or 8 * d * len(held) >= BLOCK):
                     yield block()
                     held.clear()
                 key = label, d
@@ -148,24 +170,26 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
 
 
 def join_blocks(pairs: DataFrame, blocks: DataFrame, cosine: float, eps: float) -> DataFrame:
-    """(rep, links, root) for each pair of blocks and each vector that it links."""
+    """(cid, links, root) for each pair of blocks and each vector that it links."""
     packed = ("dim", "ids", "weights", "units", "leads")
     of = lambda side: blocks.select(F.col("block").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in packed]).hint("merge")
     dealt = pairs.hint("merge").join(of("a"), "a").hint("merge").join(of("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+
                 def interval(side: str, r=r) -> Interval:
                     ids, weights = (np.frombuffer(r[f"{c}_{side}"], np.int64) for c in ("ids", "weights"))
                     units, lead = (np.frombuffer(r[f"{c}_{side}"], np.float64).reshape(len(ids), -1) for c in ("units", "leads"))
                     return Interval(ids, weights, units, lead)
 
                 x = interval("a")
-                for ids, links, roots in ego_join(x, x if r["a"] == r["b"] else interval("b"), cosine, eps + SLACK):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(roots)], names=["rep", "links", "root"])
+                ids, links, root = linked(x, x if r["a"] == r["b"] else interval("b"), cosine, eps + SLACK)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)], names=["cid", "links", "root"])
 
-    return dealt.mapInArrow(run, "rep bigint, links bigint, root bigint")
+    return dealt.mapInArrow(run, "cid bigint, links bigint, root bigint")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
@@ -173,20 +197,26 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_column: str = "
 
     Vectors are compared only with vectors of the same label and length; a link is a cosine of at least ``cosine`` in
     double precision. A row with a null label or id, or whose vector is null, zero or holds null or non-finite
-    components, links with nothing and is its own component. Rows that repeat an id are counted as vectors of
-    their own. An empty table gives an empty one; other columns are ignored.
+    components, links with nothing and is its own component. Rows that repeat an id are vectors of
+    their own: each has the links of its vector, and both bear the component's smallest id. An empty table gives an empty one; other
+    columns are ignored. Classes are told apart by 128 bits of a hash of label and vector.
     """
     eps = math.sqrt(2 - 2 * cosine)
     rows = vectors.select(F.col(id_column).alias("vec_id"), F.col(label_column).alias("label"), F.col(vector_column).alias("v"))
     valid = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable("v")
-    classes = stored(rows.where(valid).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "ego-classes")
+    key = [F.xxhash64(F.lit(salt), "label", "v").alias(name) for salt, name in ((1, "k1"), (2, "k2"))]
+    each = rows.where(valid).select("vec_id", "label", "v", *key)
+    classes = each.groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "ego-classes")
     blocks = stored(sequence(classes, eps), "ego-blocks")
-    pairs = stored(block_pairs(blocks, eps), "ego-pairs")
-    found = stored(join_blocks(pairs, blocks, cosine, eps), "ego-links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep")
-    per_class = classes.hint("merge").join(links.hint("merge"), "rep", "left").hint("merge").join(named.hint("merge"), "rep", "left")
-    per_class = stored(per_class.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "ego-result")
-    good = rows.where(valid).hint("merge").join(per_class.hint("merge"), ["label", "v"], "left").select("vec_id", "n_links", "component_id")
+    found = stored(join_blocks(block_pairs(blocks, eps), blocks, cosine, eps), "ego-links")
+    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    named = components(found, "cid", "root").withColumnRenamed("node", "cid")
+    # A component bears its smallest vec_id, not the number of one of its classes.
+    joined = links.hint("merge").join(classes.select("cid", "k1", "k2", "rep", "weight").hint("merge"), "cid", "right").hint("merge").join(named.hint("merge"), "cid", "left")
+    joined = stored(joined.select("k1", "k2", "rep", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component")), "ego-joined")
+    lowest = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    per_class = joined.hint("merge").join(lowest.hint("merge"), "component").select("k1", "k2", "n_links", "component_id")
+    good = rows.where(valid).select("vec_id", *key).hint("merge").join(per_class.hint("merge"), ["k1", "k2"], "left").select("vec_id", "n_links", "component_id")
     rest = rows.where(~valid).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

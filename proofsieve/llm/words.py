@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from proofsieve.llm.shared import SPACES
 
@@ -11,8 +12,10 @@ WORD = np.array([b not in SPACES for b in range(256)])
 LETTER = np.array([b >= 128 or bytes([b]).isalpha() for b in range(256)])
 #: Bytes with A-Z in lower case.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-#: Texts longer than this are hashed in parts, cut between words.
-PART = 2 << 20
+#: Of 64-bit words the lowest 0 to 8 bytes.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of the longest word that is hashed together with the others.
+LONG = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,22 +31,11 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """64-bit hashes of words: a polynomial over random values of the bytes, mixed with the length."""
+    """64-bit hashes of words: eight bytes at a time are mixed into a state that begins with the length. Words of more than ``LONG`` bytes
+    take XXH64. No step is linear in the bytes, so words built to collide under a polynomial don't."""
 
     def __init__(self, seed: int = 1, inside: np.ndarray = WORD, lower: bool = False):
-        rng = np.random.default_rng(seed)
-        values = rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.values, self.inside = values[LOWER] if lower else values, inside
-        self.base = int(rng.integers(0, 1 << 62)) * 4 + 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            for name, base in (("powers", self.base), ("inverses", self.inverse)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+        self.seed, self.inside, self.lower = np.uint64(seed), inside, lower
 
     def spans(self, at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words; ``at`` are the offsets of the texts in ``raw``, no word spans two."""
@@ -61,15 +53,16 @@ class Hasher:
     def __call__(self, at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each word, index of the first word of each text and, last, the number of words)."""
         starts, ends = self.spans(at, raw)
-        out = np.zeros(len(starts), np.uint64)
-        done = 0
-        while done < len(starts):
-            end = max(done + 1, int(np.searchsorted(ends, starts[done] + PART, "right")))
-            a, b = starts[done:end], ends[done:end]
-            low, high = int(a[0]), int(b[-1])
-            self.grow(high - low + 1)
-            total = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(self.values[raw[low:high]] * self.powers[: high - low], out=total[1:])
-            out[done:end] = mix((total[b - low] - total[a - low]) * self.inverses[a - low] + (b - a).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-            done = end
+        data = np.concatenate((LOWER[raw] if self.lower else raw, np.zeros(8, np.uint8)))
+        lanes = np.ndarray((len(raw) + 1,), "<u8", data, strides=(1,))
+        sizes = ends - starts
+        out = mix((sizes.astype(np.uint64) + self.seed * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xA0761D6478BD642F))
+        rest, done = np.arange(len(starts)), 0
+        while len(rest):
+            left = sizes[rest] - done
+            lane = lanes[starts[rest] + done] & MASKS[np.minimum(left, 8)]
+            out[rest] = mix(out[rest] * np.uint64(0xD6E8FEB86659FD93) ^ lane * np.uint64(0xE7037ED1A0B428DB))
+            rest, done = rest[(left > 8) & (sizes[rest] <= LONG)], done + 8
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), int(self.seed))
         return out, np.searchsorted(starts, at)

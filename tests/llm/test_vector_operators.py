@@ -86,3 +86,28 @@ def test_nearest(table, vectors):
     assert hit / total >= 0.97
     few = rabitq.nearest(table.where("vec_id in (0, 1, 2)"), k=20).collect()
     assert len(few) == 2 and rabitq.nearest(table.limit(0)).count() == 0
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 16))
+    rows = [(5, a), (5, b), (6, a + 0.01), (20, a), (20, b), (7, rng.normal(size=16))]
+    table = spark.createDataFrame([(i, v.astype(np.float32).tolist(), 1) for i, v in rows], SCHEMA)
+    got = sorted(map(tuple, ego.near_duplicates(table).select("vec_id", "n_links", "component_id").collect()))
+    # Each row is a vector of its own: two rows have a, two have b, and 6 is near a.
+    assert got == [(5, 1, 5), (5, 2, 5), (6, 2, 5), (7, 0, 7), (20, 1, 5), (20, 2, 5)]
+
+
+def test_near_duplicates_over_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(30, 12)), 20, axis=0) + rng.normal(size=(600, 12)) * rng.choice([0.02, 0.2], (600, 1))
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist(), k % 2) for k, v in enumerate(x)], SCHEMA)
+    monkeypatch.setattr(ego, "BLOCK", 8 * 12 * 25)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (y @ y.T >= 0.93) & (np.arange(600)[:, None] % 2 == np.arange(600) % 2)
+    root = np.arange(600)
+    for _ in range(50):
+        root = np.where(near, root[None, :], 600).min(axis=1)
+    want = sorted((k, int(near[k].sum()) - 1, int(root[k])) for k in range(600))
+    assert sorted(map(tuple, ego.near_duplicates(table).select("vec_id", "n_links", "component_id").collect())) == want
