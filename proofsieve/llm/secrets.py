@@ -1,16 +1,20 @@
 """Secret scan: assignment-aware lexing on top of three fixed patterns.
 
-A text is lexed into pairs of a target name and a literal or another name, in source and
-configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``,
-``name: type = x``, call arguments, ``scheme://user:x@host``). A pair whose value is a name takes the
-literal that this name has at that point, so constants reach the targets that use them. A literal is
-reported if its target's name is sensitive and the literal itself looks like a secret.
+A text is lexed into comments, strings, brackets, lines and pairs of a target name and a value, in source and
+configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``, ``name += x``,
+``name: type = x``, ``--name x``, ``<name>x</name>``, ``scheme://user:x@host``). A value is a concatenation of literals
+and names. A name stands for the literals that it was given before, so constants reach the targets that use
+them, through concatenations too; what comments and other strings say is looked at but defines no constant.
+Literals in the brackets of a value (arguments, lists), and pairs with a neutral name such as ``value`` there or in a
+block that is indented under it, count for the name that the brackets or the block belong to. A literal is reported if its target's
+name is sensitive and the value as a whole looks like a secret. Every pattern is tried from one place once, so time is linear.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -27,14 +31,27 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A run of 32 or more is the whole run, since it starts where the run does.
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.\-$])(["']?)([A-Za-z_][A-Za-z0-9_.\-]*+)\1"""  # name, quoted or not
+QUOTED = r""""(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\.|[^`\\\n])*+`"""
+#: One token. A pair ends behind its operator, where its value begins.
+TOKEN = re.compile(
+    r"""(?P<line>\n[ \t]*+(?:-[ \t]++)?)"""
+    r"""|(?<!\S)(?P<comment>(?:\#|//|--(?=\s))[^\n]*+)"""
+    r"""|(?P<block>/\*)"""
+    r"""|(?P<pair>(?<![A-Za-z0-9_.$])(?<![A-Za-z0-9_]-)(["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)\5"""  # name, quoted or not
     r"""(?:[ \t]*+:[ \t]*+[A-Za-z_][A-Za-z0-9_.\[\]]*+(?=[ \t]*+=))?"""  # its type
-    r"""[ \t]*+(?:=>|:=|[:=](?![=/]))[ \t]*+"""
-    r"""(?:(["'`])((?:\\.|(?!\3)[^\\\n])*+)\3|([^\s"'`,;(){}\[\]<>]++))"""  # literal in quotes, or bare
+    r"""[ \t]*+(?P<op>=>|:=|\+=|[:=](?![=/]))[ \t]*+)"""
+    r"""|(?<!\S)--(?P<flag>[A-Za-z][A-Za-z0-9_-]*+)[ \t]++(?=[^\s-])"""
+    r"""|<(?P<element>[A-Za-z_][A-Za-z0-9_.-]*+)>(?P<content>[^<>\n]++)</(?P=element)>"""
+    r"""|(?P<open>[(\[{])|(?P<close>[)\]}])"""
+    rf"""|(?<!\w)(?P<string>{QUOTED})"""
 )
-LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@\"']*+:([^\s/@\"']++)@")
+#: One term of a value: a literal in quotes (three of them first), or bare.
+TERM = re.compile(rf"""(?P<head>[bBrRfFuU]{{0,2}}+)(?:(?P<long>\"{{3}}|'{{3}})|(?P<string>{QUOTED}))|(?P<bare>[^\s"'`,;(){{}}\[\]<>]++)""")
+#: Between two terms of a concatenation: an operator, or nothing before another string.
+JOIN = re.compile(r"""[ \t]*+(?:(?:\\?\n[ \t]*+)?(?:\+|\.\.?|&)\s*+(?=["'`A-Za-z_])|(?:\\\n[ \t]*+)?(?=["'`]))""")
+USER = re.compile(r"""[^\s/:@"']*+:([^\s/@"']++)@""")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
+WORDS = re.compile(r"[A-Za-z]+(?:[_.\-][A-Za-z]+)*")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 #: Parts of names that make them sensitive, with their weight; of two adjacent parts, joined by a space.
@@ -46,6 +63,10 @@ SENSITIVE = {
 #: Values that stand for a secret and are none.
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|changeme|change_me|redacted|example.*|your[_-].*|my[_-].*|dummy.*|placeholder.*|<.*>|\$\{?.*|%\(?.*|\{\{.*|os\.environ.*|process\.env.*|env\..*)$")
 LEAST_CHARS, THRESHOLD = 8, 0.7
+#: A value of more characters or parts is data: no secret, and no constant.
+MOST_CHARS, MOST_PARTS = 4096, 16
+#: Last parts of names that say nothing themselves; the name around them counts.
+NEUTRAL = {"value", "default", "data", "content", "text", "raw", "val", "string", "plain", "current"}
 
 
 def name_weight(name: str) -> float:
@@ -58,7 +79,7 @@ def name_weight(name: str) -> float:
 
 def literal_weight(value: str) -> float:
     """0 to 1: how much a literal looks like a secret, by entropy and kinds of characters."""
-    if len(value) < LEAST_CHARS or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    if not LEAST_CHARS <= len(value) <= MOST_CHARS or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
         return 0.0
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
@@ -74,42 +95,166 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+Part = tuple[int, int]
+
+
+class Lexer:
+    """The pairs of one text. ``found`` has, for each literal that is reported, its kind and score."""
+
+    def __init__(self, text: str):
+        self.text, self.found = text, {}
+        #: Literals of the names so far; the names around, by bracket and by indentation; weights of names.
+        self.known: dict[str, tuple[Part, ...]] = {}
+        self.weights: dict[str, float] = {}
+
+    def weight(self, name: str, around: str | None) -> float:
+        """Of a target, or of the name around it where its own is neutral."""
+        if name not in self.weights:
+            self.weights[name] = name_weight(name)
+        if around and not self.weights[name] and name.rpartition(".")[2].lower() in NEUTRAL:
+            return 0.9 * self.weight(around, None)
+        return self.weights[name]
+
+    def report(self, weight: float, literals: tuple[Part, ...], through: tuple[Part, ...] = ()) -> None:
+        """Literals of a target in their order; those in ``through`` reach it through a constant."""
+        if not weight or not literals:
+            return
+        value = literal_weight("".join([self.text[a:b] for a, b in literals]))
+        if value and (score := 0.6 * weight + 0.4 * value) >= THRESHOLD:
+            for part in literals:
+                if part[0] < part[1] and (part not in self.found or self.found[part][1] < score):
+                    self.found[part] = "constant" if part in through else "named", score
+
+    def value(self, at: int, end: int) -> tuple[tuple[Part, ...], tuple[Part, ...], int]:
+        """(literals of the value that begins at ``at``, those that come from constants, where it ends). No literals: not a constant."""
+        text, literals, through, whole = self.text, [], [], True
+        while m := TERM.match(text, at, end):
+            at, own = m.end(), []
+            if m["long"]:
+                close = text.find(m["long"], at, min(end, at + 2 * MOST_CHARS))
+                if close >= 0:
+                    own, at = [(at, close)], close + 3
+                else:
+                    whole = False
+            elif m["string"]:
+                own = [(m.start("string") + 1, m.end("string") - 1)]
+            elif m["bare"] in self.known or (name := m["bare"].rstrip("+.&")) in self.known:
+                own = [*self.known[m["bare"] if m["bare"] in self.known else name]]
+                at = m.start() + len(m["bare"] if m["bare"] in self.known else name)
+                through += own
+            elif IDENTIFIER.fullmatch(name) and not any(c.isdigit() for c in name):
+                whole = False  # a name that is no constant, or a call
+                at = m.start() + len(name)
+            else:
+                own = [m.span()]
+            literals += own
+            if len(literals) > MOST_PARTS or sum([b - a for a, b in literals]) > MOST_CHARS:
+                whole = False
+            joint = JOIN.match(text, at, end)
+            if not whole or not joint:
+                break
+            at = joint.end()
+        return (tuple(literals), tuple(through), at) if whole else ((), (), at)
+
+    def lex(self, at: int, end: int, define: bool = True) -> None:
+        """All tokens of a part of the text; ``define``: whether its pairs make constants."""
+        text, blocks = self.text, True
+        around: list[tuple[str | None, bool]] = []  # for each open bracket the name that it belongs to, and whether its first literal is a key
+        indented: list[tuple[int, str]] = []  # names that stand at an indentation without a value
+        begins, indent, pending, key_first, fresh_line = at, 1, None, False, True
+        while m := TOKEN.search(text, at, end):
+            kind, at = m.lastgroup, m.end()
+            if kind == "line":
+                indent, fresh_line, pending = at - m.start(), True, None
+                while indented and indented[-1][0] >= indent:
+                    indented.pop()
+                continue
+            outer = next((n for n in (around[-1][0] if around else None, indented[-1][1] if indented else None) if n), None)
+            if kind == "comment":
+                if define:
+                    self.lex(m.start() + 1, at, False)
+            elif kind == "block":
+                close = text.find("*/", at, end) if blocks else -1
+                blocks = close >= 0
+                if define and blocks:
+                    self.lex(at, close, False)
+                at = close if blocks else at
+            elif kind == "open":
+                around.append((pending or outer, key_first))
+                pending, key_first = None, False
+            elif kind == "close":
+                if around:
+                    around.pop()
+            elif kind == "content":
+                self.report(self.weight(m["element"], outer), ((m.start("content"), m.end("content")),))
+            elif kind == "string":
+                a, b = m.start("string") + 1, at - 1
+                if around and around[-1][0]:
+                    if around[-1][1]:
+                        around[-1] = (around[-1][0], False)
+                    elif not WORDS.fullmatch(text, a, b):
+                        self.report(self.weight(around[-1][0], None), ((a, b),))
+                if define:
+                    self.lex(a, b, False)
+            else:
+                name, op = m["name"] or m["flag"], m["op"]
+                literals, through, at = self.value(at, end)
+                if define and op != "+=":
+                    self.known.pop(name, None)
+                if literals:
+                    if op == "+=":
+                        before = self.known.get(name, ())
+                        literals, through = before + literals, before + through
+                    if define and op and len(literals) <= MOST_PARTS and sum([b - a for a, b in literals]) <= MOST_CHARS:
+                        self.known[name] = literals
+                    elif define:
+                        self.known.pop(name, None)
+                    self.report(self.weight(name, outer), literals, through)
+                    for a, b in literals:
+                        if define and (a, b) not in through:
+                            self.lex(a, b, False)
+                elif op == "+=" and define:
+                    self.known.pop(name, None)
+                pending = name if text[at : at + 1] in ("(", "[", "{") else None
+                key_first = pending is not None and text.endswith(("get", "env", "environ"), begins, at)
+                if fresh_line and op == ":" and text[at : at + 1] in ("", "\n", "\r"):
+                    indented.append((indent, name))
+            fresh_line = False
+
+
+def logins(text: str) -> list[Part]:
+    """Places of the passwords in ``scheme://user:x@host``."""
+    out, at = [], text.find("://")
+    while at >= 0:
+        if at and text[at - 1].isalnum() and (m := USER.match(text, at + 3)):
+            out.append(m.span(1))
+        at = text.find("://", at + 3)
+    return out
+
+
 def named_literals(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of the literals of sensitive targets."""
-    out: dict[tuple[int, int], tuple[str, float]] = {}
-    if ":" not in text and "=" not in text:
-        return []
-
-    def report(name: str, start: int, end: int, kind: str) -> None:
-        weight = name_weight(name)
-        if weight and (score := 0.6 * weight + 0.4 * literal_weight(text[start:end])) >= THRESHOLD and literal_weight(text[start:end]):
-            old = out.get((start, end))
-            if old is None or old[1] < score:
-                out[start, end] = kind, score
-
-    known: dict[str, tuple[int, int]] = {}
-    for m in PAIR.finditer(text):
-        name = m[2]
-        if m[4] is not None:
-            known[name] = m.span(4)
-            report(name, *m.span(4), "named")
-        elif m[5] in known:
-            known[name] = known[m[5]]
-            report(name, *known[name], "constant")
-        else:
-            known.pop(name, None)
-            if not IDENTIFIER.fullmatch(m[5]) or any(c.isdigit() for c in m[5]):
-                report(name, *m.span(5), "named")
-    if "://" in text:
-        for m in LOGIN.finditer(text):
-            report("password", *m.span(1), "named")
-    return [(start, end, kind, score) for (start, end), (kind, score) in out.items()]
+    lexer = Lexer(text)
+    if ":" in text or "=" in text or "</" in text or "--" in text:
+        lexer.lex(0, len(text))
+    for part in logins(text):
+        lexer.report(1.0, (part,))
+    return [(start, end, kind, score) for (start, end), (kind, score) in lexer.found.items()]
+
+
+def uncovered(added: list[tuple[int, int, str, float]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
+    """What no base span covers whole."""
+    starts, most = [], []
+    for a, b, _ in sorted(base):
+        starts.append(a)
+        most.append(max(b, most[-1] if most else 0))
+    return [x for x in added if not (k := bisect_right(starts, x[0])) or most[k - 1] < x[1]]
 
 
 def spans(text: str) -> list[tuple[str, int, int, float]]:
     """All spans (kind, start, end, score) by start, then kind. What a base span covers isn't reported again."""
     base = base_spans(text)
-    added = [x for x in named_literals(text) if not any(a <= x[0] and x[1] <= b for a, b, _ in base)]
+    added = uncovered(named_literals(text), base)
     found = sorted([*((a, KINDS.index(k), b, 1.0) for a, b, k in base), *((a, KINDS.index(k), b, s) for a, b, k, s in added)])
     return [(KINDS[k], a, b, s) for a, k, b, s in found]
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -192,6 +193,103 @@ def test_secrets(spark, odd, corpus):
     assert red[1001].text == '[REDACTED]"' and red[1001].n_chars == 11 and red[1008].text == 'KEY = "[REDACTED]"\nclient(db_pass=KEY)\n'
 
 
+def test_secrets_lexing():
+    secret = "Zx9-qLm2Tt7p"
+    cases = {
+        f'A = "Zx9-"\nB = "qLm2Tt7p"\npassword = A + B\n': "constant:5:9,constant:16:24", f'password = "Zx9-q" + "Lm2Tt7p"': "named:12:17,named:22:29", f"pwd = ('{secret}')": "named:8:20",
+        f'# KEY = "{secret}"\ndb_pass = KEY': "", f'# db_pass = "{secret}"': "named:13:25", f'/* db_pass = "{secret}" */ x': "named:14:26", f'x = "db_pass = {secret}"': "named:15:27",
+        f'credentials:\n  user: bob\n  value: {secret}\nvalue: {secret}\n': "named:34:46", f'secrets_map = [\n  "{secret}",\n]': "", f'auth_token = [\n  "{secret}",\n]': "named:18:30",
+        f'db_pass = os.environ.get("DB_PASSWORD", "{secret}")': "named:41:53", f"run --passphrase {secret} now": "named:17:29", f"<db_pass>{secret}</db_pass>": "named:9:21", 'db_pass = ' + 3 * '"' + secret + 3 * '"': "named:13:25",
+        f'K = "{secret}"\nK = load()\ndb_pass = K': "", f'K = "Zx9-"\nK += "qLm2Tt7p"\ndb_pass = K': "constant:5:9,constant:17:25", 'db_pass = db_pass = db_pass': "", 'don\'t: db_pass = x': "",
+    }
+    for text, want in cases.items():
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b, _ in secrets.spans(text)) == want, text
+
+
+def reference_spans(text):
+    """The base kinds, read character by character."""
+    plain = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    out, at = [], 0
+    while at < len(text):
+        name = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[at : at + len(w)].isascii() and text[at : at + len(w)].lower() == w), None)
+        best = None
+        if name:
+            for quoted in ((1, 0) if text[at + len(name) : at + len(name) + 1] in ("'", '"') else (0,)):
+                k = at + len(name) + quoted
+                while text[k : k + 1] == " ":
+                    k += 1
+                if text[k : k + 1] in (":", "="):
+                    k += 1
+                    while text[k : k + 1] == " ":
+                        k += 1
+                    k += text[k : k + 1] in ("'", '"')
+                    end = k
+                    while end < len(text) and text[end] in plain:
+                        end += 1
+                    if end > k:
+                        best = best or (k, end)
+        if best:
+            if best[1] - best[0] >= 8:
+                out.append((at, 0, best[1]))
+            at = best[1]
+        else:
+            at += 1
+    for kind, begins, inside, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), (2, "", set("0123456789abcdef"), 32)):
+        at = 0
+        while at < len(text):
+            end = at + len(begins)
+            while text.startswith(begins, at) and end < len(text) and text[end] in inside:
+                end += 1
+            if text.startswith(begins, at) and end > at + len(begins):
+                if end - at >= least:
+                    out.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_base_spans_are_those_of_a_plain_reader():
+    rng = random.Random(12)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "'", '"', " ", "  ", ":", "=", "==", "AKIA", "AKIAABCDEFGH1234", "0123456789abcdef", "deadbeef", "x", "Zz9+/", "\n", "ſ", "é", ".-_", "abcdefgh"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        got = [(a, ("assign", "access", "hex").index(k), b) for k, a, b, _ in secrets.spans(text) if k in secrets.BASE]
+        assert got == reference_spans(text), text
+
+
+def test_secrets_planted_in_prose_and_code_are_found():
+    rng = random.Random(9)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    forms = ['{n} = "{v}"', "{n}: {v}", '"{n}": "{v}"', "export {N}={v}", "{n} => '{v}'", "<{n}>{v}</{n}>", "--{d} {v}", "K9 = '{v}'\n{n} = K9"]
+    hits = wanted = wrong = lines = 0
+    for _ in range(2000):
+        words = prose(rng, 8)
+        v = "".join(rng.choice(letters) for _ in range(rng.randint(14, 30))) + "7x"
+        if rng.random() < 0.5:
+            n = rng.choice(["db_pass", "privateKey", "client_credentials", "signing_key", "session_key", "auth_bearer"])
+            text = f"{words}\n" + rng.choice(forms).format(n=n, N=n.upper(), d=n.replace("_", "-"), v=v) + f"\n{words}"
+            wanted += 1
+            hits += any(text[a:b] == v for _, a, b, _ in secrets.spans(text))
+        else:
+            n = rng.choice(["user_id", "title", "colour", "token_count", "password_hint", "checksum", "path"])
+            text = f"{words}\n" + rng.choice(forms).format(n=n, N=n.upper(), d=n.replace("_", "-"), v=v) + f"\n{words}"
+            lines += 1
+            wrong += any(k in ("named", "constant") for k, *_ in secrets.spans(text))
+    assert hits / wanted >= 0.97 and wrong / lines <= 0.02, (hits, wanted, wrong, lines)
+
+
+def test_secrets_in_very_long_texts_take_linear_time():
+    long = [
+        "x" * 1_000_000 + "://", "://" + "a" * 1_000_000, "a://" * 250_000, 'db_pass = "Zx9-qLm2Tt7p"\n' * 40_000, "password=abcdefgh1 " * 50_000, "a:" * 500_000, "'" * 1_000_000, '"\'`' * 300_000, "/*" * 500_000, "<a>" * 300_000,
+        "([{" * 300_000, "x = 'a' + " * 100_000, "a = a + a\n" * 100_000, "# " * 500_000, "\\\n" * 400_000, "K = 'Zx9-qLm2Tt7p'\n" + "db_pass = K + K\n" * 50_000, "a=b" * 300_000, 3 * '"' * 300_000, ("x = " + 3 * "'") * 100_000,
+    ]
+    for text in long:
+        began = time.process_time()
+        secrets.spans(text)
+        assert time.process_time() - began < 6, text[:20]
+
+
 def test_toxicity_learns_pairs_and_keeps_to_its_labels(spark):
     rng = random.Random(2)
     rows, labels = [], []
