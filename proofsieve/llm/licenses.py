@@ -70,6 +70,31 @@ TEXTS = [
 ]
 
 
+#: Canonical digests and lengths of long licences as they are published; twice where the terms are also copied without
+#: what follows "END OF TERMS AND CONDITIONS".
+LONG = [
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b", 9887),
+    ("Apache-2.0", "6aa661403864282a4d084f1551e8149a5f1a7b5e8b05b6db8e1a8a28d0badc64", 8843),
+    ("Artistic-1.0", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702", 5833),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", 6692),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60", 19583),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826", 22018),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", 11765),
+    ("GPL-1.0", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70", 9387),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", 17117),
+    ("GPL-2.0", "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808", 14455),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a", 33406),
+    ("GPL-3.0", "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191", 30940),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", 24130),
+    ("LGPL-2.0", "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2", 22249),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", 25217),
+    ("LGPL-2.1", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df", 23337),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6", 22447),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d", 14342),
+]
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(licence, text): whole texts, headers, notices by every name, and SPDX lines."""
     notices = [(license, form.format(name)) for license, names in NAMES.items() for name in names for form in NOTICES]
@@ -91,10 +116,12 @@ def canonical(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("lines", lines).withColumn("digest", F.sha2(whole, 256))
 
 
-def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license, size) of the known texts, each digest once; ``size`` is the length of the canonical text."""
-    rows = canonical(spark.createDataFrame(texts if texts is not None else known_texts(), "license string, text string"), "text")
-    return rows.groupBy("digest").agg(F.min("license").alias("license"), F.min(F.length(F.array_join(F.filter("lines", lambda x: x != ""), " "))).alias("size"))
+def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None, long: list[tuple[str, str, int]] | None = None) -> DataFrame:
+    """(digest, license, size) of the known texts, each digest once; ``size`` is the length of the canonical text. ``long`` has such rows ready."""
+    given = canonical(spark.createDataFrame(texts if texts is not None else known_texts(), "license string, text string"), "text")
+    ready = spark.createDataFrame(long if long is not None else LONG if texts is None else [], "license string, digest string, size int")
+    rows = given.select("license", "digest", F.length(F.array_join(F.filter("lines", lambda x: x != ""), " ")).alias("size")).union(ready)
+    return rows.groupBy("digest").agg(F.min("license").alias("license"), F.min("size").alias("size"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -103,18 +130,24 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_
 
     Null texts count as empty; empty texts, and texts of nothing but punctuation, have the digest of the empty text and no licence. Repeated rows
     have equal results; null ids stay; an empty table gives an empty one; other columns are ignored. ``known``
-    is sent to all tasks; it is a list of licences, fixed in size by its author, not by the corpus.
+    is sent to all tasks; it is a list of licences, fixed in size by its author, not by the corpus. Texts are brought to canonical form
+    once: the digest of the whole is looked up as one more line.
     """
     known = known if known is not None else known_digests(docs.sparkSession)
-    small, large = known.agg(F.coalesce(F.min("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    sizes = sorted({r.size for r in known.select("size").collect()} - {0})
     rows = canonical(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    # A line of another length than any known text has no known digest.
-    fits = F.filter("lines", lambda x: F.length(x).between(max(1, small), large))
-    lines = rows.select("row", F.posexplode(F.transform(fits, lambda x: F.sha2(x, 256))).alias("pos", "digest"))
-    table = F.broadcast(known.select("digest", "license"))
-    noticed = lines.join(table, "digest").groupBy("row").agg(F.collect_set(F.struct("pos", "license")).alias("found"))
-    whole = rows.select("doc_id", "row", "digest").join(table, "digest", "left").hint("merge").join(noticed.hint("merge"), "row", "left")
-    return whole.select("doc_id", "digest", "license", F.coalesce(F.size("found"), F.lit(0)).cast("bigint").alias("n_notices"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"]))), ","), F.lit("")).alias("notices"))
+    # A line of another length than all known texts has no known digest.
+    fits = F.filter("lines", lambda x: F.length(x).isin(sizes)) if sizes else F.array().cast("array<string>")
+    asked = F.concat(F.array("digest"), F.transform(fits, lambda x: F.sha2(x, 256)))
+    found = rows.select("doc_id", "row", F.posexplode(asked).alias("pos", "digest")).join(F.broadcast(known.select("digest", "license")), "digest", "left")
+    whole, hit = F.col("pos") == 0, F.col("license").isNotNull()
+    each = found.groupBy("doc_id", "row").agg(
+        F.max(F.when(whole, F.col("digest"))).alias("digest"), F.max(F.when(whole, F.col("license"))).alias("license"), F.sum(whole.cast("int")).alias("times"),
+        F.sum((~whole & hit).cast("bigint")).alias("n"), F.collect_set(F.when(~whole, F.col("license"))).alias("names"),
+    )
+    # Equal rows were counted together.
+    again = F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("again")
+    return each.select("doc_id", "digest", "license", F.expr("n div times").alias("n_notices"), F.array_join(F.array_sort("names"), ",").alias("notices"), again).drop("again")
 
 
 def _sql_line(line: str) -> str:
@@ -128,9 +161,10 @@ def _sql_line(line: str) -> str:
 def oracle_sql() -> str:
     """DuckDB SQL for ``scan`` over the view documents."""
     values = ", ".join("('{}', '{}')".format(a.replace("'", "''"), b.replace("'", "''")) for a, b in known_texts())
+    long = ", ".join(f"('{license}', '{digest}')" for license, digest, _ in LONG)
     return f"""
-WITH texts(license, text) AS (VALUES {values}),
-known AS (SELECT sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_sql_line('x')}), lambda y: y <> ''), ' ')) AS digest, min(license) AS license FROM texts GROUP BY 1),
+WITH texts(license, text) AS (VALUES {values}), long(license, digest) AS (VALUES {long}),
+known AS (SELECT digest, min(license) AS license FROM (SELECT sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_sql_line('x')}), lambda y: y <> ''), ' ')) AS digest, license FROM texts UNION ALL SELECT digest, license FROM long) GROUP BY 1),
 rows AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_sql_line('x')}) AS lines FROM documents),
 hits AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
   FROM (SELECT doc_id, unnest(lines) AS line FROM rows) JOIN known ON digest = sha256(line) WHERE line <> '' GROUP BY doc_id),

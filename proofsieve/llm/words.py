@@ -35,7 +35,7 @@ class Hasher:
     take XXH64. No step is linear in the bytes, so words built to collide under a polynomial don't."""
 
     def __init__(self, seed: int = 1, inside: np.ndarray = WORD, lower: bool = False):
-        self.seed, self.inside, self.lower = np.uint64(seed), inside, lower
+        self.seed, self.inside, self.lower = seed, inside, lower
 
     def spans(self, at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words; ``at`` are the offsets of the texts in ``raw``, no word spans two."""
@@ -56,7 +56,7 @@ class Hasher:
         data = np.concatenate((LOWER[raw] if self.lower else raw, np.zeros(8, np.uint8)))
         lanes = np.ndarray((len(raw) + 1,), "<u8", data, strides=(1,))
         sizes = ends - starts
-        out = mix((sizes.astype(np.uint64) + self.seed * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xA0761D6478BD642F))
+        out = mix((sizes.astype(np.uint64) + np.uint64(self.seed * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xA0761D6478BD642F))
         rest, done = np.arange(len(starts)), 0
         while len(rest):
             left = sizes[rest] - done
@@ -64,5 +64,5 @@ class Hasher:
             out[rest] = mix(out[rest] * np.uint64(0xD6E8FEB86659FD93) ^ lane * np.uint64(0xE7037ED1A0B428DB))
             rest, done = rest[(left > 8) & (sizes[rest] <= LONG)], done + 8
         for k in np.flatnonzero(sizes > LONG).tolist():
-            out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), int(self.seed))
+            out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), self.seed)
         return out, np.searchsorted(starts, at)

@@ -386,6 +386,13 @@ def test_licenses(spark, odd):
     docs = table(spark, [(1, mit, "s"), (2, "Words.\nReleased under the MIT License.\n# SPDX-License-Identifier: ISC\nMore.", "s"), (3, licenses.MIT + " But.", "s"), (4, None, "s"), (5, "Licensed under CC BY-NC 4.0.", "s"), (5, "Licensed under CC BY-NC 4.0.", "s"), (None, "", "s")])
     got = sorted(((r.doc_id, r.license, r.n_notices, r.notices) for r in licenses.scan(docs).collect()), key=str)
     assert got == sorted([(1, "MIT", 0, ""), (2, None, 2, "ISC,MIT"), (3, None, 0, ""), (4, None, 0, ""), (5, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0"), (5, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0"), (None, None, 0, "")], key=str)
+    # A long licence is known by its digest alone; without an entry for its text the same rows have none.
+    text = licenses.GPL_HEADER.format(v=9) * 3
+    long = licenses.canonical(table(spark, [(1, text, "s")]), "text").first()
+    known = licenses.known_digests(spark, [], [("Long-1", long.digest, len(" ".join(x for x in long.lines if x)))])
+    mine = table(spark, [(1, text.upper().replace(" ", "\n "), "s"), (2, text + " x", "s"), (1, text.upper().replace(" ", "\n "), "s")])
+    assert sorted((r.doc_id, r.license, r.n_notices) for r in licenses.scan(mine, known).collect()) == [(1, "Long-1", 0), (1, "Long-1", 0), (2, None, 0)]
+    assert len({d for _, d, _ in licenses.LONG}) == len(licenses.LONG) and all(len(d) == 64 and n > 1000 for _, d, n in licenses.LONG)
     assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(odd).count() == odd.count()
 
 
