@@ -23,10 +23,15 @@ CHUNK = 8 << 20
 PER_ROW = 2048
 
 
+def pieces(docs: DataFrame, text_column: str = "text", chunk_bytes: int = CHUNK) -> int:
+    """The number of chunks, and of shards."""
+    total = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    return max(math.ceil(total / max(chunk_bytes, math.isqrt(total * PER_ROW))), 3 * docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def dealt(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk_bytes: int = CHUNK) -> tuple[DataFrame, int]:
     """(doc_id, text, chunk) and the number of chunks. Rows are dealt by a hash of id and text; a null text becomes empty."""
-    total = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
-    n = max(math.ceil(total / max(chunk_bytes, math.isqrt(total * PER_ROW))), 3 * docs.sparkSession.sparkContext.defaultParallelism)
+    n = pieces(docs, text_column, chunk_bytes)
     text = F.coalesce(F.col(text_column), F.lit(""))
     chunk = F.pmod(F.xxhash64(F.col(id_column), text), F.lit(n)).cast("int")
     return small_batches(docs).select(F.col(id_column).alias("doc_id"), text.alias("text"), chunk.alias("chunk")), n
