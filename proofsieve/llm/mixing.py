@@ -25,12 +25,15 @@ SEED = 7
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each size to take, at most ``counts``, for the sum nearest to ``budget``, the smaller one of two."""
-    most = budget + int(sizes.max(initial=0))
-    reached, by = np.zeros(most + 1, bool), np.full(most + 1, -1)
+    """How many of each size to take, at most ``counts``, for the sum nearest to ``budget``, the smaller one of two. Sums are counted in
+    the sizes' common divisor."""
+    unit = max(1, int(np.gcd.reduce(sizes))) if len(sizes) else 1
+    sizes, goal = sizes // unit, budget // unit
+    most = goal + int(sizes.max(initial=0))
+    reached, by = np.zeros(most + 1, bool), np.full(most + 1, -1, np.int32)
     reached[0] = True
     for k, (size, count) in enumerate(zip(sizes.tolist(), counts.tolist(), strict=True)):
-        if reached[budget]:
+        if reached[goal] and goal * unit == budget:
             break
         front = np.flatnonzero(reached)
         for _ in range(count):
@@ -41,7 +44,7 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             reached[front] = True
             by[front] = k
     sums = np.flatnonzero(reached)
-    out, at = np.zeros(len(sizes), np.int64), int(sums[np.argmin(np.abs(sums - budget))])
+    out, at = np.zeros(len(sizes), np.int64), int(sums[np.argmin(np.abs(sums * unit - budget))])
     while at:
         out[by[at]] += 1
         at -= int(sizes[by[at]])
@@ -79,9 +82,15 @@ def targets(sized: DataFrame) -> DataFrame:
     source's size; the excess goes to the other sources by weight until none is above. The table has one row per source;
     each round reads three sums from it.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    sums = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
-    sources = stored(sums.select("key", "source_size", (place % 3 + 1).cast("double").alias("weight")), "mixing-sources")
+    # Places of the sorted sources: the place in its partition of the sort and, by a count of each partition, those before it.
+    sums = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last())
+    within = stored(sums.select("key", "source_size", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("own")), "mixing-sources")
+    before, starts = 0, [(-1, 0)]
+    for r in within.groupBy("part").agg((F.max("own") + 1).alias("n")).orderBy("part").collect():
+        starts.append((r.part, before))
+        before += r.n
+    starts = F.broadcast(sized.sparkSession.createDataFrame(starts, "part int, start bigint"))  # a row for each partition of the sort
+    sources = within.join(starts, "part").select("key", "source_size", ((F.col("own") + F.col("start")) % 3 + 1).cast("double").alias("weight"))
     full = F.col("source_size") * MOST
     level, before = 0.0, -1
     while True:
@@ -136,11 +145,14 @@ def mixture(docs: DataFrame) -> DataFrame:
 
     Rows that share id, source and size are told apart by their place among these, in the order of the text.
     """
-    size, row, place, times, copy = (fresh(n, docs.columns) for n in ("size", "row", "nth", "copies", "copy"))
+    size, row, place, times, alike, copy = (fresh(n, docs.columns) for n in ("size", "row", "nth", "copies", "alike", "copy"))
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
     nth = lambda *order: F.row_number().over(Window.partitionBy(row).orderBy(*order))
-    plan = copies(docs).withColumn(row, F.xxhash64("doc_id", "source", "size"))
-    plan = plan.withColumn(place, nth("doc_id", "source", "size", "copies")).where("copies > 0").select(row, place, F.col("copies").alias(times))
-    own = docs.withColumn(size, words).withColumn(row, F.xxhash64("doc_id", "source", size)).withColumn(place, nth("doc_id", "source", size, "text"))
-    repeated = own.hint("merge").join(plan.hint("merge"), [row, place])
-    return repeated.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)
+    plan = stored(copies(docs).select("doc_id", "source", "size", "copies").withColumn(row, F.xxhash64("doc_id", "source", "size")), "mixing-copies")
+    of_row = plan.groupBy(row).agg(F.count("*").alias(alike), F.max("copies").alias(times))
+    found = docs.withColumn(size, words).withColumn(row, F.xxhash64("doc_id", "source", size)).hint("merge").join(of_row.hint("merge"), row)
+    # Only rows that share all three are numbered; texts of the others are shuffled once, to meet their number of copies.
+    placed = plan.withColumn(place, nth("doc_id", "source", "size", "copies")).where("copies > 0").select(row, place, F.col("copies").alias(times))
+    shared = found.where(F.col(alike) > 1).drop(times).withColumn(place, nth("doc_id", "source", size, "text")).hint("merge").join(placed.hint("merge"), [row, place])
+    taken = found.where((F.col(alike) == 1) & (F.col(times) > 0)).select(*docs.columns, times).union(shared.select(*docs.columns, times))
+    return taken.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)

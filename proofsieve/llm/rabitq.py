@@ -1,10 +1,12 @@
 """Nearest neighbours by inner product over randomly rotated one-bit codes.
 
 Each vector less the mean is rotated by a seeded random rotation and kept as the signs of its components, packed in bits, with
-its length, the inner product of the code and the vector, and its inner product with the mean. From these the
-inner product with a query is estimated without bias, with a known error. In each block of codes the best estimates are
+its length, the inner product of the code and the vector, and its inner product with the mean. A query is rotated and cut into
+bit planes; counting the bits that a code shares with each plane gives the inner product of both, and with the scalars
+an estimate of that of the vectors, without bias and with a known error. In each block of codes the best estimates are
 computed exactly, which gives a threshold; every vector whose upper bound reaches it is reranked on the original vectors.
-All rows are coded; only the mean, over all rows, and the rotation are kept outside the codes.
+All rows are coded; only the mean, over all rows, and the rotation are kept outside the codes. The stated queries meet all rows in blocks; a
+block's vectors go along with its codes in their own precision, since a block of a thousand queries asks for nearly all of them.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from proofsieve.llm.vectors import block_numbers, by_dim, matrix, moments, usabl
 
 #: Candidates in a block; queries in a block; pairs that are reranked at a time.
 CODES, QUERIES, RERANKED = 8192, 1024, 1 << 16
+#: Bit planes of a query.
+PLANES = 6
 #: Width of the error bound in standard deviations, about.
 BOUND = 2.4
 SEED = 5
@@ -45,15 +49,34 @@ class Codes:
         factor = np.abs(turned).sum(axis=1) / math.sqrt(x.shape[1])
         return cls(np.packbits(turned > 0, axis=1), length, np.where(length > 0, factor, 1.0), x @ mean, x.shape[1])
 
+    def shared(self, levels: np.ndarray) -> np.ndarray:
+        """For each query and code the sum of the query's levels where the code has a one, counted on packed bits."""
+        wide = -(-self.bits.shape[1] // 8) * 8
+        words = lambda x: np.pad(x, ((0, 0), (0, wide - x.shape[1]))).view(np.uint64)
+        codes, out = words(self.bits).T.copy(), np.zeros((len(levels), len(self.bits)), np.int32)
+        for plane in range(PLANES):
+            asked = words(np.packbits(levels >> plane & 1, axis=1))
+            for word in range(len(codes)):
+                out += np.left_shift(np.bitwise_count(asked[:, word, None] & codes[word]), plane, dtype=np.int32)
+        return out
+
     def estimates(self, queries: np.ndarray, mean: np.ndarray, turn: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
         """(estimated inner products, their error bounds), a row for each query."""
         rest = queries - mean
-        signs = np.unpackbits(self.bits, axis=1, count=self.dim).astype(np.float32) * 2 - 1
-        cosine = (rest @ turn).astype(np.float32) @ signs.T / (math.sqrt(self.dim) * self.factor).astype(np.float32)
+        turned, size = rest @ turn, np.linalg.norm(rest, axis=1)
+        low, step = turned.min(axis=1, keepdims=True), np.maximum(np.ptp(turned, axis=1, keepdims=True), 1e-300) / ((1 << PLANES) - 1)
+        levels = np.rint((turned - low) / step).astype(np.uint8)
+        # Of the query's levels with the code's signs: twice those at its ones less all.
+        signed = 2 * self.shared(levels).astype(np.float32) - levels.sum(axis=1, dtype=np.float32, keepdims=True)
+        ones = 2 * np.bitwise_count(self.bits).sum(axis=1, dtype=np.float32) - np.float32(self.dim)
+        cosine = (step.astype(np.float32) * signed + low.astype(np.float32) * ones) / (math.sqrt(self.dim) * self.factor).astype(np.float32)
         # <v, q> = <v - m, q - m> + <v, m> + <q, m> - <m, m>
         value = cosine * self.length.astype(np.float32) + self.at_mean.astype(np.float32) + (queries @ mean - mean @ mean).astype(np.float32)[:, None]
-        spread = np.sqrt(np.maximum(0, 1 - self.factor**2)) / self.factor * self.length * bound / math.sqrt(max(1, self.dim - 1))
-        return value, np.linalg.norm(rest, axis=1).astype(np.float32)[:, None] * spread.astype(np.float32) + np.float32(1e-5)
+        # The code's error, and that of the levels, each off by a twelfth of a squared step.
+        spread = np.sqrt(np.maximum(0, 1 - self.factor**2) / max(1, self.dim - 1)) / self.factor * self.length * bound
+        rounded = step.ravel() * bound / math.sqrt(12)
+        error = np.sqrt((size[:, None].astype(np.float32) * spread.astype(np.float32)) ** 2 + (rounded[:, None].astype(np.float32) * (self.length / self.factor).astype(np.float32)) ** 2)
+        return value, error + np.float32(1e-5)
 
 
 def exact(queries: np.ndarray, vectors: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -89,9 +112,15 @@ def nearest_in(codes: Codes, vectors: np.ndarray, ids: np.ndarray, queries: np.n
     return rows[place < k], columns[place < k], products[place < k]
 
 
+def stored_kind(vectors: DataFrame) -> type:
+    """The precision in which components are kept: that of the column, which double precision holds exactly."""
+    return np.float32 if dict(vectors.dtypes)["v"] == "array<float>" else np.float64
+
+
 def packed_rows(vectors: DataFrame, size: int, means: dict[int, np.ndarray] | None) -> DataFrame:
     """Blocks (dim, block, ids, v) of ``vectors`` (id, v), with their codes if the means are given."""
     coded = ["bits", "length", "factor", "at_mean"] if means is not None else []
+    kind = stored_kind(vectors)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = block_numbers()
@@ -106,7 +135,7 @@ def packed_rows(vectors: DataFrame, size: int, means: dict[int, np.ndarray] | No
                 values = [d, next(numbers), own.tobytes(), v.tobytes()]
                 if means is not None:
                     turn = turns.setdefault(d, rotation(d))
-                    c = Codes.of(v, means[d], turn)
+                    c = Codes.of(v.astype(np.float64), means[d], turn)
                     values += [c.bits.tobytes(), c.length.tobytes(), c.factor.tobytes(), c.at_mean.tobytes()]
                 kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (len(values) - 2)]
                 yield pa.RecordBatch.from_arrays([pa.array([a], t) for a, t in zip(values, kinds, strict=True)], names=["dim", "block", "ids", "v", *coded])
@@ -115,7 +144,7 @@ def packed_rows(vectors: DataFrame, size: int, means: dict[int, np.ndarray] | No
         for batch in batches:
             for d, rows in by_dim(batch.column(1)):
                 part = batch.take(pa.array(rows))
-                held.setdefault(d, []).append((part.column(0).to_numpy(), matrix(part.column(1), d)))
+                held.setdefault(d, []).append((part.column(0).to_numpy(), part.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, d)))
                 if sum(len(i) for i, _ in held[d]) >= size:
                     yield from blocks(d, size)
         for d in held:
@@ -129,10 +158,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, bound: float = BOU
     double precision, ties to the smaller id; all candidates if there are fewer.
 
     Vectors that are null, zero or hold null or non-finite components, and rows with a null id, take no part. A query is
-    compared with vectors of its own length, but with none that has its own id. Queries and candidates meet in blocks. An empty
-    table gives an empty one; other columns are ignored.
+    compared with vectors of its own length, but with none that has its own id. Rows that repeat an id are vectors of their own: each of
+    them may be in a list, and each that is a query has a list of its own, ranks from 1, under the id that they share. Queries and
+    candidates meet in blocks. An empty table gives an empty one; other columns are ignored.
     """
     rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).alias("v")).where(F.col("id").isNotNull() & usable("v"))
+    kind = stored_kind(rows)
     means = {d: m for d, (m, _) in moments(rows, square=False, unit=False).items()}
     index = stored(packed_rows(rows, CODES, means), "rabitq-index")
     asked = stored(packed_rows(rows.where(F.col("id") % every == 0), QUERIES, None), "rabitq-queries")
@@ -151,13 +182,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, bound: float = BOU
                 r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 d = r["dim"]
                 ids, query_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["query_ids"], np.int64)
-                x, q = np.frombuffer(r["v"]).reshape(-1, d), np.frombuffer(r["queries"]).reshape(-1, d)
+                x, q = (np.frombuffer(r[c], kind).astype(np.float64).reshape(-1, d) for c in ("v", "queries"))
                 codes = Codes(np.frombuffer(r["bits"], np.uint8).reshape(len(ids), -1), *(np.frombuffer(r[c]) for c in ("length", "factor", "at_mean")), d)
                 turn = turns.setdefault(d, rotation(d))
                 for a in range(0, len(q), 256):
                     row, column, product = nearest_in(codes, x, ids, q[a : a + 256], query_ids[a : a + 256], means[d], turn, k, bound)
-                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[a : a + 256][row]), pa.array(ids[column]), pa.array(product)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), r["query_block"])), pa.array(a + row), pa.array(query_ids[a : a + 256][row]), pa.array(ids[column]), pa.array(product)], names=["block", "place", "query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(search, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = met.mapInArrow(search, "block bigint, place bigint, query_id bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("block", "place").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -381,6 +381,12 @@ def test_budget_is_fitted_beside_long_documents():
         assert abs(int((sizes * (counts * passes + extra)).sum()) - want) == 0
 
 
+def test_budgets_of_documents_longer_than_the_program():
+    for sizes, counts, target, want in (([140_000], [3], 80_000, 140_000), ([150_000, 200_000], [1, 1], 190_000, 200_000), ([300, 200_000], [500, 1], 175_000, 174_900)):
+        passes, extra = mixing.fit_budget(np.array(sizes), np.array(counts), float(target))
+        assert int((np.array(sizes) * (passes * np.array(counts) + extra)).sum()) == want
+
+
 def test_licenses(spark, odd):
     mit = "The MIT Licence (MIT)\n\nCopyright (c) 2020 Someone\n\n" + licenses.MIT.replace("sublicense", "sub-license").lower().replace(". ", ".\n")
     docs = table(spark, [(1, mit, "s"), (2, "Words.\nReleased under the MIT License.\n# SPDX-License-Identifier: ISC\nMore.", "s"), (3, licenses.MIT + " But.", "s"), (4, None, "s"), (5, "Licensed under CC BY-NC 4.0.", "s"), (5, "Licensed under CC BY-NC 4.0.", "s"), (None, "", "s")])

@@ -111,3 +111,43 @@ def test_near_duplicates_over_many_blocks(spark, monkeypatch):
         root = np.where(near, root[None, :], 600).min(axis=1)
     want = sorted((k, int(near[k].sum()) - 1, int(root[k])) for k in range(600))
     assert sorted(map(tuple, ego.near_duplicates(table).select("vec_id", "n_links", "component_id").collect())) == want
+
+
+def test_nearest_over_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 70)).astype(np.float32)
+    monkeypatch.setattr(rabitq, "CODES", 64)
+    monkeypatch.setattr(rabitq, "QUERIES", 8)
+    got = {}
+    for r in rabitq.nearest(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], SCHEMA).repartition(3)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    y, hit = x.astype(float), 0
+    assert set(got) == set(range(0, 900, 20))
+    for q, rows in got.items():
+        near = sorted((-float((y[q] * y[i]).sum()), i) for i in range(900) if i != q)[:20]
+        rows = sorted(rows)
+        assert [r[0] for r in rows] == list(range(1, 21)) and len({r[1] for r in rows}) == 20
+        hit += len({i for _, i in near} & {r[1] for r in rows})
+    assert hit / (20 * len(got)) >= 0.97
+
+
+def test_nearest_with_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    a, b, c = rng.normal(size=(3, 16)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in [(20, a), (20, b), (5, a), (5, b), (6, c)]], SCHEMA)
+    dot = lambda x, y: float((x.astype(float) * y.astype(float)).sum())
+    want = []
+    for q in (a, b):  # a list for each of the two rows
+        near = sorted((-dot(q, v), i) for i, v in [(5, a), (5, b), (6, c)])
+        want += [(20, k + 1, i, round(-s, 9)) for k, (s, i) in enumerate(near)]
+    assert sorted((r[0], r[1], r[2], round(r[3], 9)) for r in rabitq.nearest(table).collect()) == sorted(want)
+
+
+def test_estimates_keep_to_their_bounds():
+    rng = np.random.default_rng(10)
+    for dim in (13, 64, 200):
+        x, q = rng.normal(size=(2000, dim)), rng.normal(size=(50, dim))
+        mean, turn = x.mean(axis=0), rabitq.rotation(dim)
+        value, error = rabitq.Codes.of(x, mean, turn).estimates(q, mean, turn, 2.4)
+        off = value - q @ x.T
+        assert (np.abs(off) <= error).mean() > 0.97 and abs(off.mean()) < 0.05 * error.mean()
