@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from proofsieve.functions.terms import SIGNAL_TERMS
 from proofsieve.functions.text import canonical_section_key, given, normalize_python, normalize_token, tokens
 
-#: A table of queries up to this many rows may be sent to every task; above it the search is a shuffled join by ticker.
-BROADCAST_QUERIES = 10_000
+#: So many rows, or bytes, of a table of queries are sent to every task at a time.
+BROADCAST_QUERIES, BROADCAST_BYTES = 10_000, 32 << 20
+#: So many terms that are asked for may be sent to every task; more are met by a shuffled join.
+BROADCAST_TERMS = 500_000
 
 
 def top(rows: DataFrame, k: int | Column, *order: Column | str, by: str | list[str] = "query_id", rank: str = "rank") -> DataFrame:
@@ -36,18 +38,21 @@ def meets(query: str, chunk: str, strict: bool = False) -> Column:
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, strict: bool = False) -> DataFrame:
-    """Pairs (q.*, c.*) that pass the filters. Queries with a ticker are joined on it; those without one, of a checked number, go to every task, in rounds."""
-    scoped = queries.where("ticker is not null").alias("q").join(chunks.alias("c"), (F.upper("q.ticker") == F.col("c.ticker")) & meets("q", "c", strict))
-    free = queries.where("ticker is null")
-    n = free.count()
-    if not n:
-        return scoped
-    rounds = -(-n // BROADCAST_QUERIES)
-    out = scoped
-    for k in range(rounds):
-        part = free.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == k) if rounds > 1 else free
-        out = out.union(chunks.alias("c").join(F.broadcast(part).alias("q"), meets("q", "c", strict)).select("q.*", "c.*"))
-    return out
+    """Pairs (q.*, c.*) that pass the filters. Queries are sent to every task, in rounds of a checked size, so that chunks stay where they are and no
+    ticker's chunks meet in one task; those with a ticker are looked up by it."""
+    sizes = {"text": F.octet_length, "embedding": lambda c: 8 * F.size(c), "q_embedding": lambda c: 8 * F.size(c)}
+    width = sum([F.coalesce(sizes[c](F.col(c)), F.lit(0)) for c in queries.columns if c in sizes], F.lit(200))
+    scoped = F.col("ticker").isNotNull()
+    out = None
+    for r in queries.groupBy(scoped.alias("scoped")).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).collect():
+        rounds = max(-(-r.n // BROADCAST_QUERIES), -(-r.bytes // BROADCAST_BYTES))
+        own = queries.where(scoped if r.scoped else ~scoped)
+        for k in range(rounds):
+            part = own.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == k) if rounds > 1 else own
+            on = meets("q", "c", strict)
+            pairs = chunks.alias("c").join(F.broadcast(part).alias("q"), (F.upper("q.ticker") == F.col("c.ticker")) & on if r.scoped else on).select("q.*", "c.*")
+            out = pairs if out is None else out.union(pairs)
+    return out if out is not None else queries.limit(0).alias("q").join(chunks.alias("c"), F.upper("q.ticker") == F.col("c.ticker")).select("q.*", "c.*")
 
 
 def count_documents(queries: DataFrame, chunks: DataFrame, strict: bool = False) -> DataFrame:
@@ -75,8 +80,9 @@ def relevance(d: Column) -> Column:
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, metric: str = "cosine", digits: int = 9) -> DataFrame:
-    """(query_id, chunk_id, rank, distance, relevance) of the nearest chunks under the filters; distances rounded before ranking."""
-    pairs = candidates(queries.withColumnRenamed("embedding", "q_embedding"), chunks.drop("text").withColumnRenamed("embedding", "c_embedding"))
+    """(query_id, chunk_id, rank, distance, relevance) of the nearest chunks under the filters, of those that have a vector; distances rounded before ranking."""
+    there = chunks.drop("text").where("embedding is not null").withColumnRenamed("embedding", "c_embedding")
+    pairs = candidates(queries.withColumnRenamed("embedding", "q_embedding"), there)
     d = F.round(distance(F.col("q_embedding"), F.col("c_embedding"), metric), digits)
     near = top(pairs.select("query_id", "chunk_id", d.alias("distance")), k, "distance", "chunk_id")
     return near.select("query_id", "chunk_id", "rank", "distance", relevance(F.col("distance")).alias("relevance"))
@@ -87,11 +93,11 @@ def section_fallback(queries: DataFrame, chunks: DataFrame, k: int = 5, metric:
     from proofsieve.functions.text import section_descriptor
 
     q = queries.withColumn("__key", canonical_section_key("section")).withColumn("__display", section_descriptor("section")["display_name"]).withColumnRenamed("embedding", "__q")
-    c = chunks.select("chunk_id", F.col("ticker").alias("__ticker"), F.col("section_key").alias("__c_key"), F.col("section_name").alias("__c_name"), F.col("embedding").alias("__c"))
+    c = chunks.where("embedding is not null").select("chunk_id", F.col("ticker").alias("__ticker"), F.col("section_key").alias("__c_key"), F.col("section_name").alias("__c_name"), F.col("embedding").alias("__c"))
     way = F.when(F.col("__key") == F.col("__c_key"), 0).when(F.col("__display") == F.col("__c_name"), 1).when(F.col("section") == F.col("__c_name"), 2)
     pairs = q.join(c, F.upper("ticker") == F.col("__ticker")).withColumn("strategy", way).where("strategy is not null")
     used = pairs.groupBy("query_id", "section").agg(F.min("strategy").alias("strategy"))
-    kept = pairs.join(used, ["query_id", "section", "strategy"])
+    kept = pairs.hint("merge").join(used.hint("merge"), ["query_id", "section", "strategy"])
     d = F.round(distance(F.col("__q"), F.col("__c"), metric), 9)
     near = top(kept.select("query_id", "section", "strategy", "chunk_id", d.alias("distance")), k, "distance", "chunk_id", by=["query_id", "section"])
     return near.withColumn("relevance", relevance(F.col("distance")))
@@ -100,7 +106,7 @@ def section_fallback(queries: DataFrame, chunks: DataFrame, k: int = 5, metric:
 def search_sections(queries: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
     """Best chunks over a query's ``sections``: the fallback search in each, of a chunk found twice the first section's hit, by relevance."""
     each = queries.select("*", F.posexplode("sections").alias("section_pos", "section")).drop("sections")
-    hits = section_fallback(each, chunks, k).join(each.select("query_id", "section", "section_pos").distinct(), ["query_id", "section"])
+    hits = section_fallback(each, chunks, k).hint("merge").join(each.select("query_id", "section", "section_pos").distinct().hint("merge"), ["query_id", "section"])
     first = top(hits.drop("rank"), 1, "section_pos", by=["query_id", "chunk_id"], rank="__n").drop("__n")
     return top(first, k, F.col("relevance").desc(), "chunk_id").select("query_id", "chunk_id", "rank", "section", "distance", "relevance")
 
@@ -133,8 +139,10 @@ def section_intent(queries: DataFrame, max_sections: int = 3) -> DataFrame:
 
 
 def matched_in(text: Column, terms: Column) -> Column:
-    """How many of the terms are in a text, both normalized."""
-    return F.size(F.filter(terms, lambda t: F.contains(normalize_token(text), normalize_token(t))))
+    """How many of the terms are in a text, both normalized; the text once, as the start of the count."""
+    start = F.struct(normalize_token(text).alias("t"), F.lit(0).alias("n"))
+    step = lambda s, term: F.struct(s["t"].alias("t"), (s["n"] + F.coalesce(F.contains(s["t"], normalize_token(term)).cast("int"), F.lit(0))).alias("n"))
+    return F.coalesce(F.aggregate(terms, start, step, lambda s: s["n"]), F.lit(0))
 
 
 def section_aware_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
@@ -165,18 +173,23 @@ def postings(corpus: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, scope: list[str] | None = None, k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:
     """(query_id, chunk_id, rank, score) by BM25 with smoothed idf, counts per scope (columns of both tables). Chunks without a common term are no hits.
 
-    Postings are cut down to the terms that are asked for before they are counted, by a semi join on (scope, term).
+    The corpus is tokenized once. A term's row is dropped where it stands unless it is asked for in its scope, by a hash join with the terms if these are
+    few enough to be sent to every task, and only what is left is counted and shuffled; one row without a term tells of each chunk's length.
     """
     scope = scope if scope is not None else ["ticker"]
     asked = queries.select("query_id", *scope, F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    terms = asked.select(*scope, "term").distinct().withColumn("__asked", F.lit(True))
     words = corpus.select(*scope, "chunk_id", tokens("text").alias("__t")).withColumn("dl", F.size("__t"))
-    stats = words.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    used = words.select(*scope, "chunk_id", "dl", F.explode("__t").alias("term")).hint("merge").join(asked.select(*scope, "term").distinct().hint("merge"), [*scope, "term"], "left_semi")
-    post = used.groupBy(*scope, "term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    each = words.select(*scope, "chunk_id", "dl", F.explode(F.concat(F.array(F.lit("")), F.coalesce("__t", F.array().cast("array<string>")))).alias("term"))
+    few = terms.count() <= BROADCAST_TERMS
+    used = (each.join(F.broadcast(terms), [*scope, "term"], "left") if few else each.hint("merge").join(terms.hint("merge"), [*scope, "term"], "left")).where("__asked or term = ''")
+    every = used.groupBy(*scope, "term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    stats = every.where("term = ''").groupBy(*scope).agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum(F.when(F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl"))
+    post = every.where("term <> ''")
     df = post.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighed = post.hint("merge").join(df.hint("merge"), [*scope, "term"]).join(stats, scope).select(*scope, "term", "chunk_id", weight.alias("w"))
+    weighed = post.hint("merge").join(df.hint("merge").join(stats.hint("merge"), scope).hint("merge"), [*scope, "term"]).select(*scope, "term", "chunk_id", weight.alias("w"))
     scored = asked.hint("merge").join(weighed.hint("merge"), [*scope, "term"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), digits).alias("score"))
     return top(scored, k, F.col("score").desc(), "chunk_id").select("query_id", "chunk_id", "rank", "score")
 
@@ -196,7 +209,7 @@ def rrf_fuse(*ranked: tuple[DataFrame, float], c: int = 60, digits: int = 9) ->
 def overlap_share(query: Column, text: Column) -> Column:
     """Share of the query's distinct tokens that are in the text."""
     q = F.array_distinct(tokens(query))
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(text))) / F.size(q)).otherwise(0.0)
+    return F.coalesce(F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(text))) / F.size(q)), F.lit(0.0))
 
 
 def overlap_rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -225,11 +238,19 @@ def merge_candidates(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     return rows.withColumn("best_rank", best).withColumn("sources", sources)
 
 
+def with_texts(rows: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Adds ``__q`` and ``__c``, the texts of query and chunk, and ``__section``, the chunk's; rows that have them stay as they are."""
+    if "__c" in rows.columns:
+        return rows
+    return rows.join(queries.select("query_id", F.col("text").alias("__q")), "query_id").join(chunks.select("chunk_id", F.col("text").alias("__c"), F.col("section_key").alias("__section")), "chunk_id")
+
+
 def rerank(rows: DataFrame, queries: DataFrame, chunks: DataFrame, make: Callable[[], Callable[[list[tuple[str, str]]], list[float]]] | None = None, batch_size: int = 16, most: int = 4000) -> DataFrame:
     """Adds ``reranker_score`` of (query, text cut to ``most``): by a user's scorer, made once a task, which must return a score for each pair or the job fails; else the overlap."""
-    both = rows.join(queries.select("query_id", F.col("text").alias("__q")), "query_id").join(chunks.select("chunk_id", F.substring("text", 1, most).alias("__c")), "chunk_id")
+    both, cut, given_texts = with_texts(rows, queries, chunks), F.substring("__c", 1, most), "__c" in rows.columns
+    drop = [] if given_texts else ["__q", "__c", "__section"]
     if make is None:
-        return both.withColumn("reranker_score", F.round(overlap_share(F.col("__q"), F.col("__c")), 9)).drop("__q", "__c")
+        return both.withColumn("reranker_score", F.round(overlap_share(F.col("__q"), cut), 9)).drop(*drop)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -243,16 +264,17 @@ def rerank(rows: DataFrame, queries: DataFrame, chunks: DataFrame, make: Callabl
                 out += got
             yield pd.Series(out, dtype="float64")
 
-    return both.withColumn("reranker_score", scored("__q", "__c")).drop("__q", "__c")
+    return both.withColumn("reranker_score", scored("__q", cut)).drop(*drop)
 
 
-def priors(rows: DataFrame, intent: DataFrame, chunks: DataFrame, use: bool = True) -> DataFrame:
+def priors(rows: DataFrame, queries: DataFrame, intent: DataFrame, chunks: DataFrame, use: bool = True) -> DataFrame:
     """Adds section_prior (0.20 in a target section) and keyword_prior (0.03 a matched term, 0.15 at most)."""
+    drop = [] if "__c" in rows.columns else ["__q", "__c", "__section"]
     if not use:
         return rows.withColumn("section_prior", F.lit(0.0)).withColumn("keyword_prior", F.lit(0.0))
-    both = rows.join(intent.select("query_id", "target_sections", "matched_terms"), "query_id").join(chunks.select("chunk_id", "section_key", F.col("text").alias("__c")), "chunk_id")
-    section = F.when(F.array_contains("target_sections", F.col("section_key")), 0.20).otherwise(0.0)
-    return both.withColumn("section_prior", section).withColumn("keyword_prior", F.least(F.lit(0.15), F.round(0.03 * matched_in(F.col("__c"), F.col("matched_terms")), 9))).drop("__c", "target_sections", "matched_terms", "section_key")
+    both = with_texts(rows, queries, chunks).join(intent.select("query_id", "target_sections", "matched_terms"), "query_id")
+    section = F.when(F.array_contains("target_sections", F.col("__section")), 0.20).otherwise(0.0)
+    return both.withColumn("section_prior", section).withColumn("keyword_prior", F.least(F.lit(0.15), F.round(0.03 * matched_in(F.col("__c"), F.col("matched_terms")), 9))).drop(*drop, "target_sections", "matched_terms")
 
 
 def reranked_search(queries: DataFrame, chunks: DataFrame, k: int = 5, wide: int = 30, make: Callable | None = None, fail_open: bool = False) -> DataFrame:
@@ -262,8 +284,8 @@ def reranked_search(queries: DataFrame, chunks: DataFrame, k: int = 5, wide: int
     dense = dense_topk(queries, chunks, wide)
     if fail_open:
         return dense.where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", (1 / F.col("rank")).alias("final_score"))
-    rows = merge_candidates(dense, bm25_topk(queries, chunks, wide))
-    scored = priors(rerank(rows, queries, chunks, make), section_intent(queries), chunks)
+    rows = with_texts(merge_candidates(dense, bm25_topk(queries, chunks, wide)), queries, chunks)
+    scored = priors(rerank(rows, queries, chunks, make), queries, section_intent(queries), chunks)
     final = F.round(F.col("reranker_score") + F.col("section_prior") + F.col("keyword_prior"), 6)
     return top(scored.withColumn("final_score", final), k, F.col("final_score").desc(), "best_rank", "chunk_id").select("query_id", "chunk_id", "rank", "dense_rank", "bm25_rank", "reranker_score", "section_prior", "keyword_prior", "final_score", "sources")
 
@@ -276,6 +298,6 @@ def multi_query(entities: DataFrame, chunks: DataFrame, per_query: int = 3, k: i
     """Four questions for each entity (entity_id, name, ticker), by BM25 in its ticker, ``per_query`` hits each; texts that begin with the same 100 characters count once; the best ``k``."""
     asked = F.array(*[F.concat(*[x for part in t.split("{}") for x in (F.lit(part), F.col("name"))][:-1]) for t in TEMPLATES])
     q = entities.select("entity_id", "ticker", F.posexplode(asked).alias("query_no", "text")).withColumn("query_id", F.concat_ws("#", "entity_id", "query_no"))
-    hits = bm25_topk(q, chunks, per_query).join(q.select("query_id", "entity_id", "query_no"), "query_id").join(chunks.select("chunk_id", F.md5(F.substring("text", 1, 100)).alias("head")), "chunk_id")
+    hits = bm25_topk(q, chunks, per_query).hint("merge").join(q.select("query_id", "entity_id", "query_no").hint("merge"), "query_id").join(chunks.select("chunk_id", F.md5(F.substring("text", 1, 100)).alias("head")), "chunk_id")
     first = top(hits, 1, "query_no", "rank", by=["entity_id", "head"], rank="__n").drop("__n", "rank")
     return top(first, k, F.col("score").desc(), "chunk_id", by="entity_id").select("entity_id", "chunk_id", "rank", "query_no", "score")

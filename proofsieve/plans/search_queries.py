@@ -61,7 +61,7 @@ def relevance_score(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "embeddings").select("vec_id", F.round(S.relevance(S.norm(F.col("embedding"))), 9).alias("relevance"))
 
 
-@query(f"WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.FILTERED}, pairs AS (SELECT q.query_id, c.chunk_id, q.embedding AS a, c.embedding AS b FROM fq q JOIN vchunks c ON {V.MEETS.format('q.section_key IS NOT NULL OR ')}), "
+@query(f"WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.FILTERED}, pairs AS (SELECT q.query_id, c.chunk_id, q.embedding AS a, c.embedding AS b FROM fq q JOIN vchunks c ON c.embedding IS NOT NULL AND {V.MEETS.format('q.section_key IS NOT NULL OR ')}), "
        "d AS (SELECT query_id, chunk_id, round(greatest(0, 1 - list_cosine_similarity(a::DOUBLE[], b::DOUBLE[])), 9) AS distance FROM pairs) "
        "SELECT query_id, chunk_id, rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM d) WHERE rank <= 5")
 def search_by_ticker(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +71,7 @@ def search_by_ticker(spark: SparkSession, d: str) -> DataFrame:
 FALLBACK = """, aq AS (SELECT query_id, upper(ticker) AS ticker, embedding, section, section_pos, CASE section WHEN 'Item 1A Risk Factors' THEN 'risk_factors' WHEN 'MD&A' THEN 'md&a' WHEN 'Market Risk' THEN 'market_risk' END AS k FROM asked),
 fp AS (SELECT query_id, section, section_pos, chunk_id, round(greatest(0, 1 - list_cosine_similarity(aq.embedding::DOUBLE[], c.embedding::DOUBLE[])), 9) AS distance,
   CASE WHEN k = c.section_key THEN 0 WHEN coalesce(CASE k WHEN 'risk_factors' THEN 'Risk Factors' WHEN 'md&a' THEN 'MD&A' WHEN 'market_risk' THEN 'Market Risk' END, section) = c.section_name THEN 1 WHEN section = c.section_name THEN 2 END AS strategy
-  FROM aq JOIN vchunks c ON aq.ticker = c.ticker),
+  FROM aq JOIN vchunks c ON aq.ticker = c.ticker AND c.embedding IS NOT NULL),
 fk AS (SELECT * FROM (SELECT *, min(strategy) OVER (PARTITION BY query_id, section) AS used FROM fp WHERE strategy IS NOT NULL) WHERE strategy = used),
 fr AS (SELECT query_id, section, section_pos, strategy, chunk_id, distance, row_number() OVER (PARTITION BY query_id, section ORDER BY distance, chunk_id) AS rank FROM fk)"""
 
@@ -98,7 +98,7 @@ def section_intent(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.WORDED}, {intent_ctes('wq')}, {dense_ctes('wq', 'vchunks', 8, 'cosine')},
 tq AS (SELECT w.query_id, w.ticker, w.embedding, t.section, t.section_pos FROM wq w JOIN (SELECT query_id, unnest(target_sections) AS section, unnest(range(len(target_sections))) AS section_pos FROM intent) t USING (query_id)),
-tp AS (SELECT query_id, section, section_pos, chunk_id, round(greatest(0, 1 - list_cosine_similarity(tq.embedding::DOUBLE[], c.embedding::DOUBLE[])), 9) AS distance FROM tq JOIN vchunks c ON tq.ticker = c.ticker AND tq.section = c.section_key),
+tp AS (SELECT query_id, section, section_pos, chunk_id, round(greatest(0, 1 - list_cosine_similarity(tq.embedding::DOUBLE[], c.embedding::DOUBLE[])), 9) AS distance FROM tq JOIN vchunks c ON tq.ticker = c.ticker AND tq.section = c.section_key AND c.embedding IS NOT NULL),
 ts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY distance, chunk_id) AS n FROM tp) WHERE n <= 8),
 aimed AS (SELECT query_id, chunk_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 1 / (1 + distance) DESC, chunk_id) AS r FROM ts) WHERE r <= 8),
 found AS (SELECT query_id, chunk_id, min(distance) AS distance, max(1 / (1 + distance)) AS relevance, max(t) AS t FROM (SELECT query_id, chunk_id, distance, 0 AS t FROM dense UNION ALL SELECT query_id, chunk_id, distance, 1 FROM aimed) GROUP BY 1, 2),
@@ -123,7 +123,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 FUSED = f"""{dense_ctes('queries', 'vchunks', 20, 'cosine')}, {bm25_ctes('queries', 'vchunks', 20)},
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(sum(w / (60 + rank)), 9) AS fused FROM
   (SELECT query_id, chunk_id, rank, 0.65::DOUBLE AS w FROM dense UNION ALL SELECT query_id, chunk_id, rank, 0.35::DOUBLE FROM bm25) GROUP BY 1, 2))"""
-SHARE = "round(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+')))) / len(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+'))), 9)"
+SHARE = "round(coalesce(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+')))) / len(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+'))), 0), 9)"
 RERANKED = f"{FUSED}, over AS (SELECT f.query_id, f.chunk_id, f.rank AS fused_rank, {SHARE.format(c='c.text')} AS overlap FROM fused f JOIN queries q USING (query_id) JOIN vchunks c USING (chunk_id)), ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, fused_rank) AS rank FROM over)"
 
 
@@ -148,6 +148,13 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return S.hybrid_search(V.queries(spark, d), V.vector_chunks(spark, d)).withColumn("distance", F.round("distance", 9))
 
 
+@query(f"WITH {V.CHUNKS}, vchunks AS (SELECT c.* REPLACE (CASE WHEN ticker NOT IN ('SRC3', 'SRC8', 'SRC13', 'SRC18') THEN text END AS text), e.embedding FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.doc_id), {V.QUERIES}, {RERANKED} SELECT query_id, chunk_id, rank, overlap, fused_rank, CASE WHEN ticker IN (SELECT ticker FROM vchunks WHERE text IS NOT NULL) THEN 'hybrid' ELSE 'dense_fallback' END AS mode FROM ordered JOIN queries USING (query_id) WHERE rank <= 5")
+def hybrid_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search where the chunks of some tickers have no text."""
+    c = V.vector_chunks(spark, d).withColumn("text", F.expr("case when ticker not in ('SRC3', 'SRC8', 'SRC13', 'SRC18') then text end"))
+    return S.hybrid_search(V.queries(spark, d), c).select("query_id", "chunk_id", "rank", "overlap", "fused_rank", "mode")
+
+
 MERGED = f"""{dense_ctes('wq', 'vchunks', 30, 'cosine')}, {bm25_ctes('wq', 'vchunks', 30)}, merged AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.chunk_id, b.chunk_id) AS chunk_id, d.rank AS dense_rank, b.rank AS bm25_rank,
   least(coalesce(d.rank, 10000), coalesce(b.rank, 10000)) AS best_rank, concat_ws(',', CASE WHEN d.rank IS NOT NULL THEN 'dense' END, CASE WHEN b.rank IS NOT NULL THEN 'bm25' END) AS sources
   FROM dense d FULL OUTER JOIN bm25 b ON d.query_id = b.query_id AND d.chunk_id = b.chunk_id)"""
@@ -173,7 +180,7 @@ def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
 def rerank_priors(spark: SparkSession, d: str) -> DataFrame:
     q, c = V.worded_queries(spark, d), V.vector_chunks(spark, d)
     rows = S.merge_candidates(S.dense_topk(q, c, 30), S.bm25_topk(q, c, 30))
-    return S.priors(rows, S.section_intent(q), c).select("query_id", "chunk_id", "section_prior", "keyword_prior")
+    return S.priors(rows, q, S.section_intent(q), c).select("query_id", "chunk_id", "section_prior", "keyword_prior")
 
 
 @query(f"""WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.WORDED}, {PRIORS}, final AS (SELECT *, round(reranker_score + section_prior + keyword_prior, 6) AS final_score FROM prior)

@@ -30,7 +30,7 @@ def dense_ctes(queries: str, chunks: str, k: int, metric: str) -> str:
     a, b = "q.embedding::DOUBLE[]", "c.embedding::DOUBLE[]"
     distance = f"greatest(0, 1 - list_cosine_similarity({a}, {b}))" if metric == "cosine" else f"list_distance({a}, {b})"
     return f"""dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM
-  (SELECT q.query_id, c.chunk_id, round({distance}, 9) AS distance FROM {queries} q JOIN {chunks} c ON q.ticker = c.ticker)) WHERE rank <= {k})"""
+  (SELECT q.query_id, c.chunk_id, round({distance}, 9) AS distance FROM {queries} q JOIN {chunks} c ON q.ticker = c.ticker AND c.embedding IS NOT NULL)) WHERE rank <= {k})"""
 
 
 def bm25_ctes(queries: str, chunks: str, k: int) -> str:

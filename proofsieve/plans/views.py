@@ -28,11 +28,11 @@ CHUNKS = """chunks AS (SELECT doc_id, 'D' || doc_id AS chunk_id, text, upper(sou
 
 
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that have a vector, that of the same number."""
-    return chunks(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    """All chunks, with the vector of the same number where there is one."""
+    return chunks(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
 
 
-VECTOR_CHUNKS = CHUNKS + ", vchunks AS (SELECT c.*, e.embedding FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id)"
+VECTOR_CHUNKS = CHUNKS + ", vchunks AS (SELECT c.*, e.embedding FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.doc_id)"
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
