@@ -5,6 +5,7 @@ Cases: case_id, expected_sections, expected_keywords. Packets: case_id, rank, se
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -184,8 +185,8 @@ HIGHER = ["precision_at_5", "recall_at_5", "mrr_at_5", "ndcg_at_5", "keyword_hit
 LOWER = ["latency_ms", "miss_rate", "first_relevant_rank_mean_among_hits"]
 CONFIG = ["top_k", "retrieved_count"]
 TOLERANCE = 1e-9
-#: Deltas up to this many are sent to every task of the bootstrap; more are joined by a shuffle.
-BROADCAST_DELTAS = 200_000
+#: Where a uniform number of 32 bits has to be at least for 1, 2, 3, ... draws: the Poisson distribution of mean 1.
+DRAWN = [int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(11)]
 
 
 def pair_results(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -226,29 +227,31 @@ def paired(long: DataFrame, baseline: str, mode: str = "mode") -> DataFrame:
     b = long.where(F.col(mode) == baseline).select("case_id", "metric", F.col("value").alias("baseline"))
     pairs = long.where(F.col(mode) != baseline).withColumnRenamed("value", "candidate").join(b, ["case_id", "metric"]).select(mode, "case_id", "metric", "baseline", "candidate")
     latency = pairs.where("metric = 'latency_ms'")
-    w = Window.partitionBy(mode)
-    warm = latency.withColumn("__n", F.row_number().over(w.orderBy("case_id"))).withColumn("__all", F.count("*").over(w)).where("__n > 1 or __all = 1").drop("__n", "__all").withColumn("metric", F.lit("latency_ms_warm"))
+    first = latency.groupBy(F.col(mode).alias("__mode")).agg(F.min("case_id").alias("__first"), F.count("*").alias("__n"))  # a row a mode
+    warm = latency.join(F.broadcast(first), F.col(mode) == F.col("__mode")).where("case_id <> __first or __n = 1").drop("__mode", "__first", "__n").withColumn("metric", F.lit("latency_ms_warm"))
     return pairs.unionByName(warm)
 
 
 def bootstrap_ci(pairs: DataFrame, samples: int = 2000, seed: int = 13, mode: str = "mode") -> DataFrame:
-    """(mode, metric, ci_low, ci_high) of the mean delta: each sample draws as many deltas as there are, by md5 of seed, sample and draw.
+    """(mode, metric, ci_low, ci_high) of the mean delta over samples with replacement.
 
-    The deltas of a (mode, metric) are numbered and joined on the drawn number; of a sample only its mean is kept.
+    How often a sample draws a case is Poisson with mean 1, by md5 of seed, sample and case, the same for all modes and metrics. So each case adds to
+    its samples' sums where it stands, without a join, and only the sums are shuffled. A sample that draws nothing is left out.
     """
     delta = F.col("candidate") - F.col("baseline")
-    w = Window.partitionBy(mode, "metric")
-    rows = pairs.select(mode, "metric", delta.alias("delta"), (F.row_number().over(w.orderBy("case_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
     if samples <= 0:
-        return rows.groupBy(mode, "metric").agg(F.avg("delta").alias("ci_low"), F.avg("delta").alias("ci_high"))
-    # The draws depend on the number of deltas alone, so all pairs with as many share them.
-    draws = rows.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b")).repartition("n", "b").select("*", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("j"))
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "j")), 1, 8), 16, 10).cast("bigint") % F.col("n")
-    how = "broadcast" if rows.count() <= BROADCAST_DELTAS else "merge"
-    picked = draws.select("n", "b", drawn.cast("int").alias("i")).join(rows.hint(how), ["n", "i"])
-    means = picked.groupBy(mode, "metric", "b").agg(F.round(F.avg("delta"), 9).alias("mean"))
+        return pairs.groupBy(mode, "metric").agg(F.avg(delta).alias("ci_low"), F.avg(delta).alias("ci_high"))
+    cases = pairs.groupBy("case_id").agg(F.collect_list(F.struct(F.col(mode), "metric", delta.alias("delta"))).alias("deltas"))  # a case has one for each mode and metric
+    blocks = cases.select("case_id", "deltas", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // 4))).alias("block"))
+    blocks = blocks.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "block", "case_id")))
+    drawn = blocks.select("deltas", (F.col("block") * 4).alias("first"), F.posexplode(F.array(*[F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("bigint") for k in range(4)])).alias("k", "u"))
+    times = sum([(F.col("u") >= least).cast("int") for least in DRAWN], F.lit(0))
+    drawn = drawn.select("deltas", (F.col("first") + F.col("k")).alias("b"), times.alias("times")).where((F.col("times") > 0) & (F.col("b") < samples))
+    each = drawn.select("b", "times", F.explode("deltas").alias("d")).select("b", "times", f"d.{mode}", "d.metric", "d.delta")
+    means = each.groupBy(mode, "metric", "b").agg(F.round(F.sum(F.col("delta") * F.col("times")) / F.sum("times"), 9).alias("mean"))
     ordered = means.groupBy(mode, "metric").agg(F.sort_array(F.collect_list("mean")).alias("m"))
-    return ordered.select(mode, "metric", F.col("m")[int(0.025 * (samples - 1))].alias("ci_low"), F.col("m")[int(0.975 * (samples - 1))].alias("ci_high"))
+    at = lambda q: F.element_at("m", (q * (F.size("m") - 1)).cast("int") + 1)
+    return ordered.select(mode, "metric", at(0.025).alias("ci_low"), at(0.975).alias("ci_high"))
 
 
 def contract_violations(results: DataFrame, mode: str, method: str) -> DataFrame:

@@ -64,9 +64,17 @@ def active_runs(events: DataFrame, by: str) -> DataFrame:
 
 
 def trailing_count(events: DataFrame, by: str, seconds: int) -> DataFrame:
-    """Events of the same key in the ``seconds`` up to each event, itself included."""
-    w = Window.partitionBy(by).orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("n", F.count("*").over(w))
+    """Events of the same key in the ``seconds`` up to each event, itself included. A null time counts with the other nulls of its key.
+
+    A key's time is cut into stretches of ``seconds``; each event also stands at the beginning of the next stretch, so that no
+    window holds more than two stretches of a key.
+    """
+    at = F.unix_micros("ts")
+    stretch = F.floor(at / (seconds * 1_000_000))
+    copies = F.array(F.struct(stretch.alias("s"), F.lit(True).alias("own")), F.struct((stretch + 1).alias("s"), F.lit(False).alias("own")))
+    rows = events.withColumn("__x", F.explode(F.when(at.isNull(), F.slice(copies, 1, 1)).otherwise(copies)))
+    w = Window.partitionBy(by, "__x.s").orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
+    return rows.withColumn("n", F.count("*").over(w)).where("__x.own").drop("__x")
 
 
 def rate_windows(events: DataFrame, by: str, width: str = "5 minutes", slide: str | None = None) -> DataFrame:

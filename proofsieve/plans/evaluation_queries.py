@@ -183,9 +183,9 @@ def _compared(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(X.compare(_long(spark, d), "semantic"), "baseline_mean", "candidate_mean", "paired_delta", "relative_delta")
 
 
-@query(f"SELECT metric, baseline_mean, candidate_mean, paired_delta, relative_delta, shared_count FROM ({COMPARED}) WHERE mode = 'hybrid'")
+@query(f"SELECT mode, metric, baseline_mean, candidate_mean, paired_delta, relative_delta, shared_count FROM ({COMPARED})")
 def compare_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _compared(spark, d).where("mode = 'hybrid'").select("metric", "baseline_mean", "candidate_mean", "paired_delta", "relative_delta", "shared_count")
+    return _compared(spark, d).select("mode", "metric", "baseline_mean", "candidate_mean", "paired_delta", "relative_delta", "shared_count")
 
 
 @query(f"SELECT mode, metric, wins, ties, losses FROM ({COMPARED})")
@@ -198,13 +198,12 @@ def method_matrix(spark: SparkSession, d: str) -> DataFrame:
     return _compared(spark, d)
 
 
-@query(f"""{LONG}{PAIRS}, rows AS (SELECT mode, metric, c - b AS delta, row_number() OVER (PARTITION BY mode, metric ORDER BY case_id) - 1 AS i, count(*) OVER (PARTITION BY mode, metric) AS n FROM pairs WHERE metric = 'precision_at_5'),
-sizes AS (SELECT DISTINCT mode, metric, n FROM rows), draws AS (SELECT mode, metric, b, CAST('0x' || md5('13:' || b || ':' || j)[1:8] AS BIGINT) % n AS i FROM sizes, range(2000) t(b), range(n) u(j)),
-means AS (SELECT d.mode, d.metric, b, round(avg(delta), 9) AS m FROM draws d JOIN rows r ON r.mode = d.mode AND r.metric = d.metric AND r.i = d.i GROUP BY 1, 2, 3)
-SELECT mode, metric, list_sort(list(m))[50] AS ci_low, list_sort(list(m))[1950] AS ci_high FROM means GROUP BY 1, 2""")
+@query(f"""{LONG}{PAIRS}, cases AS (SELECT DISTINCT case_id FROM pairs), u AS (SELECT case_id, 4 * block + k AS b, CAST('0x' || md5('13:' || block || ':' || case_id)[8 * k + 1:8 * k + 8] AS BIGINT) AS u FROM cases, range(500) t(block), range(4) r(k)),
+drawn AS (SELECT case_id, b, {' + '.join(f'(u >= {least})::INTEGER' for least in X.DRAWN)} AS times FROM u),
+means AS (SELECT mode, metric, sample, round(sum((c - p.b) * times) / sum(times), 9) AS m FROM (SELECT mode, metric, case_id, b, c FROM pairs) p JOIN (SELECT case_id, b AS sample, times FROM drawn WHERE times > 0) d USING (case_id) GROUP BY mode, metric, sample)
+SELECT mode, metric, list_sort(list(m))[1 + CAST(floor(0.025 * (len(list(m)) - 1)) AS INTEGER)] AS ci_low, list_sort(list(m))[1 + CAST(floor(0.975 * (len(list(m)) - 1)) AS INTEGER)] AS ci_high FROM means GROUP BY 1, 2""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    pairs = X.paired(_long(spark, d).where("metric = 'precision_at_5'"), "semantic")
-    return X.bootstrap_ci(pairs)
+    return X.bootstrap_ci(X.paired(_long(spark, d), "semantic"))
 
 
 @query("SELECT 'c' || doc_id AS case_id, CASE WHEN doc_id % 9 = 0 THEN 'semantic' ELSE 'hybrid' END AS mode, concat_ws(',', CASE WHEN doc_id % 4 <> 0 THEN 'bm25' END, CASE WHEN doc_id % 3 = 0 THEN 'dense' END) AS methods FROM labels WHERE doc_id % 9 = 0 OR NOT (doc_id % 3 = 0)")
