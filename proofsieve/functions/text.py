@@ -5,16 +5,25 @@ White space is written out as ``[ \\t\\r\\n\\f]`` so that it means the same in e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proofsieve.functions.terms import ALIASES, CLAIM_HINTS, SECTIONS, STOP_WORDS
 
 SPACE = r"[ \t\r\n\f]"
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&rsquo;", "’"), ("&copy;", "©"), ("&amp;", "&")]
+#: Also what counts as white space beyond ASCII.
+ANY_SPACE = r"[ \t\r\n\f\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Names of characters, with their semicolon, and those that may go without one, the longest first.
+NAMED = {k: v for k, v in html5.items() if k.endswith(";")}
+SHORT = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+#: Numbers from 128 to 159 mean what they mean in Windows-1252, where that has a character.
+WINDOWS = {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160)}
 #: Headings of the sections that are looked for, with the code that marks them.
 MARKERS = [("business", r"Item\s*1[.\s]+Business"), ("risk_factors", r"Item\s*1A[.\s]+Risk\s*Factors"), ("md&a", r"Item\s*7[.\s]+Management"), ("market_risk", r"Item\s*7A[.\s]+Quantitative")]
-#: Stands before a marked heading; no text of a filing has it.
+#: Stands before a marked heading; texts lose it first.
 MARK = "\x01"
 WORD, NUMBER, CITATION = r"[A-Za-z0-9][A-Za-z0-9&'\-/]*", r"\$?[0-9][0-9,]*(?:\.[0-9]+)?%?", r"\[([0-9]+)\]"
 
@@ -33,17 +42,63 @@ def given(x: Column | str) -> Column:
     return F.when(stripped(x) != "", col(x))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once however often ``f`` names it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    """The value of a key, or null; by the key's first letter first, so that no list is long."""
+    letters = sorted({k[0] for k in table})
+    maps = [F.create_map(*[F.lit(x) for k, v in table.items() if k[0] == letter for x in (k, v)]) for letter in letters]
+    return F.try_element_at(F.try_element_at(F.create_map(*[x for pair in zip(map(F.lit, letters), maps, strict=True) for x in pair]), F.substring(key, 1, 1)), key)
+
+
+def character(number: Column) -> Column:
+    """The character of a numeric reference: U+FFFD if there is none, nothing for a control or a non-character."""
+    n = F.when(F.length(F.ltrim(F.lit("0"), number)) > 7, F.lit(0)).otherwise(F.coalesce(F.nullif(number, F.lit("")), F.lit("0")).cast("bigint"))
+    none = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    silent = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    windows = F.try_element_at(F.create_map(*[x for k, v in WINDOWS.items() for x in (F.lit(k), F.lit(v))]), n.cast("int"))
+    made = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(none, "\ufffd").when(n.between(128, 159), windows).when(silent, "").otherwise(made)
+
+
+def unescaped(text: Column | str) -> Column:
+    """Named and numeric character references to characters, each once; what is none stays."""
+
+    def piece(p: Column) -> Column:  # what follows an ampersand
+        head = F.substring(p, 1, 40)  # no name is as long
+        decimal, hexed, name = F.regexp_extract(p, "^#([0-9]+);?", 1), F.regexp_extract(p, "^#[xX]([0-9a-fA-F]+);?", 1), F.regexp_extract(head, "^[A-Za-z][A-Za-z0-9]*;", 0)
+        short = F.regexp_extract(head, f"^({'|'.join(SHORT)})", 1)
+        rest = lambda pattern: F.regexp_replace(p, pattern, "")
+        long = _looked_up(NAMED, name)
+        number = F.when(F.length(F.ltrim(F.lit("0"), hexed)) > 7, "99999999").otherwise(F.conv(hexed, 16, 10))
+        return (
+            F.when(F.startswith(p, F.lit("amp;")), F.concat(F.lit("&"), F.substring(p, 5, F.length(p))))  # by far the commonest
+            .when(decimal != "", F.concat(character(F.when(F.length(F.ltrim(F.lit("0"), decimal)) > 7, "9999999").otherwise(decimal)), rest("^#[0-9]+;?")))
+            .when(hexed != "", F.concat(character(F.when(number == "99999999", "9999999").otherwise(number)), rest("^#[xX][0-9a-fA-F]+;?")))
+            .when(long.isNotNull(), F.concat(long, F.substring(p, F.length(name) + 1, F.length(p))))
+            .when(short != "", F.concat(_looked_up({k: html5[k] for k in SHORT}, short), F.substring(p, F.length(short) + 1, F.length(p))))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
+
+    def whole(t: Column) -> Column:
+        parts = once(F.split(t, "&"), lambda x: F.concat(x[0], F.array_join(F.transform(F.slice(x, 2, F.size(x)), piece), "")))
+        return F.when(F.contains(t, F.lit("&")), parts).otherwise(t)
+
+    return once(col(text), whole)
+
+
 def html_to_text(html: Column | str) -> Column:
-    """Tags to spaces, the entities of ENTITIES to characters, white space to single spaces."""
-    out = F.regexp_replace(col(html), "<[^>]+>", " ")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return stripped(F.regexp_replace(out, f"{SPACE}+", " "))
+    """Tags to spaces, character references to characters, white space to single spaces."""
+    spaced = F.regexp_replace(unescaped(F.regexp_replace(col(html), "<[^>]+>", " ")), f"{ANY_SPACE}+", " ")
+    return F.trim(spaced)
 
 
 def marked_sections(text: Column | str) -> Column:
     """The text with MARK, the section's number and MARK before each heading."""
-    out = col(text)
+    out = F.replace(col(text), F.lit(MARK), F.lit(""))
     for k, (_, pattern) in enumerate(MARKERS):
         out = F.regexp_replace(out, f"(?i)({pattern})", f"{MARK}{k}{MARK}$1")
     return out

@@ -78,7 +78,7 @@ def matched_keywords(cases: DataFrame, packets: DataFrame) -> DataFrame:
     text = eval_normalize("text")
     here = packets.join(words, "case_id").select("case_id", F.transform("w", lambda x: F.when((x != "") & F.contains(text, x), 1).otherwise(0)).alias("h"))
     marks = here.select("case_id", F.posexplode("h").alias("i", "hit")).where("hit = 1").groupBy("case_id").agg(F.collect_set("i").alias("there"))
-    rows = cases.select("case_id", "expected_keywords").join(marks, "case_id", "left").withColumn("there", F.coalesce("there", F.array().cast("array<int>")))
+    rows = cases.select("case_id", "expected_keywords").hint("merge").join(marks.hint("merge"), "case_id", "left").withColumn("there", F.coalesce("there", F.array().cast("array<int>")))
     matched = F.filter("expected_keywords", lambda x, i: F.array_contains(F.col("there"), i))
     n = F.size("expected_keywords")
     return rows.select("case_id", matched.alias("matched"), F.when(n > 0, F.size(matched) / n).otherwise(1.0).alias("hit_rate"))
@@ -146,7 +146,7 @@ def validate_set(cases: DataFrame, least: int = 50, most: int = 100) -> DataFram
     count = cases.agg(F.count("*").alias("n")).where(~F.col("n").between(least, most)).select(F.lit("count").alias("rule"), F.col("n").cast("string").alias("subject"))
     twice = cases.groupBy("case_id").count().where("count > 1").select(F.lit("repeated id").alias("rule"), F.col("case_id").alias("subject"))
     wanted = cases.select("ticker").distinct().select("ticker", F.explode(F.array(*map(F.lit, REQUIRED))).alias("section"))
-    gaps = wanted.join(cases.select("ticker", F.explode("expected_sections").alias("section")), ["ticker", "section"], "left_anti").select(F.lit("missing section").alias("rule"), F.concat_ws("/", "ticker", "section").alias("subject"))
+    gaps = wanted.hint("merge").join(cases.select("ticker", F.explode("expected_sections").alias("section")).hint("merge"), ["ticker", "section"], "left_anti").select(F.lit("missing section").alias("rule"), F.concat_ws("/", "ticker", "section").alias("subject"))
     return count.union(twice).union(gaps)
 
 
@@ -225,7 +225,7 @@ def compare(long: DataFrame, baseline: str, mode: str = "mode", compat: bool = F
 def paired(long: DataFrame, baseline: str, mode: str = "mode") -> DataFrame:
     """(mode, case_id, metric, baseline, candidate), warm latency included."""
     b = long.where(F.col(mode) == baseline).select("case_id", "metric", F.col("value").alias("baseline"))
-    pairs = long.where(F.col(mode) != baseline).withColumnRenamed("value", "candidate").join(b, ["case_id", "metric"]).select(mode, "case_id", "metric", "baseline", "candidate")
+    pairs = long.where(F.col(mode) != baseline).withColumnRenamed("value", "candidate").hint("merge").join(b.hint("merge"), ["case_id", "metric"]).select(mode, "case_id", "metric", "baseline", "candidate")
     latency = pairs.where("metric = 'latency_ms'")
     first = latency.groupBy(F.col(mode).alias("__mode")).agg(F.min("case_id").alias("__first"), F.count("*").alias("__n"))  # a row a mode
     warm = latency.join(F.broadcast(first), F.col(mode) == F.col("__mode")).where("case_id <> __first or __n = 1").drop("__mode", "__first", "__n").withColumn("metric", F.lit("latency_ms_warm"))

@@ -16,7 +16,7 @@ def used_citations(memos: DataFrame) -> DataFrame:
 def orphan_citations(memos: DataFrame, evidence: DataFrame) -> DataFrame:
     """(memo_id, index): cited numbers that the memo has no source for."""
     used = memos.select("memo_id", F.explode(F.array_distinct(citations("text"))).alias("index"))
-    return used.join(evidence.select("memo_id", "index"), ["memo_id", "index"], "left_anti")
+    return used.hint("merge").join(evidence.select("memo_id", "index").hint("merge"), ["memo_id", "index"], "left_anti")
 
 
 def claim_sentences(memos: DataFrame) -> DataFrame:
@@ -35,12 +35,12 @@ def assess_claims(memos: DataFrame, evidence: DataFrame, least: float = 0.20) ->
     """
     claims = claim_sentences(memos).withColumn("words", F.array_distinct(content_tokens("claim"))).withColumn("figures", numbers("claim"))
     sources = evidence.select("memo_id", "index", F.array_distinct(content_tokens("text")).alias("e_words"), numbers("text").alias("e_figures"))
-    cited = claims.select("memo_id", "pos", "words", "figures", F.posexplode("citations").alias("at", "index")).join(sources, ["memo_id", "index"])
+    cited = claims.select("memo_id", "pos", "words", "figures", F.posexplode("citations").alias("at", "index")).hint("merge").join(sources.hint("merge"), ["memo_id", "index"])
     overlap = F.when(F.size("words") > 0, F.size(F.array_intersect("words", "e_words")) / F.size("words")).otherwise(0.0)
     fits = F.size(F.array_except("figures", "e_figures")) == 0
     scored = cited.select("memo_id", "pos", F.struct(overlap.alias("overlap"), (-F.col("at")).alias("first"), fits.alias("fits")).alias("c")).where("c.overlap > 0")
     best = scored.groupBy("memo_id", "pos").agg(F.max("c").alias("best"))
-    rows = claims.join(best, ["memo_id", "pos"], "left")
+    rows = claims.hint("merge").join(best.hint("merge"), ["memo_id", "pos"], "left")
     score, match = F.coalesce("best.overlap", F.lit(0.0)), F.coalesce("best.fits", F.lit(False))
     missing = F.size("citations") == 0
     supported = (score >= least) & match
@@ -52,7 +52,7 @@ def memo_verdict(memos: DataFrame, evidence: DataFrame, min_coverage: float = 0.
     """Totals and rates of each memo, and whether it passes; a cited number without a source fails it. A memo without claims has zeros and fails."""
     per = assess_claims(memos, evidence).groupBy("memo_id").agg(F.count("*").alias("total"), F.count_if(~F.col("missing_citation")).alias("cited"), F.count_if("supported").alias("grounded"))
     orphans = orphan_citations(memos, evidence).groupBy("memo_id").agg(F.sort_array(F.collect_set("index")).alias("orphans"))
-    rows = memos.select("memo_id").join(per, "memo_id", "left").join(orphans, "memo_id", "left").na.fill(0, ["total", "cited", "grounded"])
+    rows = memos.select("memo_id").hint("merge").join(per.hint("merge"), "memo_id", "left").hint("merge").join(orphans.hint("merge"), "memo_id", "left").na.fill(0, ["total", "cited", "grounded"])
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     rows = rows.withColumn("coverage", rate("cited", "total")).withColumn("grounded_rate", rate("grounded", "cited")).withColumn("orphans", F.coalesce("orphans", F.array().cast("array<int>")))
     passed = (F.col("total") > 0) & (F.col("coverage") >= min_coverage) & (F.col("grounded_rate") >= min_grounded) & (F.size("orphans") == 0)

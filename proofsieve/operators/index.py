@@ -14,7 +14,7 @@ from proofsieve.functions.text import canonical_section_key, given, section_desc
 def upsert(existing: DataFrame, batch: DataFrame, key: str = "chunk_id", version: str = "version") -> DataFrame:
     """``existing`` with the rows of ``batch`` put in by key: blank texts are left out, of a key's batch rows the last version counts."""
     last = batch.where(given("text").isNotNull()).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(version).desc()))).where("__n = 1").drop("__n")
-    return existing.join(last, key, "left_anti").unionByName(last)
+    return existing.hint("merge").join(last.hint("merge"), key, "left_anti").unionByName(last)
 
 
 def write_index(chunks: DataFrame, path: str) -> None:
@@ -68,7 +68,7 @@ def resolve_sections(sections: DataFrame, requested: DataFrame) -> DataFrame:
     keyed = sections.withColumn("section_key", F.coalesce(canonical_section_key("raw_name"), section_descriptor("raw_name")["key"]))
     first = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("document_id", "section_key").orderBy("pos"))).where("__n = 1").where(given("content").isNotNull()).select("document_id", "section_key", F.lit(True).alias("has"))
     wanted = sections.select("document_id").distinct().join(F.broadcast(requested.select(F.col("pos").alias("order"), "section_key")))
-    listed = wanted.join(first, ["document_id", "section_key"], "left")
+    listed = wanted.hint("merge").join(first.hint("merge"), ["document_id", "section_key"], "left")
     names = lambda rows: F.transform(F.array_sort(rows), lambda x: x["section_key"])
     entry = F.struct("order", "section_key")
     return listed.groupBy("document_id").agg(names(F.collect_list(F.when(F.col("has"), entry))).alias("found"), names(F.collect_list(F.when(F.col("has").isNull(), entry))).alias("skipped"))
@@ -147,7 +147,7 @@ def build_chunks(chunked: DataFrame) -> DataFrame:
 def ingestion_report(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """(document_id, total_chunks, sections, success, error) for each document, those without chunks included."""
     made = chunks.groupBy("document_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("section_key")).alias("sections"))
-    out = documents.select("document_id").distinct().join(made, "document_id", "left")
+    out = documents.select("document_id").distinct().hint("merge").join(made.hint("merge"), "document_id", "left")
     error = F.when(F.col("n").isNull(), "No content found in requested sections")
     return out.select("document_id", F.coalesce("n", F.lit(0)).alias("total_chunks"), F.coalesce("sections", F.array().cast("array<string>")).alias("sections"), error.isNull().alias("success"), error.alias("error"))
 

@@ -148,7 +148,7 @@ def matched_in(text: Column, terms: Column) -> Column:
 def section_aware_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """Vector hits of the ticker and of the inferred sections; relevance + 0.35 in a target section + 0.05 if found there + up to 0.15 for matched terms."""
     intent = section_intent(queries)
-    q = queries.join(intent.select("query_id", "target_sections", "matched_terms"), "query_id")
+    q = queries.hint("merge").join(intent.hint("merge").select("query_id", "target_sections", "matched_terms"), "query_id")
     plain = q.select("query_id", "text", "ticker", "embedding", *[F.lit(None).cast("string").alias(c) for c in ("filing_type", "filing_date", "section_key", "section_name")])
     wide = max(k, 8)
     general = dense_topk(plain, chunks, wide).select("query_id", "chunk_id", "distance", "relevance", F.lit(False).alias("targeted"))

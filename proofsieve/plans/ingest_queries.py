@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofsieve.functions import text as T
 from proofsieve.operators import index as I
 from proofsieve.plans import views as V
+from proofsieve.plans.grounding_queries import sql_sentences
+from proofsieve.streaming.streams import work_dir
 from proofsieve.plans.sql import normal
 from proofsieve.sources import filings as A
 
@@ -88,27 +92,38 @@ def quotes_normalize(spark: SparkSession, d: str) -> DataFrame:
     return A.quotes(raw).select("id", "current_price", "company_name", "success")
 
 
-@query()
+def _written(df: DataFrame, name: str) -> str:
+    """The rows as JSON, one a line, in a new folder."""
+    path = work_dir(df.sparkSession, name)
+    df.write.json(path)
+    return path
+
+
+@query("SELECT 'src_' || doc_id AS id, 'SRC' AS ticker, text AS query, CAST(NULL AS VARCHAR) AS filing_type, CASE WHEN doc_id % 2 = 0 THEN 'a,b' ELSE '' END AS sections, '' AS keywords, CASE WHEN doc_id % 3 = 0 THEN 7 ELSE 5 END AS top_k, 'query' AS mode FROM documents")
 def load_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Cases from the benchmark items, with the defaults."""
-    raw = V.table(spark, d, "benchmark").select(
-        F.concat(F.lit("src_"), F.col("item_id")).alias("id"), F.lit("src").alias("ticker"), F.col("text").alias("query"), F.lit("").alias("filing_type"), F.lit(None).cast("array<string>").alias("expected_sections"),
-        F.lit(None).cast("array<string>").alias("expected_keywords"), F.lit(None).cast("int").alias("top_k"), F.lit("Query").alias("mode"), F.lit(None).cast("string").alias("notes"),
+    """Cases made of the documents, written as JSON and read by the reader, with the defaults."""
+    i = F.col("doc_id")
+    raw = V.table(spark, d, "documents").select(
+        F.concat(F.lit("src_"), i).alias("id"), F.lit("src").alias("ticker"), F.col("text").alias("query"), F.lit("").alias("filing_type"), F.when(i % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("expected_sections"),
+        F.when(i % 3 == 0, 7).alias("top_k"), F.lit("Query").alias("mode"),
     )
-    return A.case_defaults(raw)
+    out = A.load_retrieval_cases(spark, _written(raw, "cases"), lines=True)
+    return out.select("id", "ticker", "query", "filing_type", F.array_join("expected_sections", ",").alias("sections"), F.array_join("expected_keywords", ",").alias("keywords"), "top_k", "mode")
 
 
 @query("""SELECT 'c' || conv_id || '_' || turn || '_' || n AS id, upper(role) AS ticker, concat_ws(',', CASE WHEN length(text) < 1 THEN 'input' END, CASE WHEN turn * 7 > 20 THEN 'max_news_articles' END) AS violations FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS n FROM conversations)""")
 def load_rag_cases(spark: SparkSession, d: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("text"))
     raw = V.table(spark, d, "conversations").select(F.concat(F.lit("c"), F.concat_ws("_", "conv_id", "turn", n)).alias("id"), F.concat(F.lit(" "), "role").alias("ticker"), F.col("text").alias("input"), F.lit("x").alias("expected_output"), (F.col("turn") * 7).cast("int").alias("max_news_articles"))
-    return A.memo_cases(raw).select("id", "ticker", F.array_join("violations", ",").alias("violations"))
+    return A.load_rag_cases(spark, _written(raw, "rag-cases"), lines=True).select("id", "ticker", F.array_join("violations", ",").alias("violations"))
 
 
-@query("SELECT doc_id, count(*) AS count FROM (SELECT doc_id % 97 AS doc_id FROM documents) GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT doc_id AS case_id, n_chars AS score FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'c' || doc_id END AS doc_id, n_chars FROM documents) WHERE doc_id <> ' '")
 def load_results(spark: SparkSession, d: str) -> DataFrame:
-    """Repeated ids of a result list, as its reader looks for them."""
-    return A.repeated_ids(V.table(spark, d, "documents").select((F.col("doc_id") % 97).alias("doc_id")), "doc_id")
+    """Reports with lists of results, one a source and block of ids, written as JSON and read by the reader: rows without an id are left out."""
+    rows = V.table(spark, d, "documents").select("source", F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.concat(F.lit("c"), "doc_id")).alias("case_id"), F.col("n_chars").alias("score"), F.floor(F.col("doc_id") / 1000).alias("block"))
+    reports = rows.groupBy("source", "block").agg(F.collect_list(F.struct("case_id", "score")).alias("results")).select("source", "results")
+    return A.load_result_payload(spark, _written(reports, "results"), lines=True).select("case_id", "score")
 
 
 #: The index is the whole table; a batch has two versions of every chunk, half of them under a new id, some of them blank.
@@ -147,7 +162,8 @@ def index_status(spark: SparkSession, d: str) -> DataFrame:
     return I.index_status(asked, c)
 
 
-@query()
+@query(f"""WITH {V.CHUNKS}, h AS (SELECT chunk_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(chunk_id)) AS d FROM chunks)
+SELECT chunk_id, d[1:8] || '-' || d[9:12] || '-5' || d[14:16] || '-' || ['8', '9', 'a', 'b'][CAST('0x' || d[17] AS INTEGER) % 4 + 1] || d[18:20] || '-' || d[21:32] AS point_id FROM h""")
 def point_id(spark: SparkSession, d: str) -> DataFrame:
     return V.chunks(spark, d).select("chunk_id", T.point_id("chunk_id").alias("point_id"))
 
@@ -158,19 +174,21 @@ def sparse_corpus(spark: SparkSession, d: str) -> DataFrame:
     return I.sparse_corpus(c).select("chunk_id", F.length("text").alias("n"))
 
 
-@query()
+@query(f"WITH {V.CHUNKS} SELECT * FROM chunks WHERE false")
 def drop_index(spark: SparkSession, d: str) -> DataFrame:
     return I.drop_index(V.chunks(spark, d))
 
 
-def _sql_html(x: str) -> str:
-    out = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
-    for entity, char in T.ENTITIES:
-        out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return strip(f"regexp_replace({out}, '{SPACE}+', ' ', 'g')")
+quote = lambda x: "'" + x.replace("'", "''") + "'"
+#: Character references piece by piece: each piece begins behind an ampersand and is joined with the table of names.
+HTML = f"""names(name, c) AS (VALUES {', '.join(f'({quote(k)}, {quote(v)})' for k, v in html5.items())}),
+cut AS (SELECT page_id, i, p, regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;', 0) AS long, regexp_extract(p, '^({'|'.join(T.SHORT)})', 0) AS short, regexp_extract(p, '^#([0-9]+);?', 1) AS number
+  FROM (SELECT page_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS p FROM (SELECT page_id, string_split(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&') AS s FROM pages))),
+shown AS (SELECT page_id, string_agg(CASE WHEN i = 1 THEN p WHEN number <> '' THEN chr(CAST(number AS INTEGER)) || regexp_replace(p, '^#[0-9]+;?', '') WHEN l.c IS NOT NULL THEN l.c || p[len(long) + 1:] WHEN s.c IS NOT NULL THEN s.c || p[len(short) + 1:] ELSE '&' || p END, '' ORDER BY i) AS t
+  FROM cut LEFT JOIN names l ON l.name = long LEFT JOIN names s ON s.name = short GROUP BY page_id)"""
 
 
-@query(f"SELECT page_id, {_sql_html('html')} AS text FROM pages")
+@query(f"WITH {HTML} SELECT page_id, trim(regexp_replace(t, '{T.ANY_SPACE}+', ' ', 'g')) AS text FROM shown")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "pages").select("page_id", T.html_to_text("html").alias("text"))
 
@@ -231,9 +249,12 @@ def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     return I.chunk_fixed(V.table(spark, d, "documents"), "text").select("doc_id", "chunk_index", F.md5("chunk_text").alias("text_md5"))
 
 
-@query()
+PACKED = "list_reduce(list_transform(s, lambda x: [x]), lambda acc, x: CASE WHEN acc[-1] = '' THEN list_concat(acc[:-2], x) WHEN length(acc[-1]) + length(x[1]) + 1 <= 1000 THEN list_concat(acc[:-2], [acc[-1] || ' ' || x[1]]) ELSE list_concat(acc, x) END)"
+
+
+@query(f"SELECT doc_id, unnest(range(len(c)))::INTEGER AS chunk_index, md5(unnest(c)) AS text_md5 FROM (SELECT doc_id, list_filter({PACKED}, lambda x: x <> '') AS c FROM (SELECT doc_id, {sql_sentences('text')} AS s FROM documents) WHERE len(s) > 0)")
 def chunk_packed(spark: SparkSession, d: str) -> DataFrame:
-    return I.chunk_packed(V.table(spark, d, "documents"), "text").select("doc_id", "chunk_index", "chunk_text")
+    return I.chunk_packed(V.table(spark, d, "documents"), "text").select("doc_id", "chunk_index", F.md5("chunk_text").alias("text_md5"))
 
 
 @query()
@@ -272,4 +293,4 @@ def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def embed_hashed(spark: SparkSession, d: str) -> DataFrame:
-    return I.embed_hashed(V.table(spark, d, "benchmark")).select("item_id", "embedding")
+    return I.embed_hashed(V.table(spark, d, "documents")).select("doc_id", "embedding")

@@ -28,7 +28,8 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     docs = Z.stream_of(spark, f"{d}/documents.parquet")
     filings = docs.select(F.upper("source").alias("ticker"), F.col("lang").alias("filing_type"), F.col("doc_id").cast("string").alias("filing_date"), F.lit("Business").alias("raw_name"), "text")
     base = Z.work_dir(spark, "stream-ingest")
-    return spark.read.parquet(Z.ingest_stream(filings, f"{base}/index", f"{base}/checkpoint")).groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+    Z.ingest_stream(filings, f"{base}/index", f"{base}/checkpoint")
+    return Z.index_of(spark, f"{base}/index").groupBy("document_id").agg(F.count("*").alias("n_chunks"))
 
 
 @query(f"SELECT job_id, status FROM (SELECT user_id AS job_id, {STATUS} AS status, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS n FROM events) WHERE n = 1")

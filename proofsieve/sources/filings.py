@@ -64,9 +64,9 @@ def quotes(raw: DataFrame) -> DataFrame:
 CASE = "id string, ticker string, query string, filing_type string, expected_sections array<string>, expected_keywords array<string>, top_k int, mode string, notes string"
 
 
-def load_retrieval_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled cases from a JSON list, with their defaults."""
-    return case_defaults(spark.read.schema(CASE).json(path, multiLine=True))
+def load_retrieval_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Labelled cases from a JSON list, or with ``lines`` one a line, with their defaults."""
+    return case_defaults(spark.read.schema(CASE).json(path, multiLine=not lines))
 
 
 def case_defaults(raw: DataFrame) -> DataFrame:
@@ -80,8 +80,8 @@ def case_defaults(raw: DataFrame) -> DataFrame:
 SAMPLE = "id string, ticker string, input string, expected_output string, tags array<string>, include_filing_analysis boolean, include_news_sentiment boolean, max_news_articles int"
 
 
-def load_rag_cases(spark: SparkSession, path: str) -> DataFrame:
-    return memo_cases(spark.read.schema(SAMPLE).json(path, multiLine=True))
+def load_rag_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return memo_cases(spark.read.schema(SAMPLE).json(path, multiLine=not lines))
 
 
 def memo_cases(raw: DataFrame) -> DataFrame:
@@ -91,9 +91,9 @@ def memo_cases(raw: DataFrame) -> DataFrame:
     return out.withColumn("violations", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()])))
 
 
-def load_result_payload(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the ``results`` list of a JSON report; rows without a case_id are left out, a missing list or a repeated id is an error."""
-    raw = spark.read.json(path, multiLine=True)
+def load_result_payload(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The rows of the ``results`` list of a JSON report, or with ``lines`` of many, one a line; rows without a case_id are left out, a missing list or a repeated id is an error."""
+    raw = spark.read.json(path, multiLine=not lines)
     if "results" not in raw.columns:
         raise ValueError("the report has no list 'results'")
     rows = raw.select(F.explode("results").alias("r")).select("r.*").where(given("case_id").isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,8 +20,12 @@ FINAL = ["completed", "failed"]
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, shared by the driver and the executors; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='proofsieve-')}"
+    """A new folder under the checkpoint folder that the driver and the executors share; a temporary one only where none is named and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='proofsieve-')}"
     return f"{base.rstrip('/')}/proofsieve/{name}-{uuid.uuid4().hex}"
 
 
@@ -34,27 +39,26 @@ def run_to_end(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[Da
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
-def ingest_stream(filings: DataFrame, index: str, checkpoint: str, size: int = 1000, overlap: int = 200) -> str:
-    """Filings (ticker, filing_type, filing_date, raw_name, text) to chunks, put into the index at ``index`` batch by batch.
+def ingest_stream(filings: DataFrame, index: str, checkpoint: str, size: int = 1000, overlap: int = 200) -> None:
+    """Filings (ticker, filing_type, filing_date, raw_name, text) to chunks, added to the log at ``index`` batch by batch.
 
-    A batch writes the next version of the index beside the last one, under the batch's number, so a batch that is run again after
-    a failure replaces its own version; chunk ids follow from the filing, so nothing is entered twice. Returns the last version's path.
+    A batch writes its own chunks alone, under its number, so the cost follows the batch and not the index; one that is run again after a failure
+    replaces what it wrote. ``index_of`` reads the log as an index.
     """
     rows = filings.withColumn("content", clean_section_text("text"))
-    spark, versions = filings.sparkSession, []
 
     def put(batch: DataFrame, number: int) -> None:
         chunked = chunk_fixed(batch, "content", size, overlap).withColumn("company_name", F.lit(None).cast("string"))
-        chunks = build_chunks(chunked.select("ticker", "company_name", "filing_type", "filing_date", "raw_name", "chunk_index", "chunk_text")).withColumn("version", F.lit(number).cast("bigint"))
-        if number:
-            chunks = upsert(spark.read.parquet(f"{index}/v{number - 1}"), chunks)
-        else:
-            chunks = upsert(chunks.limit(0), chunks)
-        chunks.write.mode("overwrite").parquet(f"{index}/v{number}")
-        versions.append(f"{index}/v{number}")
+        chunks = build_chunks(chunked.select("ticker", "company_name", "filing_type", "filing_date", "raw_name", "chunk_index", "chunk_text"))
+        chunks.write.mode("overwrite").parquet(f"{index}/batch={number}")
 
     run_to_end(rows, "append", checkpoint, put)
-    return versions[-1]
+
+
+def index_of(spark: SparkSession, index: str) -> DataFrame:
+    """The chunks of a log, of each id those of the last batch that has it; chunk ids follow from the filing, so nothing is entered twice."""
+    chunks = spark.read.option("basePath", index).parquet(f"{index}/batch=*").withColumnRenamed("batch", "version")
+    return upsert(chunks.limit(0), chunks)
 
 
 def run_states(events: DataFrame, stale_after_s: int = 86_400, lateness: str = "10 minutes") -> DataFrame:

@@ -1,5 +1,8 @@
 """Small cases with known results."""
 
+import html
+import html.entities
+import random
 import uuid
 from datetime import datetime
 
@@ -228,3 +231,29 @@ def test_write_and_upsert_partitions(spark, tmp_path):
     assert I.drop_index(spark.read.parquet(path)).count() == 0
     twice = I.upsert(rows(("1", "A", "a")).withColumn("version", F.lit(0)), rows(("1", "A", "x"), ("1", "A", "y"), ("2", "A", " ")).withColumn("version", F.when(F.col("text") == "y", 2).otherwise(1)))
     assert [(r.chunk_id, r.text) for r in twice.collect()] == [("1", "y")]
+
+
+def test_character_references_are_those_of_the_standard_library(spark):
+    rng = random.Random(0)
+    keys = list(html.entities.html5)
+    rows = ["a &amp;lt; b", "&#8217;&#160;x &#x41; &#0; &#55296; &#99999999999; &#128; &#150 &#129; &#1; &#xFFFF; &#x1F600;", "&notit; &ampx &copy2024 &unknown; && & &;", "&#; &#x; &amp", "none", None, ""]
+    rows += ["".join(rng.choice([f"&{rng.choice(keys)}", f"&{rng.choice(keys)} ", f"&#{rng.randrange(1, 1200000)};", f"&#x{rng.randrange(1, 70000):x};", " t ", "&"]) for _ in range(12)) for _ in range(150)]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, x string").select("i", T.unescaped("x").alias("y")).collect()
+    assert [r.y for r in sorted(got)] == [None if x is None else html.unescape(x) for x in rows]
+    page = spark.createDataFrame([("<p>A&nbsp;&#8217;s</p>\n <b>B &amp;amp; C</b>",)], "x string").select(T.html_to_text("x")).first()[0]
+    assert page == "A ’s B &amp; C"
+
+
+def test_ingest_starts_again_where_it_ended(spark, tmp_path):
+    schema = "ticker string, filing_type string, filing_date string, raw_name string, text string"
+    put = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+    put([("A", "10-K", "d1", "Business", "one two"), ("B", "10-K", "d2", "Business", "three")])
+    run = lambda: Z.ingest_stream(Z.stream_of(spark, f"{tmp_path}/in"), f"{tmp_path}/index", f"{tmp_path}/checkpoint")
+    rows = lambda: sorted((r.document_id[0], r.text) for r in Z.index_of(spark, f"{tmp_path}/index").collect())
+    run()
+    first = rows()
+    run()  # nothing new
+    assert rows() == first == [("A", "one two"), ("B", "three")]
+    put([("A", "10-K", "d1", "Business", "one two four")])
+    run()
+    assert rows() == [("A", "one two four"), ("B", "three")]
