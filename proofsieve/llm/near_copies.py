@@ -34,8 +34,8 @@ SHINGLE = 5
 OFTEN, COMMON = 2, 1 << 20
 #: Bytes of text in a batch where shingles are counted.
 BATCH = 8 << 20
-#: All pairs are compared once they are at most so many times the rows of candidates.
-PAIRS = 8
+#: All pairs are compared once they are at most so many times the rows of candidates, or once a round links fewer than one row in FEW.
+PAIRS, FEW = 8, 50
 #: Bits of the parities of a set, at least; a power of two that is no less than its size.
 PARITIES = 512
 #: Bits in which fingerprints that are matched first may differ, and segments of the index.
@@ -227,7 +227,7 @@ def links(shared: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         texts = stored(texts_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("key"))), "near-copies-texts")
         return stored(verified(pairs, texts), "near-copies-links")
 
-    found, turn, fresh_links = similar(matched(classes)), 0, 1
+    found, turn, fresh_links = similar(matched(classes)), 0, None
     now = shared
     while True:
         groups = components(found, "a", "b")
@@ -238,7 +238,7 @@ def links(shared: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         rows, pairs = now.agg(F.count("*"), F.coalesce(F.sum((F.col("c") - 1) / 2), F.lit(0.0))).first()
         if not rows:
             break
-        whole = pairs <= PAIRS * rows or not fresh_links
+        whole = pairs <= PAIRS * rows or (fresh_links is not None and fresh_links * FEW < rows)
         if whole:
             other = now.select("hash", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
             asked = now.hint("merge").join(other.hint("merge"), "hash").where("key < key2 and label <> label2")

@@ -65,9 +65,11 @@ def test_near_copies_are_dropped_at_four_fifths(spark):
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
     line = [word() for _ in range(40)]
     rows = [(k, " ".join([word() for _ in range(rng.randint(1, 80))] + line * (k % 3 == 0))) for k in range(60)]
-    for k in range(100, 112):
-        base = [word() for _ in range(rng.randint(40, 200))]
+    for k in range(100, 114):
+        base = [word() for _ in range(rng.randint(40, 200) if k < 112 else 1030)]  # the last have parities of different widths
         rows.append((10 * k, " ".join(base)))
+        if k >= 112:
+            rows.append((10 * k + 9, " ".join(base[: -40 - 40 * (k - 112)])))
         for copy in range(1, 8):  # words replaced in more and more places: on both sides of 0.8, few within 2 bits
             other = list(base)
             for at in rng.sample(range(len(base)), copy):
@@ -91,7 +93,7 @@ def test_near_copies_are_dropped_at_four_fifths(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({*root.values()})
     assert len({*root.values()}) < len({r.component_id for r in simhash.near_duplicates(docs.where("doc_id is not null")).collect()})
-    near_copies.PAIRS, before = 0, near_copies.PAIRS  # rounds against one class until these find nothing, then all pairs
+    near_copies.PAIRS, before = 0, near_copies.PAIRS  # rounds against one class until these find little, then all pairs
     try:
         assert {tuple(r) for r in near_copies.near_copies(docs).collect()} == {*root.items(), (None, None)}
     finally:
