@@ -8,6 +8,7 @@ filter column is no filter. Chunks have chunk_id, text, ticker, filing_type, sec
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,22 +38,25 @@ def meets(query: str, chunk: str, strict: bool = False) -> Column:
     return (q("ticker").isNull() | (F.upper(q("ticker")) == c("ticker"))) & same("filing_type") & same("filing_date") & section
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, strict: bool = False) -> DataFrame:
-    """Pairs (q.*, c.*) that pass the filters. Queries are sent to every task, in rounds of a checked size, so that chunks stay where they are and no
-    ticker's chunks meet in one task; those with a ticker are looked up by it."""
-    sizes = {"text": F.octet_length, "embedding": lambda c: 8 * F.size(c), "q_embedding": lambda c: 8 * F.size(c)}
+def in_rounds(queries: DataFrame) -> list[tuple[bool, DataFrame]]:
+    """(whether they have a ticker, queries): parts of a checked size, to be sent to every task one after the other."""
+    sizes = {"text": F.octet_length} | {c: lambda x: 8 * F.size(x) for c in ("embedding", "q_embedding", "__q")}
     width = sum([F.coalesce(sizes[c](F.col(c)), F.lit(0)) for c in queries.columns if c in sizes], F.lit(200))
-    scoped = F.col("ticker").isNotNull()
-    out = None
+    scoped, out = F.col("ticker").isNotNull(), []
     for r in queries.groupBy(scoped.alias("scoped")).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).collect():
         rounds = max(-(-r.n // BROADCAST_QUERIES), -(-r.bytes // BROADCAST_BYTES))
         own = queries.where(scoped if r.scoped else ~scoped)
-        for k in range(rounds):
-            part = own.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == k) if rounds > 1 else own
-            on = meets("q", "c", strict)
-            pairs = chunks.alias("c").join(F.broadcast(part).alias("q"), (F.upper("q.ticker") == F.col("c.ticker")) & on if r.scoped else on).select("q.*", "c.*")
-            out = pairs if out is None else out.union(pairs)
-    return out if out is not None else queries.limit(0).alias("q").join(chunks.alias("c"), F.upper("q.ticker") == F.col("c.ticker")).select("q.*", "c.*")
+        out += [(r.scoped, own.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == k) if rounds > 1 else own) for k in range(rounds)]
+    return out or [(True, queries.limit(0))]
+
+
+def candidates(queries: DataFrame, chunks: DataFrame, strict: bool = False) -> DataFrame:
+    """Pairs (q.*, c.*) that pass the filters. Queries are sent to every task, in rounds of a checked size, so that chunks stay where they are and no
+    ticker's chunks meet in one task; those with a ticker are looked up by it."""
+    on = meets("q", "c", strict)
+    by_ticker = (F.upper("q.ticker") == F.col("c.ticker")) & on
+    parts = [chunks.alias("c").join(F.broadcast(part).alias("q"), by_ticker if scoped else on).select("q.*", "c.*") for scoped, part in in_rounds(queries)]
+    return reduce(DataFrame.union, parts)
 
 
 def count_documents(queries: DataFrame, chunks: DataFrame, strict: bool = False) -> DataFrame:
@@ -95,7 +99,8 @@ def section_fallback(queries: DataFrame, chunks: DataFrame, k: int = 5, metric:
     q = queries.withColumn("__key", canonical_section_key("section")).withColumn("__display", section_descriptor("section")["display_name"]).withColumnRenamed("embedding", "__q")
     c = chunks.where("embedding is not null").select("chunk_id", F.col("ticker").alias("__ticker"), F.col("section_key").alias("__c_key"), F.col("section_name").alias("__c_name"), F.col("embedding").alias("__c"))
     way = F.when(F.col("__key") == F.col("__c_key"), 0).when(F.col("__display") == F.col("__c_name"), 1).when(F.col("section") == F.col("__c_name"), 2)
-    pairs = q.join(c, F.upper("ticker") == F.col("__ticker")).withColumn("strategy", way).where("strategy is not null")
+    met = [c.join(F.broadcast(part), F.upper("ticker") == F.col("__ticker")) for scoped, part in in_rounds(q) if scoped]
+    pairs = reduce(DataFrame.union, met or [c.join(q.limit(0), F.upper("ticker") == F.col("__ticker"))]).withColumn("strategy", way).where("strategy is not null")
     used = pairs.groupBy("query_id", "section").agg(F.min("strategy").alias("strategy"))
     kept = pairs.hint("merge").join(used.hint("merge"), ["query_id", "section", "strategy"])
     d = F.round(distance(F.col("__q"), F.col("__c"), metric), 9)
