@@ -19,7 +19,9 @@ def scores_by_words(text: Column | str, positive: list[str] | None = None, negat
     """Map of positive, negative, neutral: softmax over word counts; neutral stands at 0.5."""
     t = tokens(text)
     count = lambda words: F.size(F.filter(t, lambda x: x.isin(words))).cast("double")
-    p, n, z = F.exp(count(positive or POSITIVE)), F.exp(count(negative or NEGATIVE)), F.exp(F.lit(0.5))
+    p, n, z = count(positive or POSITIVE), count(negative or NEGATIVE), F.lit(0.5)
+    most = F.greatest(p, n, z)  # taken off first, so that no count is too large for exp
+    p, n, z = (F.exp(x - most) for x in (p, n, z))
     return F.create_map(F.lit("positive"), p / (p + n + z), F.lit("negative"), n / (p + n + z), F.lit("neutral"), z / (p + n + z))
 
 

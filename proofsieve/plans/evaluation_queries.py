@@ -12,6 +12,7 @@ from proofsieve.operators import evaluate as X
 from proofsieve.operators import runlog as R
 from proofsieve.operators import search as S
 from proofsieve.plans import views as V
+from proofsieve.plans.grounding_queries import sql_words
 from proofsieve.sources.filings import write_results
 from proofsieve.streaming.streams import work_dir
 from proofsieve.plans.sql import bm25_ctes, dense_ctes
@@ -298,10 +299,12 @@ def truncate_contexts(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("chars"))
 
 
-@query()
+@query(f"""WITH {V.MEMOS}, {V.EVIDENCE}, ctx AS (SELECT memo_id, flatten(list({sql_words('text')})) AS w FROM evidence GROUP BY 1), said AS (SELECT memo_id, list_distinct({sql_words('text')}) AS w FROM memos)
+SELECT CAST(memo_id AS VARCHAR) AS case_id, 'faithfulness' AS metric, round(CASE WHEN len(said.w) > 0 THEN len(list_intersect(said.w, ctx.w)) / len(said.w) ELSE 0 END, 9)::DOUBLE AS score, CAST(NULL AS VARCHAR) AS error FROM said JOIN ctx USING (memo_id)""")
 def score_samples(spark: SparkSession, d: str) -> DataFrame:
     rows = V.evidence(spark, d).groupBy("memo_id").agg(F.array_sort(F.collect_list("text")).alias("retrieval_context")).join(V.memos(spark, d), "memo_id")
-    return X.score_samples(rows.select(F.col("memo_id").cast("string").alias("case_id"), F.col("text").alias("actual_output"), "retrieval_context"), ["faithfulness"])
+    out = X.score_samples(rows.select(F.col("memo_id").cast("string").alias("case_id"), F.col("text").alias("actual_output"), "retrieval_context"), ["faithfulness"])
+    return out.withColumn("score", F.round("score", 9))
 
 
 #: Events as run transitions: the type gives the status, the user is the job.

@@ -202,9 +202,10 @@ def run_error_state(spark: SparkSession, d: str) -> DataFrame:
     return G.run_error_state(e.select("run_id").distinct().withColumn("step", F.lit("draft")), e)
 
 
-@query()
+@query(f"""WITH c AS (SELECT doc_id, len(list_filter(t, lambda x: list_contains({sql_list(N.POSITIVE)}, x)))::DOUBLE AS p, len(list_filter(t, lambda x: list_contains({sql_list(N.NEGATIVE)}, x)))::DOUBLE AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents))
+SELECT doc_id, CASE WHEN n >= p AND n >= 0.5 THEN 'negative' WHEN 0.5 >= p THEN 'neutral' ELSE 'positive' END AS label, round(1 / (exp(p - greatest(p, n, 0.5)) + exp(n - greatest(p, n, 0.5)) + exp(0.5 - greatest(p, n, 0.5))), 9) AS confidence FROM c""")
 def classify_sentiment(spark: SparkSession, d: str) -> DataFrame:
-    return N.classify(V.table(spark, d, "documents")).select("doc_id", "label", "confidence")
+    return N.classify(V.table(spark, d, "documents")).select("doc_id", "label", F.round("confidence", 9).alias("confidence"))
 
 
 LABELLED = "lab AS (SELECT source AS entity_id, CASE WHEN l.doc_id IS NULL THEN 'neutral' WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label, text AS snippet, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
