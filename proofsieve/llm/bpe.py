@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 
 from proofsieve.llm.shared import per_text
 
-REMEMBER = 500_000
+REMEMBER = 250_000
 #: Bytes of text in a block.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: In the block's sequence: between pre-tokens, and where a token was merged into the one before it.
 END, GONE = -1, -2
 #: No token has this rank.

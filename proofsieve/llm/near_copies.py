@@ -33,7 +33,7 @@ SHINGLE = 5
 #: A shingle in so many texts of a batch is common there; at most COMMON of these, 12 MB, are put last in the order (which changes no result).
 OFTEN, COMMON = 2, 1 << 20
 #: Bytes of text in a batch where shingles are counted.
-BATCH = 8 << 20
+BATCH = 4 << 20
 #: All pairs are compared once they are at most so many times the rows of candidates, or once a round links fewer than one row in FEW.
 PAIRS, FEW = 8, 50
 #: Bits of the parities of a set, at least; a power of two that is no less than its size.
