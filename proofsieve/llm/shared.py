@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,11 +21,13 @@ BATCH = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only where neither the session nor the context names one (tests in local mode) a
-    temporary folder is made and set.
+    Only where neither the session nor the context names one and the master is local (tests) a
+    temporary folder is made and set; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="proofsieve-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -70,11 +73,18 @@ def by_bytes(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def bytes_of(size: str) -> int:
+    """A size as Spark's settings have it, such as 64m or 1048576b, in bytes; without a unit it is bytes."""
+    number, unit = re.fullmatch(r"\s*(-?[0-9]+)\s*([a-z]*)\s*", size.lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit[:1]]
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``; from now on its session sends Python at most BATCH bytes at a time. Whole texts go both ways, each worker and its
-    executor hold a few batches of them, and Spark's own limit of 64 MB is too much for that."""
+    executor hold a few batches of them, and Spark's own limit of 64 MB is too much for that. The setting stays in the session, since plans read it when they
+    run; a lower one of the user's is kept."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(name).rstrip("b")) > BATCH:
+    if not 0 < bytes_of(conf.get(name)) <= BATCH:
         conf.set(name, f"{BATCH}b")
     return df
 
