@@ -67,7 +67,8 @@ def resolve_sections(sections: DataFrame, requested: DataFrame) -> DataFrame:
     """(document_id, found, skipped) for each document: requested sections, in their order, that it has, and those it lacks or has without text."""
     keyed = sections.withColumn("section_key", F.coalesce(canonical_section_key("raw_name"), section_descriptor("raw_name")["key"]))
     first = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("document_id", "section_key").orderBy("pos"))).where("__n = 1").where(given("content").isNotNull()).select("document_id", "section_key", F.lit(True).alias("has"))
-    wanted = sections.select("document_id").distinct().join(F.broadcast(requested.select(F.col("pos").alias("order"), "section_key")))
+    asked = requested.agg(F.collect_list(F.struct(F.col("pos").alias("order"), "section_key"))).scalar()  # the request is one short list
+    wanted = sections.select("document_id").distinct().select("document_id", F.explode(asked).alias("r")).select("document_id", "r.order", "r.section_key")
     listed = wanted.hint("merge").join(first.hint("merge"), ["document_id", "section_key"], "left")
     names = lambda rows: F.transform(F.array_sort(rows), lambda x: x["section_key"])
     entry = F.struct("order", "section_key")
