@@ -103,7 +103,9 @@ def keys(docs: DataFrame) -> DataFrame:
 
 
 def shared_shingles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(hash, key, n): the shingles of each set of which a similar one has one among its own, where another set has the same; n is the set's size."""
+    """(hash, key, n, r): the shingles of each set of which a similar one has one among its own, where another set has the same; n is the set's size and r
+    how many of its shingles come from there on in the order. Two sets of which this is the first one that they share have min(r, r') in common at most,
+    and 4/9 of n + n' if they are similar; so an entry stays only while another one of the shingle is small enough for it."""
     sent, shards = docs.sparkSession.sparkContext.broadcast(common), pieces(docs, "text")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +115,13 @@ def shared_shingles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> D
         def flush() -> pa.RecordBatch:
             own_keys, sizes = np.array([*held], np.int64).view(np.uint64), np.array([n for _, n in held.values()], np.int64)
             hashes, of = np.concatenate([x for x, _ in held.values()]), np.repeat(np.arange(len(held)), [len(x) for x, _ in held.values()])
+            place = np.concatenate([np.arange(len(x)) for x, _ in held.values()])
             order = np.argsort(hashes, kind="stable")
-            hashes, of = hashes[order], of[order]
+            hashes, of, place = hashes[order], of[order], place[order]
             cut, data = split_by_shard(hashes, shards), []
             for _, a, b in cut:
                 there, at = np.unique(of[a:b], return_inverse=True)
-                data.append(squeeze([steps(hashes[a:b]), at, own_keys[there], sizes[there]]))
+                data.append(squeeze([steps(hashes[a:b]), at, own_keys[there], sizes[there], place[a:b]]))
             return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in cut], pa.int32()), pa.array(data, pa.binary())], names=["shard", "data"])
 
         for _, sets in _batched(batches, 0):
@@ -141,17 +144,22 @@ def shared_shingles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> D
         rows = [unsqueeze(x) for x in table["data"].to_pylist()]
         hashes = np.concatenate([np.cumsum(r[0].view(np.uint64)) for r in rows])
         own_keys, n = (np.concatenate([r[i][r[1]] for r in rows]) for i in (2, 3))
+        left = n - np.concatenate([r[4] for r in rows])
         order = np.lexsort((own_keys, hashes))
-        hashes, own_keys, n = hashes[order], own_keys[order], n[order]
-        new = np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)]
-        once = new | np.r_[True, own_keys[1:] != own_keys[:-1]][: len(hashes)]
-        hashes, own_keys, n, new = hashes[once], own_keys[once], n[once], new[once]
-        group = np.cumsum(new) - 1
-        several = np.bincount(group)[group] > 1
-        return pa.table({"hash": hashes.view(np.int64)[several], "key": own_keys[several], "n": n[several].astype(np.int32)})
+        hashes, own_keys, n, left = hashes[order], own_keys[order], n[order], left[order]
+        once = np.r_[True, (hashes[1:] != hashes[:-1]) | (own_keys[1:] != own_keys[:-1])][: len(hashes)]
+        while True:
+            hashes, own_keys, n, left = hashes[once], own_keys[once], n[once], left[once]
+            group = np.cumsum(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)]) - 1
+            least = np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).max)
+            np.minimum.at(least, group, n)
+            once = (np.bincount(group)[group] > 1) & (4 * (n + least[group]) <= 9 * left)
+            if once.all():
+                break
+        return pa.table({"hash": hashes.view(np.int64), "key": own_keys, "n": n.astype(np.int32), "r": left.astype(np.int32)})
 
     asked = small_batches(docs.select("text")).mapInArrow(ask, "shard int, data binary")
-    return asked.groupBy("shard").applyInArrow(meet, "hash bigint, key bigint, n int")
+    return asked.groupBy("shard").applyInArrow(meet, "hash bigint, key bigint, n int, r int")
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
@@ -220,30 +228,31 @@ def matched(classes: DataFrame) -> DataFrame:
 
 
 def links(shared: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): pairs of similar keys that connect the same keys as all such pairs do; ``shared`` is (hash, key, n)."""
+    """(a, b): pairs of similar keys that connect the same keys as all such pairs do; ``shared`` is (hash, key, n, r)."""
 
     def similar(asked: DataFrame) -> DataFrame:
         pairs = stored(_candidates(asked, classes), "near-copies-pairs")
         texts = stored(texts_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("key"))), "near-copies-texts")
         return stored(verified(pairs, texts), "near-copies-links")
 
+    near = "4L * (n + n2) <= 9L * least(r, r2)"
     found, turn, fresh_links = similar(matched(classes)), 0, None
     now = shared
     while True:
         groups = components(found, "a", "b")
-        now = now.select("hash", "key", "n").hint("merge").join(groups.hint("merge"), F.col("key") == F.col("node"), "left").select("hash", "key", "n", F.coalesce("component", "key").alias("label"))
+        now = now.select("hash", "key", "n", "r").hint("merge").join(groups.hint("merge"), F.col("key") == F.col("node"), "left").select("hash", "key", "n", "r", F.coalesce("component", "key").alias("label"))
         # Of classes that share a shingle, the ones that aren't all linked yet.
-        each = now.groupBy("hash").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("order"), "key", "n", "label")).alias("one"))
-        now = stored(now.hint("merge").join(each.where("low < high").hint("merge"), "hash").select("hash", "key", "n", "label", "c", "one"), "near-copies-open")
+        each = now.groupBy("hash").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("order"), "key", "n", "r", "label")).alias("one"))
+        now = stored(now.hint("merge").join(each.where("low < high").hint("merge"), "hash").select("hash", "key", "n", "r", "label", "c", "one"), "near-copies-open")
         rows, pairs = now.agg(F.count("*"), F.coalesce(F.sum((F.col("c") - 1) / 2), F.lit(0.0))).first()
         if not rows:
             break
         whole = pairs <= PAIRS * rows or (fresh_links is not None and fresh_links * FEW < rows)
         if whole:
-            other = now.select("hash", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            asked = now.hint("merge").join(other.hint("merge"), "hash").where("key < key2 and label <> label2")
+            other = now.select("hash", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("label").alias("label2"))
+            asked = now.hint("merge").join(other.hint("merge"), "hash").where("key < key2 and label <> label2").where(near)
         else:
-            asked = now.select("key", "n", "label", F.col("one.key").alias("key2"), F.col("one.n").alias("n2"), F.col("one.label").alias("label2")).where("label <> label2")
+            asked = now.select("key", "n", "label", F.col("one.key").alias("key2"), F.col("one.n").alias("n2"), F.col("r"), F.col("one.r").alias("r2"), F.col("one.label").alias("label2")).where("label <> label2").where(near)
         new = similar(asked)
         fresh_links = new.count()
         found = found.union(new)
