@@ -122,3 +122,9 @@ class EliasFano:
             ends = self._select_zero(mid) - mid
             a, b = np.where(ends > i, a, mid + 1), np.where(ends > i, mid, b)
         return (a.astype(np.uint64) << np.uint64(self.bits) | self.lows(i)) + np.uint64(self.base)
+
+    def values(self) -> np.ndarray:
+        """All values, read in one pass."""
+        ones = np.flatnonzero(np.unpackbits(self.high, count=self.n + self.buckets, bitorder="little"))
+        i = np.arange(self.n)
+        return ((ones - i).astype(np.uint64) << np.uint64(self.bits) | self.lows(i)) + np.uint64(self.base) if self.n else np.zeros(0, np.uint64)

@@ -267,7 +267,11 @@ def _within(pointers: EliasFano, level: EliasFano, context: np.ndarray, ids: np.
     known = np.flatnonzero(context >= 0)
     if len(known) and level.n:
         once, inverse = np.unique(context[known], return_inverse=True)
-        low, high = pointers.access(once).astype(np.int64)[inverse], pointers.access(once + 1).astype(np.int64)[inverse]
+        if len(once) * 8 > pointers.n:  # nearly all contexts are asked for: one pass over the pointers is cheaper than finding each
+            ends = pointers.values().astype(np.int64)
+            low, high = ends[once][inverse], ends[once + 1][inverse]
+        else:
+            low, high = pointers.access(once).astype(np.int64)[inverse], pointers.access(once + 1).astype(np.int64)[inverse]
         keys = context[known].astype(np.uint64) << np.uint64(ID_BITS) | ids[known].astype(np.uint64)
         at[known], found[known] = level.successor(keys, low, high)
     return at, found

@@ -505,7 +505,7 @@ def test_elias_fano():
         asked = np.r_[v, rng.integers(0, universe, 2000).astype(np.uint64)]
         place, found = e.successor(asked)
         assert (found == np.isin(asked, v)).all() and (v[place[found]] == asked[found]).all()
-        assert (e.access(np.arange(len(v))) == v).all()
+        assert (e.access(np.arange(len(v))) == v).all() and (e.values() == v).all() and len(e.values()) == len(v)
     v = np.sort(rng.integers(0, 100, 1000)).astype(np.uint64)
     assert (eliasfano.EliasFano.of(v).access(np.arange(1000)) == v).all()
 
