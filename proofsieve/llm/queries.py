@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofsieve.llm import bpe, ego, licenses, mixing, ngrams, rabitq, secrets, simhash, substring, toxicity
+from proofsieve.llm import bpe, divergence, ego, lexical, licenses, mixing, ngrams, rabitq, secrets, simhash, substring, toxicity, urls
 from proofsieve.llm.shared import table
 
 
@@ -51,5 +51,17 @@ def op10_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring": op1_substring, "op2_bpe": op2_bpe, "op3_ego_join": op3_ego_join, "op4_toxicity": op4_toxicity, "op5_rabitq": op5_rabitq, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op8_licenses": op8_licenses, "op9_secrets": op9_secrets, "op10_ngrams": op10_ngrams}
-ORACLE_SQL: dict[str, str] = {"op8_licenses": licenses.oracle_sql()}
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(table(spark, sf_dir, "pages"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring": op1_substring, "op2_bpe": op2_bpe, "op3_ego_join": op3_ego_join, "op4_toxicity": op4_toxicity, "op5_rabitq": op5_rabitq, "op6_simhash": op6_simhash, "op7_mixing": op7_mixing, "op8_licenses": op8_licenses, "op9_secrets": op9_secrets, "op10_ngrams": op10_ngrams, "op11_url_filters": op11_url_filters, "op12_divergence": op12_divergence, "op13_lexical": op13_lexical}
+ORACLE_SQL: dict[str, str] = {"op8_licenses": licenses.oracle_sql(), "op11_url_filters": urls.oracle_sql(), "op12_divergence": divergence.oracle_sql(), "op13_lexical": lexical.oracle_sql()}

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from proofsieve.llm.shared import SPACES
 
-#: Bytes of words ``[^\x20\x09-\x0D]+``, and of runs of letters (ASCII letters and all bytes of other characters).
+#: Bytes of words ``[^\x20\x09-\x0D]+``, of runs of letters (ASCII letters and all bytes of other characters), and of runs of letters and digits.
 WORD = np.array([b not in SPACES for b in range(256)])
 LETTER = np.array([b >= 128 or bytes([b]).isalpha() for b in range(256)])
+LETTER_OR_DIGIT = np.array([b >= 128 or bytes([b]).isalnum() for b in range(256)])
 #: Bytes with A-Z in lower case.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: Of 64-bit words the lowest 0 to 8 bytes.
@@ -66,3 +68,17 @@ class Hasher:
         for k in np.flatnonzero(sizes > LONG).tolist():
             out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), self.seed)
         return out, np.searchsorted(starts, at)
+
+
+def runs(at: np.ndarray, raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of runs of ``inside`` bytes in each text, all the runs as strings), A-Z in lower case. ``inside`` holds all bytes of other characters or none."""
+    starts, ends = Hasher(inside=inside).spans(at, raw)
+    data = np.ascontiguousarray(LOWER[raw[inside[raw]]])
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends - starts)))
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
+    return np.diff(np.searchsorted(starts, at)), words
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... ``sizes[0]`` numbers, then those of the next start, and so on."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
