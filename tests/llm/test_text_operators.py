@@ -520,3 +520,34 @@ def test_tries_hold_the_model(spark, corpus):
     # A split pair's trigrams stand in level two, below the pair.
     every = len({x for w in lists for x in zip(w, w[1:], strict=False)}) + len({x for w in lists for x in zip(w, w[1:], w[2:], strict=False)})
     assert sum(len(t.terms) + len(t.third_terms) for t in tries) == every
+
+
+def test_raw_scores_are_sums_over_pairs():
+    rng = np.random.default_rng(6)
+    machine = toxicity.Machine(np.arange(7, dtype=np.int32), 0.3, rng.normal(size=7), rng.normal(size=(7, 3)))
+    texts = [[0, 2, 5], [], [1], [0, 1, 2, 3, 4, 5, 6]]
+    rows, terms = np.repeat(np.arange(4), [len(t) for t in texts]), np.array(sum(texts, []))
+    pairs = lambda t: sum(machine.factors[i] @ machine.factors[j] for k, i in enumerate(t) for j in t[k + 1 :])
+    want = [machine.bias + sum(machine.linear[i] for i in t) + pairs(t) for t in texts]
+    assert np.allclose(machine.raw(rows, terms, 4), want)
+
+
+def test_penalty_keeps_its_force():
+    """A word that alone tells the classes apart is kept and others aren't, whether the rows are few or many."""
+    for n in (60, 4000):
+        rng = np.random.default_rng(n)
+        y = (np.arange(n) % 6 == 0).astype(float)
+        rows = [np.unique(np.r_[rng.integers(1, 200, 30), [0] * int(v)]) for v in y]
+        ends, terms = np.r_[0, np.cumsum([len(r) for r in rows])], np.concatenate(rows).astype(np.int64)
+        machine = toxicity.fit_weights(y, ends, terms, 256, 4, 5, 1.0, 0.5, 0.1)
+        score = toxicity.sigmoid(machine.raw(np.repeat(np.arange(n), np.diff(ends))[machine.place[terms] >= 0], machine.place[terms][machine.place[terms] >= 0], n))
+        assert ((score >= 0.5) == (y == 1)).all() and machine.linear[machine.place[0]] == machine.linear.max()
+        assert toxicity.held_loss(y, ends, terms, 0.5, 256, 4, 5, 1.0, 0.1) < 0.2
+
+
+def test_training_rows_are_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    y, ends, terms = toxicity.training(docs, labels, 1 << 18, 1000, 1 << 30)
+    few, _, small = toxicity.training(docs, labels, 1 << 18, 1000, 4 * len(terms) // 4)
+    assert len(y) > 200 and len(ends) == len(y) + 1 and 0 < len(few) < len(y) // 2 and len(small) < len(terms) // 2
