@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsieve.llm.chunks import pieces, split_by_shard, squeeze, steps, unsqueeze
@@ -207,13 +207,16 @@ def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     for name in ("a", "b"):
         own = classes.select(F.col("key").alias(name), F.col("parities").alias(f"{name}_parities"))
         out = out.hint("merge").join(own.hint("merge"), name)
-    # Of sets with different numbers of cells the larger one's halves are laid over each other.
+    return out.where(_close("a_parities", "b_parities", F.col("sizes"))).select("a", "b")
+
+
+def _close(a: str, b: str, sizes: Column) -> Column:
+    """Whether sets of ``sizes`` elements together may be similar by the parities of both. Of sets with different numbers of cells the larger one's halves are laid over each other."""
     half = lambda x: (F.size(x) / 2).cast("int")
     folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))
-    for own, other in (("a_parities", "b_parities"), ("b_parities", "a_parities")):
-        out = out.withColumn(own, F.when(F.size(own) > F.size(other), folded(own)).otherwise(F.col(own)))
-    differ = F.aggregate(F.zip_with("a_parities", "b_parities", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    return out.where(differ * 9 <= F.col("sizes")).select("a", "b")
+    x, y = (F.when(F.size(own) > F.size(other), folded(own)).otherwise(F.col(own)) for own, other in ((a, b), (b, a)))
+    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+    return differ * 9 <= sizes
 
 
 def matched(classes: DataFrame) -> DataFrame:
@@ -249,8 +252,11 @@ def links(shared: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
             break
         whole = pairs <= PAIRS * rows or (fresh_links is not None and fresh_links * FEW < rows)
         if whole:
-            other = now.select("hash", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("label").alias("label2"))
-            asked = now.hint("merge").join(other.hint("merge"), "hash").where("key < key2 and label <> label2").where(near)
+            # Rows carry their parities, so that pairs which these rule out are never made, let alone shuffled.
+            rows_now = now.hint("merge").join(classes.select("key", "parities").hint("merge"), "key")
+            other = rows_now.select(F.col("hash").alias("hash2"), F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("label").alias("label2"), F.col("parities").alias("parities2"))
+            asked = rows_now.hint("merge").join(other.hint("merge"), F.expr("hash = hash2 and key < key2 and label <> label2") & F.expr(near) & _close("parities", "parities2", F.col("n") + F.col("n2")))
+            asked = asked.select("key", "n", "key2", "n2")
         else:
             asked = now.select("key", "n", "label", F.col("one.key").alias("key2"), F.col("one.n").alias("n2"), F.col("r"), F.col("one.r").alias("r2"), F.col("one.label").alias("label2")).where("label <> label2").where(near)
         new = similar(asked)
