@@ -5,10 +5,13 @@ Cases: case_id, expected_sections, expected_keywords. Packets: case_id, rank, se
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,23 +238,43 @@ def paired(long: DataFrame, baseline: str, mode: str = "mode") -> DataFrame:
 def bootstrap_ci(pairs: DataFrame, samples: int = 2000, seed: int = 13, mode: str = "mode") -> DataFrame:
     """(mode, metric, ci_low, ci_high) of the mean delta over samples with replacement.
 
-    How often a sample draws a case is Poisson with mean 1, by md5 of seed, sample and case, the same for all modes and metrics. So each case adds to
-    its samples' sums where it stands, without a join, and only the sums are shuffled. A sample that draws nothing is left out.
+    How often a sample draws a case is Poisson with mean 1, by md5 of seed, sample and case, the same for all modes and metrics. A case is one row with the
+    deltas of every mode and metric, so a draw is made once; a batch of cases adds to all samples by one product of matrices, draws by deltas, and a task sends
+    its sums alone. A sample that draws nothing is left out.
     """
     delta = F.col("candidate") - F.col("baseline")
     if samples <= 0:
         return pairs.groupBy(mode, "metric").agg(F.avg(delta).alias("ci_low"), F.avg(delta).alias("ci_high"))
-    cases = pairs.groupBy("case_id").agg(F.collect_list(F.struct(F.col(mode), "metric", delta.alias("delta"))).alias("deltas"))  # a case has one for each mode and metric
-    blocks = cases.select("case_id", "deltas", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // 4))).alias("block"))
-    blocks = blocks.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "block", "case_id")))
-    drawn = blocks.select("deltas", (F.col("block") * 4).alias("first"), F.posexplode(F.array(*[F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("bigint") for k in range(4)])).alias("k", "u"))
-    times = sum([(F.col("u") >= least).cast("int") for least in DRAWN], F.lit(0))
-    drawn = drawn.select("deltas", (F.col("first") + F.col("k")).alias("b"), times.alias("times")).where((F.col("times") > 0) & (F.col("b") < samples))
-    each = drawn.select("b", "times", F.explode("deltas").alias("d")).select("b", "times", f"d.{mode}", "d.metric", "d.delta")
-    means = each.groupBy(mode, "metric", "b").agg(F.round(F.sum(F.col("delta") * F.col("times")) / F.sum("times"), 9).alias("mean"))
-    ordered = means.groupBy(mode, "metric").agg(F.sort_array(F.collect_list("mean")).alias("m"))
-    at = lambda q: F.element_at("m", (q * (F.size("m") - 1)).cast("int") + 1)
-    return ordered.select(mode, "metric", at(0.025).alias("ci_low"), at(0.975).alias("ci_high"))
+    columns = [tuple(r) for r in pairs.select(mode, "metric").distinct().collect()]  # modes and metrics are a fixed few
+    if not columns:
+        return pairs.select(mode, "metric", delta.alias("ci_low"), delta.alias("ci_high"))
+    at = [F.col(mode).eqNullSafe(m) & F.col("metric").eqNullSafe(x) & delta.isNotNull() for m, x in columns]
+    sums = F.array(*[F.sum(F.when(own, delta).otherwise(0.0)) for own in at]).cast("array<double>")
+    counts = F.array(*[F.count_if(own) for own in at]).cast("array<double>")
+    cases = pairs.groupBy("case_id").agg(sums.alias("sums"), counts.alias("counts")).select(F.coalesce(F.col("case_id").cast("string"), F.lit("")).alias("case_id"), "sums", "counts")
+    blocks, width = [f"{seed}:{k}:".encode() for k in range((samples + 3) // 4)], len(columns)
+    least = np.array(DRAWN, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((samples, width)), np.zeros((samples, width))
+        for batch in batches:
+            own, many = (batch.column(i).flatten().to_numpy().reshape(-1, width) for i in (1, 2))
+            for a in range(0, batch.num_rows, 256):
+                ids = [x.encode() for x in batch.column(0)[a : a + 256].to_pylist()]
+                raw = b"".join(hashlib.md5(b + x).digest() for x in ids for b in blocks)
+                u = np.frombuffer(raw, ">u4").reshape(len(ids), -1)[:, :samples]  # four draws of 32 bits a digest
+                times = np.searchsorted(least, u, "right").astype(np.float64).T
+                total += times @ own[a : a + 256]
+                n += times @ many[a : a + 256]
+        b, k = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(total[b, k]), pa.array(n[b, k])], names=["k", "b", "s", "n"])
+
+    means = cases.mapInArrow(run, "k long, b long, s double, n double").groupBy("k", "b").agg(F.round(F.sum("s") / F.sum("n"), 9).alias("mean"))
+    ordered = means.groupBy("k").agg(F.sort_array(F.collect_list("mean")).alias("m"))  # as many as there are samples
+    end = lambda q: F.element_at("m", (q * (F.size("m") - 1)).cast("int") + 1)
+    kinds = dict(pairs.dtypes)
+    named = pairs.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(columns)], f"k long, `{mode}` {kinds[mode]}, metric {kinds['metric']}")
+    return ordered.join(F.broadcast(named), "k").select(mode, "metric", end(0.025).alias("ci_low"), end(0.975).alias("ci_high"))
 
 
 def contract_violations(results: DataFrame, mode: str, method: str) -> DataFrame:

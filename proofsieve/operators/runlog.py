@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofsieve.operators.ordered import running_sum
+
 STATUSES = ["pending", "running", "completed", "failed"]
 #: Upper ends of the latency buckets, in seconds.
 LATENCY = [0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 120.0]
@@ -57,10 +59,20 @@ def histogram_quantile(histogram: DataFrame, by: str, q: float) -> DataFrame:
     return first.select(by, F.when(F.col("le") == float("inf"), F.col("lo")).otherwise(F.coalesce(inside, F.col("lo"))).alias("value"))
 
 
-def active_runs(events: DataFrame, by: str) -> DataFrame:
-    """Running sum of +1 for a start and -1 for an end (column delta) in the order of time."""
-    w = Window.partitionBy(by).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("active", F.sum("delta").over(w))
+def active_runs(events: DataFrame, by: str | None = None) -> DataFrame:
+    """(event_id, ts, active): the gauge of runs that are on, +1 for a start and -1 for an end (column delta), after each event in the order of time; over all events, or those of each ``by``."""
+    rows = events.select("event_id", "ts", "delta", *[c for c in (by,) if c])
+    return running_sum(rows, "delta", ["ts", "event_id"], "active", [by] if by else None).drop("delta")
+
+
+def run_counts(states: DataFrame) -> DataFrame:
+    """(ticker, status, n): runs by ticker and state."""
+    return counts(states, "ticker", "status")
+
+
+def error_counts(errors: DataFrame) -> DataFrame:
+    """(component, n, fatal): errors by component, and how many of them can't be recovered from."""
+    return errors.groupBy("component").agg(F.count("*").alias("n"), F.count_if(~F.col("recoverable")).alias("fatal"))
 
 
 def trailing_count(events: DataFrame, by: str, seconds: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofsieve.functions.terms import SIGNAL_TERMS
-from proofsieve.functions.text import canonical_section_key, given, normalize_python, normalize_token, tokens
+from proofsieve.functions.text import canonical_section_key, given, normalize_python, normalize_token, space_tokens, tokens
 
 #: So many rows, or bytes, of a table of queries are sent to every task at a time.
 BROADCAST_QUERIES, BROADCAST_BYTES = 10_000, 32 << 20
@@ -73,9 +73,10 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def distance(a: Column, b: Column, metric: str) -> Column:
+def distance(a: Column, b: Column, metric: str, norms: Column | None = None) -> Column:
+    """``norms``: the product of both norms, where they are known."""
     if metric == "cosine":
-        return F.greatest(F.lit(0.0), 1 - dot(a, b) / (norm(a) * norm(b)))
+        return F.greatest(F.lit(0.0), 1 - dot(a, b) / (norm(a) * norm(b) if norms is None else norms))
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") - y), F.lit(0.0), lambda s, x: s + x * x))
 
 
@@ -85,9 +86,11 @@ def relevance(d: Column) -> Column:
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, metric: str = "cosine", digits: int = 9) -> DataFrame:
     """(query_id, chunk_id, rank, distance, relevance) of the nearest chunks under the filters, of those that have a vector; distances rounded before ranking."""
-    there = chunks.drop("text").where("embedding is not null").withColumnRenamed("embedding", "c_embedding")
-    pairs = candidates(queries.withColumnRenamed("embedding", "q_embedding"), there)
-    d = F.round(distance(F.col("q_embedding"), F.col("c_embedding"), metric), digits)
+    # Norms are taken once a row, so a pair costs one inner product.
+    there = chunks.drop("text").where("embedding is not null").withColumnRenamed("embedding", "c_embedding").withColumn("c_norm", norm(F.col("c_embedding")))
+    asked = queries.withColumnRenamed("embedding", "q_embedding").withColumn("q_norm", norm(F.col("q_embedding")))
+    pairs = candidates(asked, there)
+    d = F.round(distance(F.col("q_embedding"), F.col("c_embedding"), metric, F.col("q_norm") * F.col("c_norm")), digits)
     near = top(pairs.select("query_id", "chunk_id", d.alias("distance")), k, "distance", "chunk_id")
     return near.select("query_id", "chunk_id", "rank", "distance", relevance(F.col("distance")).alias("relevance"))
 
@@ -159,7 +162,7 @@ def section_aware_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> D
     general = dense_topk(plain, chunks, wide).select("query_id", "chunk_id", "distance", "relevance", F.lit(False).alias("targeted"))
     aimed = search_sections(q.where(F.size("target_sections") > 0).select("query_id", "ticker", "embedding", F.col("target_sections").alias("sections")), chunks, wide).select("query_id", "chunk_id", "distance", "relevance", F.lit(True).alias("targeted"))
     found = general.unionByName(aimed).groupBy("query_id", "chunk_id").agg(F.min("distance").alias("distance"), F.max("relevance").alias("relevance"), F.max("targeted").alias("targeted"))
-    rows = found.join(q.select("query_id", "target_sections", "matched_terms"), "query_id").join(chunks.select("chunk_id", "text", "section_key"), "chunk_id")
+    rows = found.hint("merge").join(q.select("query_id", "target_sections", "matched_terms").hint("merge"), "query_id").hint("merge").join(chunks.select("chunk_id", "text", "section_key").hint("merge"), "chunk_id")
     final = F.col("relevance") + F.when(F.array_contains("target_sections", F.col("section_key")), 0.35).otherwise(0.0) + F.when(F.col("targeted"), 0.05).otherwise(0.0) + F.least(F.lit(0.15), 0.03 * matched_in(F.col("text"), F.col("matched_terms")))
     return top(rows.withColumn("score", F.round(final, 6)), k, F.col("score").desc(), "chunk_id").select("query_id", "chunk_id", "rank", "score", "targeted", "distance")
 
@@ -167,24 +170,16 @@ def section_aware_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> D
 SCOPE = ["ticker", "filing_type"]
 
 
-def postings(corpus: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(scope, chunk_id, term, tf, dl) and (scope, n, avgdl) of a corpus."""
-    words = corpus.select(*scope, "chunk_id", tokens("text").alias("__t")).withColumn("dl", F.size("__t"))
-    stats = words.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    post = words.select(*scope, "chunk_id", "dl", F.explode("__t").alias("term")).groupBy(*scope, "chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
-    return post, stats
-
-
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, scope: list[str] | None = None, k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:
-    """(query_id, chunk_id, rank, score) by BM25 with smoothed idf, counts per scope (columns of both tables). Chunks without a common term are no hits.
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, scope: list[str] | None = None, k1: float = 1.5, b: float = 0.75, digits: int = 6, split: Callable[[str], Column] = tokens) -> DataFrame:
+    """(query_id, chunk_id, rank, score) by BM25 with smoothed idf, counts per scope (columns of both tables). Chunks without a common term are no hits. ``split`` is the tokenizer.
 
     The corpus is tokenized once. A term's row is dropped where it stands unless it is asked for in its scope, by a hash join with the terms if these are
     few enough to be sent to every task, and only what is left is counted and shuffled; one row without a term tells of each chunk's length.
     """
     scope = scope if scope is not None else ["ticker"]
-    asked = queries.select("query_id", *scope, F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    asked = queries.select("query_id", *scope, F.explode(F.array_distinct(split("text"))).alias("term"))
     terms = asked.select(*scope, "term").distinct().withColumn("__asked", F.lit(True))
-    words = corpus.select(*scope, "chunk_id", tokens("text").alias("__t")).withColumn("dl", F.size("__t"))
+    words = corpus.select(*scope, "chunk_id", split("text").alias("__t")).withColumn("dl", F.size("__t"))
     each = words.select(*scope, "chunk_id", "dl", F.explode(F.concat(F.array(F.lit("")), F.coalesce("__t", F.array().cast("array<string>")))).alias("term"))
     few = terms.count() <= BROADCAST_TERMS
     used = (each.join(F.broadcast(terms), [*scope, "term"], "left") if few else each.hint("merge").join(terms.hint("merge"), [*scope, "term"], "left")).where("__asked or term = ''")
@@ -219,7 +214,8 @@ def overlap_share(query: Column, text: Column) -> Column:
 
 def overlap_rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Hits by overlap with the query, then by their rank; distance becomes (rank - 1) / rank."""
-    rows = fused.withColumnRenamed("rank", "fused_rank").join(queries.select("query_id", F.col("text").alias("__q")), "query_id").join(chunks.select("chunk_id", F.col("text").alias("__c")), "chunk_id")
+    asked, there = queries.select("query_id", F.col("text").alias("__q")), chunks.select("chunk_id", F.col("text").alias("__c"))
+    rows = fused.withColumnRenamed("rank", "fused_rank").hint("merge").join(asked.hint("merge"), "query_id").hint("merge").join(there.hint("merge"), "chunk_id")
     rows = rows.withColumn("overlap", F.round(overlap_share(F.col("__q"), F.col("__c")), 9)).drop("__q", "__c")
     return top(rows, k, F.col("overlap").desc(), "fused_rank").withColumn("distance", (F.col("rank") - 1) / F.col("rank"))
 
@@ -247,7 +243,8 @@ def with_texts(rows: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFr
     """Adds ``__q`` and ``__c``, the texts of query and chunk, and ``__section``, the chunk's; rows that have them stay as they are."""
     if "__c" in rows.columns:
         return rows
-    return rows.join(queries.select("query_id", F.col("text").alias("__q")), "query_id").join(chunks.select("chunk_id", F.col("text").alias("__c"), F.col("section_key").alias("__section")), "chunk_id")
+    asked, there = queries.select("query_id", F.col("text").alias("__q")), chunks.select("chunk_id", F.col("text").alias("__c"), F.col("section_key").alias("__section"))
+    return rows.hint("merge").join(asked.hint("merge"), "query_id").hint("merge").join(there.hint("merge"), "chunk_id")
 
 
 def rerank(rows: DataFrame, queries: DataFrame, chunks: DataFrame, make: Callable[[], Callable[[list[tuple[str, str]]], list[float]]] | None = None, batch_size: int = 16, most: int = 4000) -> DataFrame:
@@ -277,19 +274,19 @@ def priors(rows: DataFrame, queries: DataFrame, intent: DataFrame, chunks: DataF
     drop = [] if "__c" in rows.columns else ["__q", "__c", "__section"]
     if not use:
         return rows.withColumn("section_prior", F.lit(0.0)).withColumn("keyword_prior", F.lit(0.0))
-    both = with_texts(rows, queries, chunks).join(intent.select("query_id", "target_sections", "matched_terms"), "query_id")
+    both = with_texts(rows, queries, chunks).hint("merge").join(intent.select("query_id", "target_sections", "matched_terms").hint("merge"), "query_id")
     section = F.when(F.array_contains("target_sections", F.col("__section")), 0.20).otherwise(0.0)
     return both.withColumn("section_prior", section).withColumn("keyword_prior", F.least(F.lit(0.15), F.round(0.03 * matched_in(F.col("__c"), F.col("matched_terms")), 9))).drop(*drop, "target_sections", "matched_terms")
 
 
 def reranked_search(queries: DataFrame, chunks: DataFrame, k: int = 5, wide: int = 30, make: Callable | None = None, fail_open: bool = False) -> DataFrame:
-    """Dense and BM25 candidates, re-scored with priors; ``fail_open`` plans the dense order instead of the scorer."""
+    """Dense and BM25 candidates (white-space words, case kept), re-scored with priors; ``fail_open`` plans the dense order instead of the scorer."""
     if k > 2 * wide:
         raise ValueError("k is larger than the number of candidates")
     dense = dense_topk(queries, chunks, wide)
     if fail_open:
         return dense.where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", (1 / F.col("rank")).alias("final_score"))
-    rows = with_texts(merge_candidates(dense, bm25_topk(queries, chunks, wide)), queries, chunks)
+    rows = with_texts(merge_candidates(dense, bm25_topk(queries, chunks, wide, split=space_tokens)), queries, chunks)
     scored = priors(rerank(rows, queries, chunks, make), queries, section_intent(queries), chunks)
     final = F.round(F.col("reranker_score") + F.col("section_prior") + F.col("keyword_prior"), 6)
     return top(scored.withColumn("final_score", final), k, F.col("final_score").desc(), "best_rank", "chunk_id").select("query_id", "chunk_id", "rank", "dense_rank", "bm25_rank", "reranker_score", "section_prior", "keyword_prior", "final_score", "sources")
@@ -303,6 +300,6 @@ def multi_query(entities: DataFrame, chunks: DataFrame, per_query: int = 3, k: i
     """Four questions for each entity (entity_id, name, ticker), by BM25 in its ticker, ``per_query`` hits each; texts that begin with the same 100 characters count once; the best ``k``."""
     asked = F.array(*[F.concat(*[x for part in t.split("{}") for x in (F.lit(part), F.col("name"))][:-1]) for t in TEMPLATES])
     q = entities.select("entity_id", "ticker", F.posexplode(asked).alias("query_no", "text")).withColumn("query_id", F.concat_ws("#", "entity_id", "query_no"))
-    hits = bm25_topk(q, chunks, per_query).hint("merge").join(q.select("query_id", "entity_id", "query_no").hint("merge"), "query_id").join(chunks.select("chunk_id", F.md5(F.substring("text", 1, 100)).alias("head")), "chunk_id")
+    hits = bm25_topk(q, chunks, per_query).hint("merge").join(q.select("query_id", "entity_id", "query_no").hint("merge"), "query_id").hint("merge").join(chunks.select("chunk_id", F.md5(F.substring("text", 1, 100)).alias("head")).hint("merge"), "chunk_id")
     first = top(hits, 1, "query_no", "rank", by=["entity_id", "head"], rank="__n").drop("__n", "rank")
     return top(first, k, F.col("score").desc(), "chunk_id", by="entity_id").select("entity_id", "chunk_id", "rank", "query_no", "score")

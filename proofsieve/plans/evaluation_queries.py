@@ -361,12 +361,30 @@ def histogram_quantile(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(R.histogram_quantile(R.latency_histogram(V.table(spark, d, "events"), "event_type", "value"), "event_type", 0.95), "value")
 
 
-@query("SELECT event_id, sum(CASE WHEN event_type IN ('error', 'purchase') THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS active FROM events")
+@query("SELECT event_id, sum(CASE WHEN event_type IN ('error', 'purchase') THEN -1 ELSE 1 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS active FROM events")
 def active_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The gauge over all time."""
+    e = V.table(spark, d, "events").withColumn("delta", F.when(F.col("event_type").isin("error", "purchase"), -1).otherwise(1))
+    return R.active_runs(e).select("event_id", "active")
+
+
+@query("SELECT event_id, sum(CASE WHEN event_type IN ('error', 'purchase') THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS active FROM events")
+def active_runs_by_user(spark: SparkSession, d: str) -> DataFrame:
     e = V.table(spark, d, "events").withColumn("delta", F.when(F.col("event_type").isin("error", "purchase"), -1).otherwise(1))
     return R.active_runs(e, "user_id").select("event_id", "active")
 
 
+@query(f"{LATEST} SELECT 'SRC' || job_id % 20 AS ticker, status, count(*) AS n FROM last GROUP BY 1, 2")
+def run_counts(spark: SparkSession, d: str) -> DataFrame:
+    return R.run_counts(R.latest_run_state(_runs(spark, d)).withColumn("ticker", F.concat(F.lit("SRC"), F.col("job_id") % 20)))
+
+
+@query("SELECT event_type AS component, count(*) AS n, count(*) FILTER (value > 100) AS fatal FROM events WHERE event_type = 'error' OR value > 100 GROUP BY 1")
+def error_counts(spark: SparkSession, d: str) -> DataFrame:
+    e = V.table(spark, d, "events").where("event_type = 'error' or value > 100")
+    return R.error_counts(e.select(F.col("event_type").alias("component"), (~F.coalesce(F.col("value") > 100, F.lit(False))).alias("recoverable")))
+
+
 @query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS n FROM events")
 def event_rate(spark: SparkSession, d: str) -> DataFrame:
     e = V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -145,12 +145,10 @@ REGISTRY = RUNS + f""", reg AS (SELECT *, row_number() OVER (PARTITION BY run_id
 
 
 def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
     p = F.col("page_id")
     art = V.table(spark, d, "pages").select(F.concat(F.lit("SRC"), p % 20).alias("run_id"), p.alias("pos"), F.concat(F.lit("Page "), p).alias("title"), F.when(p % 7 == 0, " ").otherwise(F.col("url")).alias("snippet"), "url", F.when(p % 2 == 0, "2024-05-01").alias("published_date"), F.lit("web").alias("source"))
-    pos = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("bigint")
-    chk = V.table(spark, d, "documents").select(F.upper("source").alias("run_id"), pos.alias("pos"), F.lit("Business").alias("section"), F.col("lang").alias("filing_type"), "text", F.lit(None).cast("string").alias("source_url"), F.lit("2024-03-01").alias("filing_date"), F.concat(F.lit("D"), "doc_id").alias("chunk_id"))
+    docs = V.numbers_in_source(spark, d).hint("merge").join(V.table(spark, d, "documents").select("doc_id", "lang", "text").hint("merge"), "doc_id")
+    chk = docs.select(F.upper("source").alias("run_id"), (F.col("n") - 1).alias("pos"), F.lit("Business").alias("section"), F.col("lang").alias("filing_type"), "text", F.lit(None).cast("string").alias("source_url"), F.lit("2024-03-01").alias("filing_date"), F.concat(F.lit("D"), "doc_id").alias("chunk_id"))
     return art, chk
 
 

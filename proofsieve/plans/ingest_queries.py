@@ -32,12 +32,12 @@ SPACE, strip = V.SPACE, V.sql_strip
 
 
 def _submissions(spark: SparkSession, d: str) -> DataFrame:
-    """One row a source with parallel arrays, as a submissions document has them."""
-    docs = V.table(spark, d, "documents")
-    rows = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))).alias("r"))
+    """Parallel arrays of each source, as submissions documents have them, a row for every 1,000 filings."""
+    docs = V.numbers_in_source(spark, d).hint("merge").join(V.table(spark, d, "documents").select("doc_id", "lang").hint("merge"), "doc_id")
+    rows = docs.groupBy("source", F.floor((F.col("n") - 1) / 1000).alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))).alias("r"))
     pick = lambda f: F.transform("r", f)
     return rows.select(
-        F.regexp_replace("source", "[^0-9]", "").alias("cik"), F.upper("source").alias("ticker"), F.lit(None).cast("string").alias("company_name"), pick(lambda x: x["lang"]).alias("form"),
+        F.regexp_replace("source", "[^0-9]", "").alias("cik"), F.upper("source").alias("ticker"), F.lit(None).cast("string").alias("company_name"), "block", pick(lambda x: x["lang"]).alias("form"),
         pick(lambda x: F.concat(F.lit("000-"), x["doc_id"])).alias("accession_number"), pick(lambda x: F.concat(F.lit("2024-01-"), x["doc_id"] % 28 + 1)).alias("filing_date"),
         pick(lambda x: F.when(x["doc_id"] % 2 == 0, F.lit("2023-12-31"))).alias("report_date"), pick(lambda x: F.concat(F.lit("d"), x["doc_id"], F.lit(".htm"))).alias("primary_document"),
     )

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsieve.functions.text import canonical_section_key, default_query_text, tokens
+from proofsieve.functions.text import canonical_section_key, default_query_text, space_tokens, tokens
 from proofsieve.operators import evidence as E
 from proofsieve.operators import index as I
 from proofsieve.operators import search as S
 from proofsieve.plans import views as V
-from proofsieve.plans.sql import normal, intent_ctes, bm25_ctes, dense_ctes
+from proofsieve.plans.sql import SPACED, normal, intent_ctes, bm25_ctes, dense_ctes
 
 QUERIES, SQL = {}, {}
 
@@ -115,6 +115,13 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
+@query(f"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {SPACED.format('text')} AS t FROM documents)")
+def tokenize_spaced(spark: SparkSession, d: str) -> DataFrame:
+    """White-space words with their case, as the reranked mode takes them."""
+    t = V.table(spark, d, "documents").select("doc_id", space_tokens("text").alias("t"))
+    return t.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
 @query(f"WITH {V.CHUNKS}, {V.QUERIES}, {bm25_ctes('queries', 'chunks', 20)} SELECT query_id, chunk_id, rank, score FROM bm25")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return S.bm25_topk(V.queries(spark, d), V.chunks(spark, d), 20)
@@ -155,7 +162,7 @@ def hybrid_fallback(spark: SparkSession, d: str) -> DataFrame:
     return S.hybrid_search(V.queries(spark, d), c).select("query_id", "chunk_id", "rank", "overlap", "fused_rank", "mode")
 
 
-MERGED = f"""{dense_ctes('wq', 'vchunks', 30, 'cosine')}, {bm25_ctes('wq', 'vchunks', 30)}, merged AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.chunk_id, b.chunk_id) AS chunk_id, d.rank AS dense_rank, b.rank AS bm25_rank,
+MERGED = f"""{dense_ctes('wq', 'vchunks', 30, 'cosine')}, {bm25_ctes('wq', 'vchunks', 30, SPACED)}, merged AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.chunk_id, b.chunk_id) AS chunk_id, d.rank AS dense_rank, b.rank AS bm25_rank,
   least(coalesce(d.rank, 10000), coalesce(b.rank, 10000)) AS best_rank, concat_ws(',', CASE WHEN d.rank IS NOT NULL THEN 'dense' END, CASE WHEN b.rank IS NOT NULL THEN 'bm25' END) AS sources
   FROM dense d FULL OUTER JOIN bm25 b ON d.query_id = b.query_id AND d.chunk_id = b.chunk_id)"""
 
@@ -163,7 +170,7 @@ MERGED = f"""{dense_ctes('wq', 'vchunks', 30, 'cosine')}, {bm25_ctes('wq', 'vchu
 @query(f"WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.WORDED}, {MERGED} SELECT * FROM merged")
 def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
     q, c = V.worded_queries(spark, d), V.vector_chunks(spark, d)
-    return S.merge_candidates(S.dense_topk(q, c, 30), S.bm25_topk(q, c, 30)).withColumn("sources", F.array_join("sources", ","))
+    return S.merge_candidates(S.dense_topk(q, c, 30), S.bm25_topk(q, c, 30, split=space_tokens)).withColumn("sources", F.array_join("sources", ","))
 
 
 PRIORS = f"""{MERGED}, {intent_ctes('wq')}, prior AS (SELECT m.*, {SHARE.format(c='c.text[1:4000]')} AS reranker_score, CASE WHEN list_contains(target_sections, c.section_key) THEN 0.2 ELSE 0 END::DOUBLE AS section_prior,
@@ -173,13 +180,13 @@ PRIORS = f"""{MERGED}, {intent_ctes('wq')}, prior AS (SELECT m.*, {SHARE.format(
 @query(f"WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.WORDED}, {PRIORS} SELECT query_id, chunk_id, reranker_score FROM prior")
 def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
     q, c = V.worded_queries(spark, d), V.vector_chunks(spark, d)
-    return S.rerank(S.merge_candidates(S.dense_topk(q, c, 30), S.bm25_topk(q, c, 30)), q, c).select("query_id", "chunk_id", "reranker_score")
+    return S.rerank(S.merge_candidates(S.dense_topk(q, c, 30), S.bm25_topk(q, c, 30, split=space_tokens)), q, c).select("query_id", "chunk_id", "reranker_score")
 
 
 @query(f"WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.WORDED}, {PRIORS} SELECT query_id, chunk_id, section_prior, keyword_prior FROM prior")
 def rerank_priors(spark: SparkSession, d: str) -> DataFrame:
     q, c = V.worded_queries(spark, d), V.vector_chunks(spark, d)
-    rows = S.merge_candidates(S.dense_topk(q, c, 30), S.bm25_topk(q, c, 30))
+    rows = S.merge_candidates(S.dense_topk(q, c, 30), S.bm25_topk(q, c, 30, split=space_tokens))
     return S.priors(rows, q, S.section_intent(q), c).select("query_id", "chunk_id", "section_prior", "keyword_prior")
 
 

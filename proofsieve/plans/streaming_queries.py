@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proofsieve.plans import views as V
 from proofsieve.plans.evaluation_queries import STATUS
 from proofsieve.streaming import streams as Z
 
@@ -42,6 +43,34 @@ def stream_run_state(spark: SparkSession, d: str) -> DataFrame:
     return changes.withColumn("nth", last).where("nth = 1").select("job_id", "status")
 
 
+#: Events in two arrivals: one in fifty comes after all others. The watermark follows the latest event of the first arrival, then of both.
+LATE = """e AS (SELECT *, event_id % 50 = 0 AS late FROM events), mark AS (SELECT date_trunc('millisecond', max(ts) FILTER (NOT late)) - INTERVAL 10 MINUTES AS first, date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTES AS last FROM e)"""
+
+
+def _arrivals(spark: SparkSession, d: str, *columns: str) -> list[DataFrame]:
+    events = V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return [events.where(f"event_id % 50 {way} 0").select(*columns, "ts") for way in ("<>", "=")]
+
+
+@query(f"""WITH {LATE} SELECT event_type, CAST(w AS VARCHAR) AS start, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS w, late FROM e), mark
+WHERE w + INTERVAL 1 HOUR <= last AND (NOT late OR w + INTERVAL 1 HOUR > first) GROUP BY 1, 2""")
+def stream_windows_append(spark: SparkSession, d: str) -> DataFrame:
+    """In append mode: windows that the watermark has passed, each once, without the events that came after that."""
+    base = Z.work_dir(spark, "stream-append")
+    return Z.in_arrivals(spark, _arrivals(spark, d, "event_type"), lambda s: Z.event_windows(s, "event_type"), base).withColumn("start", F.col("start").cast("string"))
+
+
+@query(f"""WITH {LATE}, cut AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM e WHERE NOT late WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM cut),
+session AS (SELECT user_id, min(ts) AS s, max(ts) + INTERVAL 30 MINUTES AS t, count(*) AS n FROM numbered GROUP BY user_id, k)
+SELECT user_id, CAST(s AS VARCHAR) AS start, CAST(t AS VARCHAR) AS "end", n FROM session, mark WHERE t <= first""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of each user that are over, of the events that came in time."""
+    base = Z.work_dir(spark, "stream-sessions")
+    made = Z.in_arrivals(spark, _arrivals(spark, d, "user_id")[:1], lambda s: Z.session_windows(s, "user_id"), base)
+    return made.select("user_id", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "n")
+
+
 @query("SELECT event_type, CAST(time_bucket(INTERVAL 1 HOUR, ts) AS VARCHAR) AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
     """In complete mode, which leaves no window open at the end."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofsieve.operators.ordered import numbered
+
 KEYS = "array('business', 'risk_factors', 'md&a', 'market_risk')"
 NAMES = "array('Business', 'Risk Factors', 'MD&A', 'Market Risk')"
 
@@ -73,13 +75,15 @@ def worded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDED = """wq AS (SELECT item_id, query_id, ticker, embedding, ['supply chain risk and suppliers', 'foreign exchange rates & hedging', 'revenue growth and cash flow', 'products, R&D and competition', 'weather'][item_id % 5 + 1] || ' ' || text AS text FROM queries)"""
 
 
+def numbers_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n): documents numbered in their source, on narrow rows and in ranges, since a third of them may be of one source."""
+    return numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], ["doc_id"], "n")
+
+
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw filings: four texts in a row of a source, each under a heading, one heading missing by turns."""
-    head = F.expr("array('Item 1. Business ', 'ITEM 1A.  Risk Factors ', 'Item 7. Management ', 'Item 7A. Quantitative ')[(n - 1) % 4]")
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", n.alias("n"))
+    head = F.expr("array('Item 1. Business ', 'ITEM 1A.  Risk Factors ', 'Item 7. Management ', 'Item 7A. Quantitative ')[cast((n - 1) % 4 as int)]")
+    docs = numbers_in_source(spark, sf_dir).hint("merge").join(table(spark, sf_dir, "documents").select("doc_id", "text").hint("merge"), "doc_id")
     part = docs.withColumn("part", F.concat(F.when(F.col("doc_id") % 7 != 0, head).otherwise(F.lit("")), F.col("text"), F.lit(" ")))
     made = part.groupBy("source", F.floor((F.col("n") - 1) / 4).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "").alias("text"))
     return made.select(F.concat_ws("-", "source", "k").alias("document_id"), F.upper("source").alias("ticker"), "k", "text")

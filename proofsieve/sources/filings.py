@@ -26,10 +26,11 @@ def with_error(filings: DataFrame, content: str) -> DataFrame:
 
 def recent_filings(submissions: DataFrame, filing_type: str = "10-K", count: int = 1) -> DataFrame:
     """The first ``count`` filings of a type of each company, from rows with parallel arrays
-    form, accession_number, filing_date, report_date, primary_document."""
+    form, accession_number, filing_date, report_date, primary_document. A company with many filings has them in several rows, in the order of ``block``."""
     fields = ["form", "accession_number", "filing_date", "report_date", "primary_document"]
-    rows = submissions.select("cik", "ticker", "company_name", F.posexplode(F.arrays_zip(*fields)).alias("pos", "f")).select("cik", "ticker", "company_name", "pos", "f.*").where(F.col("form") == filing_type)
-    nth = F.row_number().over(Window.partitionBy("cik").orderBy("pos"))
+    block = F.col("block") if "block" in submissions.columns else F.lit(0)
+    rows = submissions.select("cik", "ticker", "company_name", block.alias("block"), F.posexplode(F.arrays_zip(*fields)).alias("pos", "f")).select("cik", "ticker", "company_name", "block", "pos", "f.*").where(F.col("form") == filing_type)
+    nth = F.row_number().over(Window.partitionBy("cik").orderBy("block", "pos"))
     return rows.withColumn("nth", nth).where(F.col("nth") <= count).withColumn("company_name", F.coalesce("company_name", "ticker"))
 
 

@@ -2,41 +2,32 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from proofsieve.functions.text import clean_section_text
 from proofsieve.operators.index import build_chunks, chunk_fixed, upsert
+from proofsieve.sources.scratch import work_dir as work_dir
 
-#: States after which a run isn't timed out.
+#: States after which a run isn't stale.
 FINAL = ["completed", "failed"]
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the checkpoint folder that the driver and the executors share; a temporary one only where none is named and the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='proofsieve-')}"
-    return f"{base.rstrip('/')}/proofsieve/{name}-{uuid.uuid4().hex}"
-
-
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
     """The files of a Parquet table, a folder or one file, as a stream with the table's schema. The stream's source takes one file only by a pattern."""
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_to_end(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
-    """Runs a stream over all that is there, batch by batch."""
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+def run_to_end(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Runs a stream over all that is there, batch by batch, and returns the query that has ended."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+    query.awaitTermination()
+    return query
 
 
 def ingest_stream(filings: DataFrame, index: str, checkpoint: str, size: int = 1000, overlap: int = 200) -> None:
@@ -61,16 +52,19 @@ def index_of(spark: SparkSession, index: str) -> DataFrame:
     return upsert(chunks.limit(0), chunks)
 
 
-def run_states(events: DataFrame, stale_after_s: int = 86_400, lateness: str = "10 minutes") -> DataFrame:
+def run_states(events: DataFrame, stale_after_s: int = 86_400, lateness: str = "10 minutes", keep_final_s: int = 3_600) -> DataFrame:
     """Changes (job_id, status, ts, event_id) of run states from a stream of (job_id, status, ts, event_id).
 
     A transition that is older than the state is ignored. A run that isn't final is 'stale' once the watermark passes its last transition by ``stale_after_s``.
+    Every state has a timer: that of a final run is removed without a row once the watermark passes its last transition by ``keep_final_s``, so what is kept
+    follows the runs of the last while and not all runs ever. A transition after that begins a new state; older ones are late by then and dropped.
     """
     def change(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             status, ms, event = state.get
             state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "status": ["stale"], "ts": [pd.Timestamp(ms, unit="ms")], "event_id": [event]})
+            if status not in FINAL:
+                yield pd.DataFrame({"job_id": [key[0]], "status": ["stale"], "ts": [pd.Timestamp(ms, unit="ms")], "event_id": [event]})
             return
         old = state.get if state.exists else None
         best = (old[1], old[2], old[0]) if old else None
@@ -79,8 +73,8 @@ def run_states(events: DataFrame, stale_after_s: int = 86_400, lateness: str = "
                 now = (int(ts.timestamp() * 1000), int(event), status)
                 best = now if best is None or now[:2] > best[:2] else best
         state.update((best[2], best[0], best[1]))
-        if best[2] not in FINAL:
-            state.setTimeoutTimestamp(max(best[0] + stale_after_s * 1000, state.getCurrentWatermarkMs() + 1))
+        wait = keep_final_s if best[2] in FINAL else stale_after_s
+        state.setTimeoutTimestamp(max(best[0] + wait * 1000, state.getCurrentWatermarkMs() + 1))
         if old is None or best[:2] != (old[1], old[2]):
             yield pd.DataFrame({"job_id": [key[0]], "status": [best[2]], "ts": [pd.Timestamp(best[0], unit="ms")], "event_id": [best[1]]})
 
@@ -95,6 +89,19 @@ def event_windows(events: DataFrame, by: str, width: str = "1 hour", slide: str
 
 
 def session_windows(events: DataFrame, by: str, gap: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:
+    """(by, start, end, n) of a stream of events in sessions: events of a key belong together while each comes less than ``gap`` after the one before."""
     return events.withWatermark("ts", lateness).groupBy(by, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def in_arrivals(spark: SparkSession, arrivals: list[DataFrame], rows: Callable[[DataFrame], DataFrame], base: str) -> DataFrame:
+    """What ``rows`` makes in append mode of a stream whose files come in several lots, the stream being stopped and started again in between.
+
+    A lot is written to the stream's folder, the stream runs to the end of what is there, and what it gives out is final. A window is given out once the
+    watermark has passed its end, rows of windows that have been given out are dropped, and windows still open at the end stay in the state.
+    """
+    for lot in arrivals:
+        lot.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(arrivals[0].schema).parquet(f"{base}/in")
+        made = rows(stream)
+        run_to_end(made, "append", f"{base}/checkpoint", lambda df, k: df.write.mode("overwrite").parquet(f"{base}/out/batch={k}"))
+    return spark.read.option("basePath", f"{base}/out").schema(made.schema).parquet(f"{base}/out/batch=*").drop("batch")
