@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofsieve.functions import text as T
 from proofsieve.operators import index as I
+from proofsieve.operators import stored as K
 from proofsieve.plans import views as V
 from proofsieve.plans.grounding_queries import sql_sentences
 from proofsieve.streaming.streams import work_dir
@@ -144,6 +145,37 @@ def upsert_chunks(spark: SparkSession, d: str) -> DataFrame:
     return I.upsert(*_index(spark, d)).select("chunk_id", F.md5("text").alias("text_md5"), "version")
 
 
+LAST = f"WITH {EXISTING}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY version DESC) AS n FROM batch WHERE {strip('text')} <> '') WHERE n = 1)"
+
+
+def _stored(spark: SparkSession, d: str) -> tuple[str, dict[str, int]]:
+    """An index on storage after a batch has been put into it, and the counts."""
+    existing, batch = _index(spark, d)
+    path = work_dir(spark, "index")
+    K.write_chunks(existing, path)
+    return path, K.upsert_stored(spark, path, batch)
+
+
+@query(f"{LAST} SELECT chunk_id, ticker, md5(text) AS text_md5, version FROM last UNION ALL SELECT chunk_id, ticker, md5(text), version FROM existing WHERE chunk_id NOT IN (SELECT chunk_id FROM last)")
+def upsert_stored(spark: SparkSession, d: str) -> DataFrame:
+    path, _ = _stored(spark, d)
+    return K.read_chunks(spark, path).select("chunk_id", "ticker", F.md5("text").alias("text_md5"), "version")
+
+
+@query(f"{LAST} SELECT (SELECT count(*) FROM batch) AS given, (SELECT count(*) FROM batch WHERE {strip('text')} = '') AS blank, (SELECT count(*) FROM last WHERE chunk_id NOT IN (SELECT chunk_id FROM existing)) AS added, (SELECT count(*) FROM last WHERE chunk_id IN (SELECT chunk_id FROM existing)) AS replaced")
+def upsert_counts(spark: SparkSession, d: str) -> DataFrame:
+    _, n = _stored(spark, d)
+    return spark.createDataFrame([(n["given"], n["blank"], n["added"], n["replaced"])], "given long, blank long, added long, replaced long")
+
+
+@query(f"WITH {V.CHUNKS} SELECT ticker, count(*) AS n, (SELECT count(*) FROM chunks WHERE ticker = 'SRC3') AS removed FROM chunks WHERE ticker <> 'SRC3' GROUP BY 1")
+def delete_stored(spark: SparkSession, d: str) -> DataFrame:
+    path = work_dir(spark, "index")
+    K.write_chunks(V.chunks(spark, d).withColumn("version", F.lit(0)), path)
+    removed = K.delete_stored(spark, path, " src3 ")
+    return K.read_chunks(spark, path).groupBy("ticker").agg(F.count("*").alias("n")).withColumn("removed", F.lit(removed).cast("long"))
+
+
 @query(f"WITH {V.CHUNKS} SELECT chunk_id FROM chunks WHERE ticker <> 'SRC3'")
 def delete_by_ticker(spark: SparkSession, d: str) -> DataFrame:
     return I.delete_ticker(V.chunks(spark, d), " src3 ").select("chunk_id")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from proofsieve.functions.text import canonical_section_key, default_query_text, space_tokens, tokens
 from proofsieve.operators import evidence as E
-from proofsieve.operators import index as I
 from proofsieve.operators import search as S
+from proofsieve.operators import stored as I
 from proofsieve.plans import views as V
+from proofsieve.sources.scratch import work_dir
 from proofsieve.plans.sql import SPACED, normal, intent_ctes, bm25_ctes, dense_ctes
 
 QUERIES, SQL = {}, {}
@@ -127,6 +128,14 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return S.bm25_topk(V.queries(spark, d), V.chunks(spark, d), 20)
 
 
+@query(f"WITH {V.CHUNKS}, {V.QUERIES}, {bm25_ctes('queries', 'chunks', 20)} SELECT query_id, chunk_id, rank, score FROM bm25")
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """From postings that are written once, with early stopping."""
+    path = work_dir(spark, "postings")
+    I.write_postings(V.chunks(spark, d), path)
+    return I.bm25_stored(V.queries(spark, d), path, 20)
+
+
 FUSED = f"""{dense_ctes('queries', 'vchunks', 20, 'cosine')}, {bm25_ctes('queries', 'vchunks', 20)},
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(sum(w / (60 + rank)), 9) AS fused FROM
   (SELECT query_id, chunk_id, rank, 0.65::DOUBLE AS w FROM dense UNION ALL SELECT query_id, chunk_id, rank, 0.35::DOUBLE FROM bm25) GROUP BY 1, 2))"""
