@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,41 +100,47 @@ def chunk_packed(sections: DataFrame, text: str = "content", size: int = 1000) -
     return sections.select("*", F.posexplode(fold).alias("chunk_index", "chunk_text"))
 
 
-def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", ", ", " ", "")) -> list[str]:
-    """Split at the first separator the text has, split longer pieces at the next ones, and pack pieces up to ``size``, carrying over up to ``overlap``."""
+def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", ", ", " ", "")) -> Iterator[str]:
+    """Split at the first separator the text has, split longer pieces at the next ones, and pack pieces up to ``size``, carrying over up to ``overlap``. In linear time."""
     separator = next((s for s in separators if s in text), "")
     rest = separators[separators.index(separator) + 1 :]
-    pieces = text.split(separator) if separator else list(text)
-    out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    length = 0  # of the held pieces as they are joined
 
-    def flush() -> None:
-        if joined := separator.join(held).strip():
-            out.append(joined)
-
-    for piece in pieces:
+    for piece in text.split(separator) if separator else text:
         if len(piece) > size and rest:
-            flush()
+            if joined := separator.join(held).strip():
+                yield joined
             held.clear()
-            out += recursive_pieces(piece, size, overlap, rest)
+            length = 0
+            yield from recursive_pieces(piece, size, overlap, rest)
             continue
-        if held and len(separator.join([*held, piece])) > size:
-            flush()
-            while held and (len(separator.join(held)) > overlap or len(separator.join([*held, piece])) > size):
-                held.pop(0)
+        if held and length + len(separator) + len(piece) > size:
+            if joined := separator.join(held).strip():
+                yield joined
+            while held and (length > overlap or length + len(separator) + len(piece) > size):
+                length -= len(held.popleft()) + (len(separator) if held else 0)
+        length += len(piece) + (len(separator) if held else 0)
         held.append(piece)
-    flush()
-    return out
+    if joined := separator.join(held).strip():
+        yield joined
 
 
-def chunk_recursive(sections: DataFrame, text: str = "content", size: int = 1000, overlap: int = 200) -> DataFrame:
-    """``recursive_pieces`` of each section, in Arrow batches."""
+def chunk_recursive(sections: DataFrame, text: str = "content", size: int = 1000, overlap: int = 200, most: int = 10_000) -> DataFrame:
+    """One row for each of the ``recursive_pieces`` of each section, numbered by chunk_index. Pieces are sent on ``most`` at a time, so a long text needs no more memory than itself and those."""
+    names = [*sections.columns, "chunk_index", "chunk_text"]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in sections.dtypes), "chunk_index int", "chunk_text string"])
+    place = sections.columns.index(text)
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: recursive_pieces(t, size, overlap) if t else [])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, value in enumerate(batch.column(place).to_pylist()):
+                pieces = enumerate(recursive_pieces(value or "", size, overlap))
+                while part := list(islice(pieces, most)):
+                    own = [c.take(pa.array([row] * len(part), pa.int64())) for c in batch.columns]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([i for i, _ in part], pa.int32()), pa.array([x for _, x in part], pa.string())], names=names)
 
-    return sections.select("*", F.posexplode(split(F.col(text))).alias("chunk_index", "chunk_text"))
+    return sections.mapInArrow(run, schema)
 
 
 def build_chunks(chunked: DataFrame) -> DataFrame:

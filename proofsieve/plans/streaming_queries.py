@@ -33,6 +33,24 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return Z.index_of(spark, f"{base}/index").groupBy("document_id").agg(F.count("*").alias("n_chunks"))
 
 
+CLEAN = r"trim(regexp_replace(regexp_replace(replace({}, chr(13) || chr(10), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(12))"
+
+
+@query(f"""WITH {V.FILINGS}, {V.FILING_PIECES}, cleaned AS (SELECT document_id, section_key, {CLEAN.format('content')} AS t FROM sections),
+cut AS (SELECT document_id, section_key, trim(t[i * 800 + 1:i * 800 + 1000], ' ' || chr(9) || chr(10) || chr(13) || chr(12)) AS x FROM (SELECT *, unnest(range(0, greatest(length(t) - 201, 0) // 800 + 1)) AS i FROM cleaned WHERE length(t) > 0))
+SELECT document_id, section_key, count(*) AS n_chunks, sum(length(x))::BIGINT AS n_chars FROM cut WHERE x <> '' GROUP BY 1, 2""")
+def stream_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Whole filings through sections to chunks, in two arrivals, the log being compacted after each."""
+    base = Z.work_dir(spark, "stream-sections")
+    filings = V.filings(spark, d).select("ticker", F.lit("10-K").alias("filing_type"), F.col("document_id").alias("filing_date"), "text")
+    for k in range(2):
+        filings.where(F.pmod(F.xxhash64("filing_date"), F.lit(2)) == k).write.mode("append").parquet(f"{base}/in")
+        Z.ingest_stream(spark.readStream.schema(filings.schema).parquet(f"{base}/in"), f"{base}/index", f"{base}/checkpoint", sections=True)
+        Z.compact(spark, f"{base}/index")
+    made = Z.index_of(spark, f"{base}/index")
+    return made.groupBy(F.col("metadata")["filing_date"].alias("document_id"), "section_key").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
+
+
 @query(f"SELECT job_id, status FROM (SELECT user_id AS job_id, {STATUS} AS status, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def stream_run_state(spark: SparkSession, d: str) -> DataFrame:
     events = Z.stream_of(spark, f"{d}/events.parquet").select(F.col("user_id").alias("job_id"), F.expr(STATUS).alias("status"), F.col("ts").cast("timestamp").alias("ts"), "event_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from proofsieve.functions.text import clean_section_text
-from proofsieve.operators.index import build_chunks, chunk_fixed, upsert
+from proofsieve.operators.index import build_chunks, chunk_fixed, slice_sections, upsert
 from proofsieve.sources.scratch import work_dir as work_dir
 
 #: States after which a run isn't stale.
@@ -30,28 +31,62 @@ def run_to_end(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[Da
     return query
 
 
-def ingest_stream(filings: DataFrame, index: str, checkpoint: str, size: int = 1000, overlap: int = 200) -> None:
-    """Filings (ticker, filing_type, filing_date, raw_name, text) to chunks, added to the log at ``index`` batch by batch.
+def ingest_stream(filings: DataFrame, index: str, checkpoint: str, size: int = 1000, overlap: int = 200, sections: bool = False) -> None:
+    """Filings (ticker, filing_type, filing_date, raw_name, text) to chunks, added to the log at ``index`` batch by batch. With ``sections`` the texts
+    are whole filings, without a raw_name, and are cut into their sections first.
 
     A batch writes its own chunks alone, under its number, so the cost follows the batch and not the index; one that is run again after a failure
-    replaces what it wrote. ``index_of`` reads the log as an index.
+    replaces what it wrote. ``index_of`` reads the log as an index, ``compact`` shortens it.
     """
-    rows = filings.withColumn("content", clean_section_text("text"))
 
     def put(batch: DataFrame, number: int) -> None:
-        chunked = chunk_fixed(batch, "content", size, overlap).withColumn("company_name", F.lit(None).cast("string"))
+        rows = batch
+        if sections:
+            named = batch.withColumn("document_id", F.struct("ticker", "filing_type", "filing_date"))
+            rows = slice_sections(named).select("document_id.*", F.col("section_key").alias("raw_name"), F.col("content").alias("text"))
+        chunked = chunk_fixed(rows.withColumn("content", clean_section_text("text")), "content", size, overlap).withColumn("company_name", F.lit(None).cast("string"))
         chunks = build_chunks(chunked.select("ticker", "company_name", "filing_type", "filing_date", "raw_name", "chunk_index", "chunk_text"))
         chunks.write.mode("overwrite").parquet(f"{index}/batch={number}")
 
-    run_to_end(rows, "append", checkpoint, put)
+    run_to_end(filings, "append", checkpoint, put)
+
+
+def _numbers(spark: SparkSession, index: str, kind: str) -> list[int]:
+    """The numbers of a log's folders of a kind: ``batch`` of the stream, ``base`` of compactions, ``manifest`` of compactions that are complete."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(index)
+    files = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(home)] if files.exists(home) else []
+    return sorted(int(n.removeprefix(f"{kind}=")) for n in names if n.startswith(f"{kind}="))
 
 
 def index_of(spark: SparkSession, index: str) -> DataFrame:
-    """The chunks of a log, of each id those of the last batch that has it; chunk ids follow from the filing, so nothing is entered twice."""
-    chunks = spark.read.option("basePath", index).parquet(f"{index}/batch=*").withColumnRenamed("batch", "version")
+    """The chunks of a log, of each id those of the last batch that has it; chunk ids follow from the filing, so nothing is entered twice.
+
+    Only the newest base and the batches after it are read.
+    """
+    upto = max(_numbers(spark, index, "manifest"), default=-1)
+    newer = [n for n in _numbers(spark, index, "batch") if n > upto]
+    parts = [spark.read.parquet(f"{index}/base={upto}")] if upto >= 0 else []
+    if newer:
+        rows = spark.read.option("basePath", index).parquet(*[f"{index}/batch={n}" for n in newer])
+        parts.append(rows.withColumn("version", F.col("batch").cast("bigint")).drop("batch"))
+    chunks = reduce(DataFrame.unionByName, parts)
     return upsert(chunks.limit(0), chunks)
 
 
+def compact(spark: SparkSession, index: str) -> int:
+    """Writes the log up to its last batch as one base, and returns that batch's number.
+
+    The base counts from when its manifest is there, which is written last: a compaction that fails changes nothing, one that is run again writes the same.
+    Folders that no longer count may be deleted when nobody reads them any more.
+    """
+    upto = max(_numbers(spark, index, "batch"), default=-1)
+    if upto > max(_numbers(spark, index, "manifest"), default=-1):
+        index_of(spark, index).write.mode("overwrite").parquet(f"{index}/base={upto}")
+        spark.createDataFrame([(upto,)], "upto long").coalesce(1).write.mode("overwrite").parquet(f"{index}/manifest={upto}")
+    return upto
+
+
 def run_states(events: DataFrame, stale_after_s: int = 86_400, lateness: str = "10 minutes", keep_final_s: int = 3_600) -> DataFrame:
     """Changes (job_id, status, ts, event_id) of run states from a stream of (job_id, status, ts, event_id).
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 from proofsieve.operators import evaluate as X
+from proofsieve.operators import index as I
 from proofsieve.operators import runlog as R
 from proofsieve.operators.ordered import numbered, running_sum
 from proofsieve.streaming import streams as Z
@@ -107,3 +108,77 @@ def test_bootstrap_of_one_metric_by_hand(spark):
     got = X.bootstrap_ci(pairs, samples=40).collect()
     assert [(r.metric, r.ci_low, r.ci_high) for r in got] == [("x", means[int(0.025 * (len(means) - 1))], means[int(0.975 * (len(means) - 1))])]
     assert X.bootstrap_ci(pairs.limit(0)).collect() == []
+
+
+def test_log_is_compacted_and_goes_on(spark, tmp_path):
+    schema = "ticker string, filing_type string, filing_date string, raw_name string, text string"
+    index = f"{tmp_path}/index"
+
+    def add(*rows):
+        spark.createDataFrame(list(rows), schema).write.mode("append").parquet(f"{tmp_path}/in")
+        Z.ingest_stream(Z.stream_of(spark, f"{tmp_path}/in"), index, f"{tmp_path}/checkpoint")
+
+    rows = lambda: sorted((r.document_id[0], r.text) for r in Z.index_of(spark, index).collect())
+    add(("A", "10-K", "d1", "Business", "one"), ("B", "10-K", "d2", "Business", "two"))
+    add(("A", "10-K", "d1", "Business", "one changed"))
+    before = rows()
+    assert before == [("A", "one changed"), ("B", "two")] and Z.compact(spark, index) == 1 and rows() == before
+    read = [x for x in Z.index_of(spark, index).inputFiles()]
+    assert read and all("/base=1/" in x for x in read)  # the log before isn't read any more
+    add(("B", "10-K", "d2", "Business", "two changed"), ("C", "10-K", "d3", "Business", "three"))
+    assert rows() == [("A", "one changed"), ("B", "two changed"), ("C", "three")]
+    (tmp_path / "index" / "base=2").mkdir()  # a compaction that failed before its manifest was written
+    assert rows() == [("A", "one changed"), ("B", "two changed"), ("C", "three")]
+    assert Z.compact(spark, index) == 2 and Z.compact(spark, index) == 2 and rows() == [("A", "one changed"), ("B", "two changed"), ("C", "three")]
+
+
+def plain_pieces(text, size, overlap, separators=("\n\n", "\n", ". ", ", ", " ", "")):
+    """The recursive splitter with joined texts in place of running lengths."""
+    separator = next((s for s in separators if s in text), "")
+    rest = separators[separators.index(separator) + 1 :]
+    out, held = [], []
+    for piece in text.split(separator) if separator else list(text):
+        if len(piece) > size and rest:
+            out += [separator.join(held).strip(), *plain_pieces(piece, size, overlap, rest)]
+            held = []
+            continue
+        if held and len(separator.join([*held, piece])) > size:
+            out.append(separator.join(held).strip())
+            while held and (len(separator.join(held)) > overlap or len(separator.join([*held, piece])) > size):
+                held = held[1:]
+        held.append(piece)
+    return [x for x in [*out, separator.join(held).strip()] if x]
+
+
+def test_recursive_chunks_are_those_of_a_plain_splitter(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice(["word", "a", "sentence. ", ", ", " ", " ", "\n", "\n\n", "x" * 30, "é", ""]) for _ in range(n))
+    rows = [(i, text(rng.randint(0, 120))) for i in range(60)] + [(100, None), (101, ""), (102, "x" * 500), (103, " \n\n "), (104, text(300)), (104, text(300))]
+    got = I.chunk_recursive(spark.createDataFrame(rows, "i int, content string"), size=40, overlap=12, most=3)
+    assert got.columns == ["i", "content", "chunk_index", "chunk_text"]
+    want = sorted((i, t, k, x) for i, t in rows for k, x in enumerate(plain_pieces(t or "", 40, 12)))
+    assert sorted((r.i, r.content, r.chunk_index, r.chunk_text) for r in got.collect()) == want
+    long = "".join(rng.choice(["lorem ipsum ", "dolor. ", "sit, amet\n", "consectetur\n\n"]) for _ in range(600_000))
+    pieces = list(I.recursive_pieces(long, 1000, 200))
+    assert len(long) > 5_000_000 and pieces == plain_pieces(long, 1000, 200)
+    one_run = list(I.recursive_pieces("y" * 2_000_000, 1000, 200))  # no separator: carried over character by character
+    assert {len(x) for x in one_run[:-1]} == {1000} and len(one_run) == 1 + -(-(2_000_000 - 1000) // 800)
+
+
+def test_hashed_embeddings_are_signed_counts(spark):
+    import re
+    import struct
+
+    import numpy as np
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    texts = ["Risk factors, risk AND more 42", "a b a", "", None, "...", "é only e", "word " * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in I.embed_hashed(rows, dim=16).collect():
+        v = np.zeros(16)
+        for t in re.findall("[a-z0-9]+", (r.text or "").lower()):
+            h = xxhash.xxh64_intdigest(t.encode(), 42)
+            v[signed(h) % 16] += 1 if signed(xxhash.xxh64_intdigest(struct.pack("<i", 1), h)) % 2 == 0 else -1
+        want = v / np.linalg.norm(v) if v.any() else []
+        assert np.allclose(r.embedding, want, atol=1e-6) and len(r.embedding) == len(want)
