@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofsieve.functions.text import given, tokens
+from proofsieve.sources.scratch import written
 
 #: Words of the default scorer; a user's own lists or model replace them.
 POSITIVE = ["gain", "gains", "growth", "beat", "strong", "profit", "record", "up", "rise", "good", "best", "improved"]
@@ -60,3 +63,36 @@ def report_rows(scored: DataFrame, text: str = "text") -> DataFrame:
     """Texts over 100 characters cut to 97 and '...', scores rounded to 4 places."""
     short = F.when(F.length(text) > 100, F.concat(F.substring(text, 1, 97), F.lit("..."))).otherwise(F.col(text))
     return scored.withColumn("shown", short).withColumn("scores", F.transform_values("scores", lambda k, v: F.round(v, 4)))
+
+
+#: Classes of sentiment; of equal scores the first counts.
+CLASSES = ["negative", "neutral", "positive"]
+
+
+def learn(rows: DataFrame, text: str = "text", label: str = "label") -> tuple[DataFrame, dict[str, float | None]]:
+    """(weights, priors) of a multinomial naive Bayes model from labelled texts: a table (token, w_negative, w_neutral, w_positive) and three numbers, all logarithms.
+
+    All counts come from one grouping by token; a class without texts has no prior and is never given. Rows with another label are left out.
+    """
+    known = rows.where(F.col(label).isin(CLASSES)).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    each = known.select("label", F.explode(tokens("text")).alias("token"))
+    counts = written(each.groupBy("token").agg(*[F.count_if(F.col("label") == c).alias(c) for c in CLASSES]), "sentiment-counts")
+    v, *sizes = counts.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in CLASSES]).first()
+    weights = counts.select("token", *[F.log((F.col(c) + 1) / F.lit(float(n + v))).alias(f"w_{c}") for c, n in zip(CLASSES, sizes, strict=True)])
+    n, *own = known.agg(F.count("*"), *[F.count_if(F.col("label") == c) for c in CLASSES]).first()
+    return weights, {c: math.log(x / n) if x else None for c, x in zip(CLASSES, own, strict=True)}
+
+
+def classify_learnt(rows: DataFrame, model: tuple[DataFrame, dict[str, float | None]], key: str, text: str = "text", digits: int = 9) -> DataFrame:
+    """(key, label, confidence) of each row by a model of ``learn``: the class of the largest score and its share of the likelihood. Tokens that the
+    model doesn't know are passed over; a text without known tokens is judged by the priors. ``key`` tells rows apart. A model without texts says neutral, with confidence null."""
+    weights, priors = model
+    named = rows.select(F.col(key).alias("__key"), tokens(text).alias("__t"))
+    each = named.select("__key", F.explode("__t").alias("token")).groupBy("__key", "token").agg(F.count("*").alias("tf"))
+    sums = each.hint("merge").join(weights.hint("merge"), "token").groupBy("__key").agg(*[F.sum(F.col("tf") * F.col(f"w_{c}")).alias(c) for c in CLASSES])
+    both = named.select("__key").distinct().hint("merge").join(sums.hint("merge"), "__key", "left")
+    scored = both.select("__key", *[F.round(F.coalesce(c, F.lit(0.0)) + F.lit(priors[c]).cast("double"), digits).alias(c) for c in CLASSES])
+    best = F.greatest(*CLASSES)
+    label = reduce(lambda rest, c: F.when(F.col(c) == best, c).otherwise(rest), reversed(CLASSES), F.lit("neutral"))
+    total = sum([F.coalesce(F.exp(F.col(c) - best), F.lit(0.0)) for c in CLASSES], F.lit(0.0))
+    return scored.select(F.col("__key").alias(key), label.alias("label"), F.when(best.isNotNull(), 1 / total).alias("confidence"))

@@ -206,6 +206,37 @@ def classify_sentiment(spark: SparkSession, d: str) -> DataFrame:
     return N.classify(V.table(spark, d, "documents")).select("doc_id", "label", F.round("confidence", 9).alias("confidence"))
 
 
+#: Naive Bayes from the labelled documents whose number isn't divisible by five, over all documents.
+LEARNT = """lab AS (SELECT doc_id, text, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label FROM documents JOIN labels USING (doc_id)), train AS (SELECT * FROM lab WHERE doc_id % 5 <> 0),
+tok AS (SELECT label, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM train), class AS (SELECT unnest(['negative', 'neutral', 'positive']) AS label),
+vocabulary AS (SELECT DISTINCT token FROM tok), size AS (SELECT c.label, count(t.token) AS n, (SELECT count(*) FROM vocabulary) AS v FROM class c LEFT JOIN tok t USING (label) GROUP BY 1),
+cnt AS (SELECT label, token, count(*) AS c FROM tok GROUP BY 1, 2), weight AS (SELECT s.label, v.token, ln((coalesce(c, 0) + 1) / (s.n + s.v)) AS w FROM vocabulary v CROSS JOIN size s LEFT JOIN cnt ON cnt.label = s.label AND cnt.token = v.token),
+prior AS (SELECT label, ln(count(*) / (SELECT count(*) FROM train)) AS p FROM train GROUP BY 1), word AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY 1, 2),
+total AS (SELECT doc_id, label, sum(tf * w) AS s FROM word JOIN weight USING (token) GROUP BY 1, 2), score AS (SELECT d.doc_id, p.label, round(coalesce(t.s, 0) + p.p, 9) AS s FROM documents d CROSS JOIN prior p LEFT JOIN total t ON t.doc_id = d.doc_id AND t.label = p.label),
+learnt AS (SELECT doc_id, label, round(1 / sum(exp(s - best)) OVER (PARTITION BY doc_id), 6) AS confidence, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, label) AS n FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS best FROM score))"""
+
+
+def _learnt(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(what the model says of every document, the labelled documents)."""
+    docs, label = V.table(spark, d, "documents").select("doc_id", "text"), F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    rows = docs.hint("merge").join(V.table(spark, d, "labels").select("doc_id", label.alias("label")).hint("merge"), "doc_id")
+    return N.classify_learnt(docs, N.learn(rows.where("doc_id % 5 <> 0")), "doc_id"), rows
+
+
+@query(f"WITH {LEARNT} SELECT doc_id, label, confidence FROM learnt WHERE n = 1")
+def sentiment_learnt(spark: SparkSession, d: str) -> DataFrame:
+    return _learnt(spark, d)[0].withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {LEARNT} SELECT b.label, count(*) AS n, count(*) FILTER (a.label = b.label) AS hit FROM learnt a JOIN lab b USING (doc_id) WHERE a.n = 1 AND doc_id % 5 = 0 GROUP BY 1")
+def sentiment_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Of each label how many of the documents that weren't learnt from are given it."""
+    said, rows = _learnt(spark, d)
+    held = rows.where("doc_id % 5 = 0").select("doc_id", F.col("label").alias("given"))
+    both = held.hint("merge").join(said.hint("merge"), "doc_id")
+    return both.groupBy(F.col("given").alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("given")).alias("hit"))
+
+
 LABELLED = "lab AS (SELECT source AS entity_id, CASE WHEN l.doc_id IS NULL THEN 'neutral' WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label, text AS snippet, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
 
 

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from proofsieve.operators import evaluate as X
 from proofsieve.operators import index as I
 from proofsieve.operators import runlog as R
+from proofsieve.operators import sentiment as N
 from proofsieve.operators.ordered import numbered, running_sum
 from proofsieve.streaming import streams as Z
 
@@ -182,3 +183,27 @@ def test_hashed_embeddings_are_signed_counts(spark):
             v[signed(h) % 16] += 1 if signed(xxhash.xxh64_intdigest(struct.pack("<i", 1), h)) % 2 == 0 else -1
         want = v / np.linalg.norm(v) if v.any() else []
         assert np.allclose(r.embedding, want, atol=1e-6) and len(r.embedding) == len(want)
+
+
+def test_learnt_sentiment_is_naive_bayes(spark):
+    import math
+    import re
+    from collections import Counter
+
+    rng = random.Random(12)
+    words = {"positive": ["good", "up"], "negative": ["bad", "down"], "neutral": ["flat"]}
+    rows = [(i, c, " ".join(rng.choices([*words[c], "the", "a"], k=rng.randint(1, 8)))) for i, c in enumerate(rng.choices([*words], weights=[5, 3, 2], k=80))]
+    rows += [(200, "other", "good good"), (201, None, "bad"), (202, "neutral", None)]
+    asked = [(0, "Good, the UP"), (1, "bad a"), (2, "unheard of"), (3, None), (4, ""), (5, "good bad flat " * 50)]
+    model = N.learn(spark.createDataFrame(rows, "i int, label string, text string"))
+    got = {r.i: (r.label, r.confidence) for r in N.classify_learnt(spark.createDataFrame(asked, "i int, text string"), model, "i").collect()}
+    split = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    known = [(c, split(t)) for _, c, t in rows if c in words]
+    counts = {c: Counter(w for k, t in known if k == c for w in t) for c in words}
+    v = len(set().union(*counts.values()))
+    for i, text in asked:
+        score = {c: round(math.log(sum(k == c for k, _ in known) / len(known)) + sum(math.log((counts[c][w] + 1) / (sum(counts[c].values()) + v)) for w in split(text) if any(w in x for x in counts.values())), 9) for c in words}
+        best = min(words, key=lambda c: (-score[c], c))
+        assert got[i][0] == best and abs(got[i][1] - 1 / sum(math.exp(s - score[best]) for s in score.values())) < 1e-6
+    none = N.classify_learnt(spark.createDataFrame(asked[:1], "i int, text string"), N.learn(spark.createDataFrame([], "label string, text string")), "i")
+    assert [tuple(r) for r in none.collect()] == [(0, "neutral", None)]
