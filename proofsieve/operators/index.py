@@ -100,8 +100,16 @@ def chunk_packed(sections: DataFrame, text: str = "content", size: int = 1000) -
     return sections.select("*", F.posexplode(fold).alias("chunk_index", "chunk_text"))
 
 
-def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", ", ", " ", "")) -> Iterator[str]:
-    """Split at the first separator the text has, split longer pieces at the next ones, and pack pieces up to ``size``, carrying over up to ``overlap``. In linear time."""
+SEPARATORS = ("\n\n", "\n", ". ", ", ", " ", "")
+
+
+def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Split at the first separator the text has, split longer pieces at the next ones, and pack pieces up to ``size``, carrying over up to ``overlap``."""
+    return list(each_piece(text, size, overlap, separators))
+
+
+def each_piece(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> Iterator[str]:
+    """The ``recursive_pieces`` one after the other, in linear time."""
     separator = next((s for s in separators if s in text), "")
     rest = separators[separators.index(separator) + 1 :]
     held: deque[str] = deque()
@@ -113,7 +121,7 @@ def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str,
                 yield joined
             held.clear()
             length = 0
-            yield from recursive_pieces(piece, size, overlap, rest)
+            yield from each_piece(piece, size, overlap, rest)
             continue
         if held and length + len(separator) + len(piece) > size:
             if joined := separator.join(held).strip():
@@ -135,7 +143,7 @@ def chunk_recursive(sections: DataFrame, text: str = "content", size: int = 1000
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, value in enumerate(batch.column(place).to_pylist()):
-                pieces = enumerate(recursive_pieces(value or "", size, overlap))
+                pieces = enumerate(each_piece(value or "", size, overlap))
                 while part := list(islice(pieces, most)):
                     own = [c.take(pa.array([row] * len(part), pa.int64())) for c in batch.columns]
                     yield pa.RecordBatch.from_arrays([*own, pa.array([i for i, _ in part], pa.int32()), pa.array([x for _, x in part], pa.string())], names=names)
