@@ -152,8 +152,8 @@ def _stored(spark: SparkSession, d: str) -> tuple[str, dict[str, int]]:
     """An index on storage after a batch has been put into it, and the counts."""
     existing, batch = _index(spark, d)
     path = work_dir(spark, "index")
-    K.write_chunks(existing, path)
-    return path, K.upsert_stored(spark, path, batch)
+    K.write_chunks(existing, path, slots=4)
+    return path, K.upsert_stored(spark, path, batch, slots=4)
 
 
 @query(f"{LAST} SELECT chunk_id, ticker, md5(text) AS text_md5, version FROM last UNION ALL SELECT chunk_id, ticker, md5(text), version FROM existing WHERE chunk_id NOT IN (SELECT chunk_id FROM last)")
@@ -171,7 +171,7 @@ def upsert_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {V.CHUNKS} SELECT ticker, count(*) AS n, (SELECT count(*) FROM chunks WHERE ticker = 'SRC3') AS removed FROM chunks WHERE ticker <> 'SRC3' GROUP BY 1")
 def delete_stored(spark: SparkSession, d: str) -> DataFrame:
     path = work_dir(spark, "index")
-    K.write_chunks(V.chunks(spark, d).withColumn("version", F.lit(0)), path)
+    K.write_chunks(V.chunks(spark, d).withColumn("version", F.lit(0)), path, slots=4)
     removed = K.delete_stored(spark, path, " src3 ")
     return K.read_chunks(spark, path).groupBy("ticker").agg(F.count("*").alias("n")).withColumn("removed", F.lit(removed).cast("long"))
 
