@@ -35,8 +35,8 @@ from proofsieve.llm.words import Hasher, mix
 END = np.uint64(0x5BD1E9955BD1E995)
 DISCOUNT = 0.75
 LEVELS = 254
-#: Bits of a word's id in the keys of the levels below the first; ids from 1 << ID_BITS on are split pairs.
-ID_BITS = 40
+#: In the first level ids from 1 << SPLIT_BITS on are split pairs.
+SPLIT_BITS = 40
 #: Contexts in fewer of a chunk's tokens than one in RARE aren't looked at as hot; those under LEAST never.
 RARE, LEAST = 4096, 64
 #: One shard of hot contexts for so many shards of words.
@@ -57,6 +57,13 @@ def step_of(total: int) -> float:
     return (math.log10(total + 1) + 1) / LEVELS
 
 
+def keyed(context: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
+    """(context, id) as one key, the context above the ``bits`` of an id. Raises if either doesn't fit, so that no two n-grams are ever one."""
+    if int(ids.max(initial=0)) >> bits or int(context.max(initial=0)) >> 64 - bits:
+        raise OverflowError(f"a shard's {int(context.max(initial=0)) + 1} contexts and ids of {bits} bits don't fit in 64 bits: deal smaller chunks")
+    return context.astype(np.uint64) << np.uint64(bits) | ids.astype(np.uint64)
+
+
 def quantised(p: np.ndarray, step: float) -> np.ndarray:
     """0 for 0, else 1 to 255: the nearest level of log10(p)."""
     with np.errstate(divide="ignore"):
@@ -163,7 +170,7 @@ class Nest:
         entry_root = np.r_[self.codes // w, to[away]]
         entry_id = np.r_[ids[self.codes % w], ids[leaf_word[away]]]
         entry_count = np.r_[pair_count, leaf_count[away]]
-        root_key = np.r_[ids, (1 << ID_BITS) + split]
+        root_key = np.r_[ids, (1 << SPLIT_BITS) + split]
         root_count = np.bincount(entry_root, entry_count, len(root_key)).astype(np.int64)
         parts = np.ones(len(root_key), np.int64)
         single = hot.v == 0
@@ -214,33 +221,32 @@ class Nest:
 class Trie:
     """A shard's levels; the training n-grams alone."""
 
-    def __init__(self, roots: EliasFano, weights: np.ndarray, pointers: EliasFano, second: EliasFano, terms: np.ndarray, second_weights: np.ndarray, second_pointers: EliasFano, third: EliasFano, third_terms: np.ndarray):
-        self.roots, self.weights, self.pointers, self.second, self.terms = roots, weights, pointers, second, terms
+    def __init__(self, bits: int, roots: EliasFano, weights: np.ndarray, pointers: EliasFano, second: EliasFano, terms: np.ndarray, second_weights: np.ndarray, second_pointers: EliasFano, third: EliasFano, third_terms: np.ndarray):
+        self.bits, self.roots, self.weights, self.pointers, self.second, self.terms = bits, roots, weights, pointers, second, terms
         self.second_weights, self.second_pointers, self.third, self.third_terms = second_weights, second_pointers, third, third_terms
 
     @classmethod
-    def of(cls, roots: np.ndarray, counts: np.ndarray, context: np.ndarray, ids: np.ndarray, pairs: np.ndarray, context3: np.ndarray, ids3: np.ndarray, triples: np.ndarray, total: int) -> Trie:
-        """From sorted roots with their counts, entries (place of the root, id) with theirs, and leaves (place of the entry, id) with theirs, all sorted."""
+    def of(cls, roots: np.ndarray, counts: np.ndarray, context: np.ndarray, ids: np.ndarray, pairs: np.ndarray, context3: np.ndarray, ids3: np.ndarray, triples: np.ndarray, total: int, bits: int) -> Trie:
+        """From sorted roots with their counts, entries (place of the root, id) with theirs, and leaves (place of the entry, id) with theirs, all sorted; ids have ``bits`` bits."""
         step = step_of(total)
 
         def level(above: np.ndarray, context: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple:
             kinds = np.bincount(context, minlength=len(above))
             weights = quantised(np.where(above > 0, DISCOUNT * kinds / np.maximum(above, 1), 0), step)
-            keys = context.astype(np.uint64) << np.uint64(ID_BITS) | ids.astype(np.uint64)
-            return weights, EliasFano.of(np.r_[0, np.cumsum(kinds)]), EliasFano.of(keys), quantised(np.maximum(n - DISCOUNT, 0) / np.maximum(above[context], 1), step)
+            return weights, EliasFano.of(np.r_[0, np.cumsum(kinds)]), EliasFano.of(keyed(context, ids, bits)), quantised(np.maximum(n - DISCOUNT, 0) / np.maximum(above[context], 1), step)
 
         weights, pointers, second, terms = level(counts, context, ids, pairs)
         followed = np.bincount(context3, triples, len(ids)).astype(np.int64)
-        return cls(EliasFano.of(roots), weights, pointers, second, terms, *level(followed, context3, ids3, triples))
+        return cls(bits, EliasFano.of(roots), weights, pointers, second, terms, *level(followed, context3, ids3, triples))
 
     def pack(self) -> bytes:
-        return pack([*self.roots.arrays(), self.weights, *self.pointers.arrays(), *self.second.arrays(), self.terms, self.second_weights, *self.second_pointers.arrays(), *self.third.arrays(), self.third_terms])
+        return pack([np.array([self.bits]), *self.roots.arrays(), self.weights, *self.pointers.arrays(), *self.second.arrays(), self.terms, self.second_weights, *self.second_pointers.arrays(), *self.third.arrays(), self.third_terms])
 
     @classmethod
     def view(cls, buffer: bytes | memoryview | np.ndarray) -> Trie:
-        x = unpack(buffer)
+        bits, *x = unpack(buffer)
         e = lambda k: EliasFano(*x[k : k + 4])
-        return cls(e(0), x[4], e(5), e(9), x[13], x[14], e(15), e(19), x[23])
+        return cls(int(bits[0]), e(0), x[4], e(5), e(9), x[13], x[14], e(15), e(19), x[23])
 
     def root(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of each root, its weight code); a root that isn't there has place -1 and code 0."""
@@ -249,19 +255,19 @@ class Trie:
 
     def entry(self, root: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of each entry in its root's range, its term code, its weight code)."""
-        at, found = _within(self.pointers, self.second, root, ids)
+        at, found = _within(self.pointers, self.second, root, ids, self.bits)
         return np.where(found, at, -1), _codes(self.terms, at, found), _codes(self.second_weights, at, found)
 
     def leaf(self, entry: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The term code of each leaf in its entry's range."""
-        return _codes(self.third_terms, *_within(self.second_pointers, self.third, entry, ids))
+        return _codes(self.third_terms, *_within(self.second_pointers, self.third, entry, ids, self.bits))
 
 
 def _codes(codes: np.ndarray, at: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.where(found, codes[np.where(found, at, 0)], 0).astype(np.uint8) if len(codes) else np.zeros(len(at), np.uint8)
 
 
-def _within(pointers: EliasFano, level: EliasFano, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _within(pointers: EliasFano, level: EliasFano, context: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Successor search for (context, id) between the context's pointers; contexts ascend, -1 is none."""
     at, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
     known = np.flatnonzero(context >= 0)
@@ -272,33 +278,33 @@ def _within(pointers: EliasFano, level: EliasFano, context: np.ndarray, ids: np.
             low, high = ends[once][inverse], ends[once + 1][inverse]
         else:
             low, high = pointers.access(once).astype(np.int64)[inverse], pointers.access(once + 1).astype(np.int64)[inverse]
-        keys = context[known].astype(np.uint64) << np.uint64(ID_BITS) | ids[known].astype(np.uint64)
-        at[known], found[known] = level.successor(keys, low, high)
+        at[known], found[known] = level.successor(keyed(context[known], ids[known], bits), low, high)
     return at, found
 
 
-def _gathered(context: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _gathered(context: np.ndarray, ids: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(context, id, sum of the counts, inverse) of what is distinct."""
-    keys, inverse = np.unique(context.astype(np.uint64) << np.uint64(ID_BITS) | ids.astype(np.uint64), return_inverse=True)
-    return (keys >> np.uint64(ID_BITS)).astype(np.int64), (keys & np.uint64((1 << ID_BITS) - 1)).astype(np.int64), np.bincount(inverse, counts, len(keys)).astype(np.int64), inverse
+    keys, inverse = np.unique(keyed(context, ids, bits), return_inverse=True)
+    return (keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64), np.bincount(inverse, counts, len(keys)).astype(np.int64), inverse
 
 
 class Merged:
-    """The rows that a shard got: all that is asked, distinct, and with ``trie`` the training part of it."""
+    """The rows that a shard got: all that is asked, distinct, and with ``trie`` the training part of it. Ids have ``bits`` bits."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, bits: int):
+        self.bits = bits
         rows = [unsqueeze(x) for x in table["data"].to_pylist()]
         self.sizes = [(len(r[0]), len(r[3]), len(r[6])) for r in rows]
         key, count, entries, entry_id, entry_count, leaves, leaf_id, leaf_count = (np.concatenate(x) for x in zip(*[(np.cumsum(r[0]), *r[1:]) for r in rows], strict=True))
         self.key, self.root_of = np.unique(key, return_inverse=True)
         self.count = np.bincount(self.root_of, count, len(self.key)).astype(np.int64)
-        self.context, self.id, self.pairs, self.entry_of = _gathered(np.repeat(self.root_of, entries), entry_id, entry_count)
-        self.context3, self.id3, self.triples, self.leaf_of = _gathered(np.repeat(self.entry_of, leaves), leaf_id, leaf_count)
+        self.context, self.id, self.pairs, self.entry_of = _gathered(np.repeat(self.root_of, entries), entry_id, entry_count, bits)
+        self.context3, self.id3, self.triples, self.leaf_of = _gathered(np.repeat(self.entry_of, leaves), leaf_id, leaf_count, bits)
 
     def trie(self, total: int) -> Trie:
         root, entry, leaf = self.count > 0, self.pairs > 0, self.triples > 0
         context, context3 = np.cumsum(root) - 1, np.cumsum(entry) - 1
-        return Trie.of(self.key[root], self.count[root], context[self.context[entry]], self.id[entry], self.pairs[entry], context3[self.context3[leaf]], self.id3[leaf], self.triples[leaf], total)
+        return Trie.of(self.key[root], self.count[root], context[self.context[entry]], self.id[entry], self.pairs[entry], context3[self.context3[leaf]], self.id3[leaf], self.triples[leaf], total, self.bits)
 
     def answers(self, trie: Trie) -> list[bytes]:
         root, weights = trie.root(self.key)
@@ -356,12 +362,13 @@ def _settle_words(table: pa.Table) -> pa.Table:
 
 @dataclass
 class Vocabulary:
-    """What a task needs to know of all shards: where the ids of each begin, training tokens, distinct ones, and the split contexts."""
+    """What a task needs to know of all shards: where the ids of each begin, training tokens, distinct ones, the split contexts, and the bits of an id."""
 
     begin: np.ndarray
     total: int
     known: int
     hot: Hot
+    bits: int
 
     def words(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """(id and training count of each of a chunk's words)."""
@@ -380,7 +387,7 @@ def vocabulary(rows: DataFrame, shards: int) -> tuple[DataFrame, Vocabulary]:
     sizes = {r.shard: (r.n, r.known, r.size) for r in answers.where(F.col("kind") == SIZES).select("shard", "n", "known", "size").collect()}
     total, known, size = (np.array([sizes.get(k, (0, 0, 0))[i] for k in range(shards)], np.int64) for i in range(3))
     split = Hot.of(answers.where(F.col("kind") == HOT), int(total.sum()), shards)
-    return answers.where(F.col("kind") == WORDS), Vocabulary(np.cumsum(size) - size, int(total.sum()), int(known.sum()), split)
+    return answers.where(F.col("kind") == WORDS), Vocabulary(np.cumsum(size) - size, int(total.sum()), int(known.sum()), split, max(1, int(size.sum()).bit_length()))
 
 
 def _ask_grams(shards: int, voc: Vocabulary):
@@ -398,7 +405,7 @@ def tries(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     words, voc = vocabulary(rows, shards)
 
     def build(table: pa.Table) -> pa.Table:
-        return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "trie": pa.array([Merged(table).trie(voc.total).pack()], pa.binary())})
+        return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "trie": pa.array([Merged(table, voc.bits).trie(voc.total).pack()], pa.binary())})
 
     asked = rows.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_ask_grams(shards, voc), ASKED_DDL)
     return asked.groupBy("shard").applyInArrow(build, "shard int, trie binary")
@@ -423,7 +430,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     values = values_of(step_of(voc.total))
 
     def answer(table: pa.Table) -> pa.Table:
-        merged, shard = Merged(table), table["shard"][0].as_py()
+        merged, shard = Merged(table, voc.bits), table["shard"][0].as_py()
         trie = Trie.view(merged.trie(voc.total).pack())
         return _answer([_row(GRAMS, chunk, shard, data) for chunk, data in zip(table["chunk"].to_pylist(), merged.answers(trie), strict=True)])
 
