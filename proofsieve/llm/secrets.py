@@ -7,14 +7,15 @@ and names. A name stands for the literals that it was given before, so constants
 them, through concatenations too; what comments and other strings say is looked at but defines no constant.
 Literals in the brackets of a value (arguments, lists), and pairs with a neutral name such as ``value`` there or in a
 block that is indented under it, count for the name that the brackets or the block belong to. A literal is reported if its target's
-name is sensitive and the value as a whole looks like a secret. Every pattern is tried from one place once, so time is linear.
+name is sensitive and the value as a whole looks like a secret; one with white space only if the name alone says
+all (weight 1). Private keys in PEM armour are reported wherever they stand. Every pattern is tried from one place once, so time is linear.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from proofsieve.llm.shared import fresh, per_text
 
-#: Kinds in the order of the report: base patterns, literals by the target's name, literals that reach one through a constant.
-BASE, KINDS = ("assign", "access", "hex"), ("assign", "access", "hex", "named", "constant")
+#: Kinds in the order of the report: base patterns, literals by the target's name, literals that reach one through a constant, private keys.
+BASE, KINDS = ("assign", "access", "hex"), ("assign", "access", "hex", "named", "constant", "armour")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -32,6 +33,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
 QUOTED = r""""(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\.|[^`\\\n])*+`"""
+#: The head of a private key, and all after it up to the next dashes; its foot; lines of a key that has none.
+ARMOUR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+ARMOURED = re.compile(r"(?:[^-]|-(?!----))*+")
+FOOT = re.compile(r"-----END [A-Z0-9 ]+-----")
+KEY_LINES = re.compile(r"(?:\s|\\[nr])*+(?:[A-Za-z0-9+/=]{16,}+(?:\s|\\[nr])*+)++")
+KEY_LINE = re.compile(r"[A-Za-z0-9+/=]{16}")
 #: One token. A pair ends behind its operator, where its value begins.
 TOKEN = re.compile(
     r"""(?P<line>\n[ \t]*+(?:-[ \t]++)?)"""
@@ -63,8 +70,8 @@ SENSITIVE = {
 #: Values that stand for a secret and are none.
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|changeme|change_me|redacted|example.*|your[_-].*|my[_-].*|dummy.*|placeholder.*|<.*>|\$\{?.*|%\(?.*|\{\{.*|os\.environ.*|process\.env.*|env\..*)$")
 LEAST_CHARS, THRESHOLD = 8, 0.7
-#: A value of more characters or parts is data: no secret, and no constant.
-MOST_CHARS, MOST_PARTS = 4096, 16
+#: Constants of a text stand for at most so many characters for each that it has, so that chains of them can't take more than linear time.
+EXPANDED = 32
 #: Last parts of names that say nothing themselves; the name around them counts.
 NEUTRAL = {"value", "default", "data", "content", "text", "raw", "val", "string", "plain", "current"}
 
@@ -77,13 +84,17 @@ def name_weight(name: str) -> float:
     return max([0.0, *(SENSITIVE.get(p, 0.0) for p in parts), *(SENSITIVE.get(f"{a} {b}", 0.0) for a, b in zip(parts, parts[1:], strict=False))])
 
 
-def literal_weight(value: str) -> float:
-    """0 to 1: how much a literal looks like a secret, by entropy and kinds of characters."""
-    if not LEAST_CHARS <= len(value) <= MOST_CHARS or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+def literal_weight(value: str, spaced: bool = False) -> float:
+    """0 to 1: how much a literal looks like a secret, by entropy and kinds of characters. One with white space has none, unless ``spaced``; then it needs three kinds."""
+    if len(value) < LEAST_CHARS or PLACEHOLDER.match(value):
         return 0.0
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return 0.0 if kinds < 2 else min(1.0, bits / 4) * (0.8 if kinds == 2 else 1.0)
+    counts = Counter(value)
+    space = any(map(str.isspace, counts))
+    if space and not spaced:
+        return 0.0
+    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
+    kinds = sum(any(map(f, counts)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum() and not c.isspace()))
+    return 0.0 if kinds < (3 if space else 2) else min(1.0, bits / 4) * (0.8 if kinds == 2 else 1.0)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -106,6 +117,25 @@ class Lexer:
         #: Literals of the names so far; the names around, by bracket and by indentation; weights of names.
         self.known: dict[str, tuple[Part, ...]] = {}
         self.weights: dict[str, float] = {}
+        #: Places of three quotes; scores of values; what constants may still stand for.
+        self.triples: dict[str, list[int]] = {}
+        self.scored: dict[tuple[bool, tuple[Part, ...]], float] = {}
+        self.left = EXPANDED * (len(text) + 1024)
+
+    def spend(self, n: int) -> bool:
+        """Whether ``n`` more characters or parts of constants may be looked at."""
+        if n > self.left:
+            return False
+        self.left -= n
+        return True
+
+    def closing(self, quotes: str, at: int, end: int) -> int:
+        """Where three quotes stand next, or -1. Their places are listed once, so openings that nothing closes take no time."""
+        if quotes not in self.triples:
+            self.triples[quotes] = [m.start() for m in re.finditer(f"(?={quotes})", self.text)]
+        places = self.triples[quotes]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) and places[k] + 3 <= end else -1
 
     def weight(self, name: str, around: str | None) -> float:
         """Of a target, or of the name around it where its own is neutral."""
@@ -116,10 +146,16 @@ class Lexer:
         return self.weights[name]
 
     def report(self, weight: float, literals: tuple[Part, ...], through: tuple[Part, ...] = ()) -> None:
-        """Literals of a target in their order; those in ``through`` reach it through a constant."""
+        """Literals of a target in their order; those in ``through`` reach it through a constant. Past the text's allowance for constants a target is judged by its own literals."""
         if not weight or not literals:
             return
-        value = literal_weight("".join([self.text[a:b] for a, b in literals]))
+        spaced = weight >= 1.0
+        key = spaced, literals
+        if key not in self.scored:
+            if through and not self.spend(sum([b - a for a, b in through])):
+                return self.report(weight, tuple([x for x in literals if x not in {*through}]))
+            self.scored[key] = literal_weight("".join([self.text[a:b] for a, b in literals]), spaced)
+        value, through = self.scored[key], {*through}
         if value and (score := 0.6 * weight + 0.4 * value) >= THRESHOLD:
             for part in literals:
                 if part[0] < part[1] and (part not in self.found or self.found[part][1] < score):
@@ -131,7 +167,7 @@ class Lexer:
         while m := TERM.match(text, at, end):
             at, own = m.end(), []
             if m["long"]:
-                close = text.find(m["long"], at, min(end, at + 2 * MOST_CHARS))
+                close = self.closing(m["long"], at, end)
                 if close >= 0:
                     own, at = [(at, close)], close + 3
                 else:
@@ -142,14 +178,13 @@ class Lexer:
                 own = [*self.known[m["bare"] if m["bare"] in self.known else name]]
                 at = m.start() + len(m["bare"] if m["bare"] in self.known else name)
                 through += own
+                whole = self.spend(len(own))
             elif IDENTIFIER.fullmatch(name) and not any(c.isdigit() for c in name):
                 whole = False  # a name that is no constant, or a call
                 at = m.start() + len(name)
             else:
                 own = [m.span()]
             literals += own
-            if len(literals) > MOST_PARTS or sum([b - a for a, b in literals]) > MOST_CHARS:
-                whole = False
             joint = JOIN.match(text, at, end)
             if not whole or not joint:
                 break
@@ -198,20 +233,20 @@ class Lexer:
                     self.lex(a, b, False)
             else:
                 name, op = m["name"] or m["flag"], m["op"]
+                begins_at = at
                 literals, through, at = self.value(at, end)
                 if define and op != "+=":
                     self.known.pop(name, None)
                 if literals:
                     if op == "+=":
                         before = self.known.get(name, ())
+                        before = before if self.spend(len(before)) else ()
                         literals, through = before + literals, before + through
-                    if define and op and len(literals) <= MOST_PARTS and sum([b - a for a, b in literals]) <= MOST_CHARS:
+                    if define and op:
                         self.known[name] = literals
-                    elif define:
-                        self.known.pop(name, None)
                     self.report(self.weight(name, outer), literals, through)
-                    for a, b in literals:
-                        if define and (a, b) not in through:
+                    for a, b in literals if define else ():
+                        if a >= begins_at:  # its own, not those of constants
                             self.lex(a, b, False)
                 elif op == "+=" and define:
                     self.known.pop(name, None)
@@ -242,6 +277,19 @@ def named_literals(text: str) -> list[tuple[int, int, str, float]]:
     return [(start, end, kind, score) for (start, end), (kind, score) in lexer.found.items()]
 
 
+def armour(text: str) -> list[tuple[int, int, str, float]]:
+    """Private keys in PEM armour, from head to foot; without a foot to the last line of the key."""
+    out, at = [], 0
+    while m := ARMOUR.search(text, at):
+        at = ARMOURED.match(text, m.end()).end()
+        foot = FOOT.match(text, at)
+        if foot and KEY_LINE.search(text, m.end(), at):
+            out.append((m.start(), foot.end(), "armour", 1.0))
+        elif not foot and (key := KEY_LINES.match(text, m.end())):
+            out.append((m.start(), m.end() + len(key[0].rstrip()), "armour", 1.0))
+    return out
+
+
 def uncovered(added: list[tuple[int, int, str, float]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
     """What no base span covers whole."""
     starts, most = [], []
@@ -255,6 +303,8 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     """All spans (kind, start, end, score) by start, then kind. What a base span covers isn't reported again."""
     base = base_spans(text)
     added = uncovered(named_literals(text), base)
+    if "-----BEGIN " in text:
+        added += uncovered(armour(text), [*base, *((a, b, k) for a, b, k, _ in added)])
     found = sorted([*((a, KINDS.index(k), b, 1.0) for a, b, k in base), *((a, KINDS.index(k), b, s) for a, b, k, s in added)])
     return [(KINDS[k], a, b, s) for a, k, b, s in found]
 
