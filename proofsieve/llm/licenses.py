@@ -1,7 +1,7 @@
 """Licence scan by canonical digests, in DataFrame functions alone.
 
-A text and each of its lines are brought to a canonical form: A-Z in lower case, punctuation to spaces, lines of copyright
-holders dropped, equivalent spellings unified, spaces collapsed. The SHA-256 of an entire canonical text, or of
+A text and each of its lines are brought to a canonical form: A-Z in lower case, punctuation to spaces, spaces collapsed, lines of copyright
+holders dropped, the lines of a text joined, and then equivalent spellings unified, so that line breaks don't matter. The SHA-256 of an entire canonical text, or of
 an entire line, is hash-joined to the digests of the known licences and notices.
 """
 
@@ -64,8 +64,9 @@ NAMES = {
 }
 NOTICES = ["Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This software is licensed under {}.", "This project is licensed under {}.", "This file is licensed under {}."]
 TEXTS = [
-    ("MIT", MIT), ("MIT", "MIT License\n" + MIT), ("MIT", "The MIT License (MIT)\n" + MIT), ("ISC", ISC), ("ISC", "ISC License\n" + ISC), ("0BSD", ZERO_BSD), ("BSD-2-Clause", BSD_HEAD + BSD_TAIL),
+    ("MIT", MIT), ("MIT", "MIT License\n" + MIT), ("MIT", "The MIT License\n" + MIT), ("MIT", "The MIT License (MIT)\n" + MIT), ("ISC", ISC), ("ISC", "ISC License\n" + ISC), ("0BSD", ZERO_BSD), ("BSD-2-Clause", BSD_HEAD + BSD_TAIL),
     ("BSD-2-Clause", "BSD 2-Clause License\n" + BSD_HEAD + BSD_TAIL), ("BSD-3-Clause", BSD_HEAD + BSD_THIRD + BSD_TAIL), ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD_HEAD + BSD_THIRD + BSD_TAIL), ("Zlib", ZLIB),
+    ("BSD-3-Clause", BSD_HEAD + BSD_THIRD.replace("copyright holder", "University") + BSD_TAIL.replace("COPYRIGHT HOLDERS", "REGENTS").replace("COPYRIGHT HOLDER", "REGENTS")),
     ("Apache-2.0", APACHE_HEADER), ("GPL-3.0", GPL_HEADER.format(v=3)), ("GPL-2.0", GPL_HEADER.format(v=2)),
 ]
 
@@ -101,26 +102,30 @@ def known_texts() -> list[tuple[str, str]]:
     return [*TEXTS, *notices, *((license, f"SPDX-License-Identifier: {license}") for license in NAMES)]
 
 
-def canonical_line(line: Column) -> Column:
-    """A line in canonical form, empty if it names a copyright holder."""
-    words = F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), PUNCTUATION, " "))
+def plain_line(line: Column) -> Column:
+    """A line's words, empty if it names a copyright holder."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), PUNCTUATION, " ")), HOLDER, "")
+
+
+def spelled(words: Column) -> Column:
+    """Words with equivalent spellings unified."""
     for other, one in SPELLINGS:
         words = F.replace(words, F.lit(other), F.lit(one))
-    return F.regexp_replace(words, HOLDER, "")
+    return words
 
 
 def canonical(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``lines``, the canonical lines, and ``digest``, that of the entire text."""
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), canonical_line)
-    whole = F.array_join(F.filter("lines", lambda x: x != ""), " ")
-    return df.withColumn("lines", lines).withColumn("digest", F.sha2(whole, 256))
+    """``df`` with ``lines``, the canonical lines, and of the entire text ``digest`` and ``size``, that of its canonical form and its length."""
+    plain = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), plain_line)
+    whole = spelled(F.array_join(F.filter("plain", lambda x: x != ""), " "))
+    return df.withColumn("plain", plain).withColumns({"lines": F.transform("plain", spelled), "digest": F.sha2(whole, 256), "size": F.length(whole)}).drop("plain")
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None, long: list[tuple[str, str, int]] | None = None) -> DataFrame:
     """(digest, license, size) of the known texts, each digest once; ``size`` is the length of the canonical text. ``long`` has such rows ready."""
     given = canonical(spark.createDataFrame(texts if texts is not None else known_texts(), "license string, text string"), "text")
     ready = spark.createDataFrame(long if long is not None else LONG if texts is None else [], "license string, digest string, size int")
-    rows = given.select("license", "digest", F.length(F.array_join(F.filter("lines", lambda x: x != ""), " ")).alias("size")).union(ready)
+    rows = given.select("license", "digest", "size").union(ready)
     return rows.groupBy("digest").agg(F.min("license").alias("license"), F.min("size").alias("size"))
 
 
@@ -150,24 +155,29 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_
     return each.select("doc_id", "digest", "license", F.expr("n div times").alias("n_notices"), F.array_join(F.array_sort("names"), ",").alias("notices"), again).drop("again")
 
 
-def _sql_line(line: str) -> str:
+def _sql_plain(line: str) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    out = f"trim(regexp_replace(translate({line}, {quoted(UPPER)}, {quoted(LOWER)}), {quoted(PUNCTUATION)}, ' ', 'g'))"
+    return f"regexp_replace(trim(regexp_replace(translate({line}, {quoted(UPPER)}, {quoted(LOWER)}), {quoted(PUNCTUATION)}, ' ', 'g')), {quoted(HOLDER)}, '')"
+
+
+def _sql_spelled(words: str) -> str:
     for other, one in SPELLINGS:
-        out = f"replace({out}, {quoted(other)}, {quoted(one)})"
-    return f"regexp_replace({out}, {quoted(HOLDER)}, '')"
+        words = f"replace({words}, '{other}', '{one}')"
+    return words
 
 
 def oracle_sql() -> str:
     """DuckDB SQL for ``scan`` over the view documents."""
     values = ", ".join("('{}', '{}')".format(a.replace("'", "''"), b.replace("'", "''")) for a, b in known_texts())
     long = ", ".join(f"('{license}', '{digest}')" for license, digest, _ in LONG)
+    lines = lambda text: f"list_transform(string_split({text}, chr(10)), lambda x: {_sql_plain('x')})"
+    digest = lambda lines: f"sha256({_sql_spelled(f"array_to_string(list_filter({lines}, lambda y: y <> ''), ' ')")})"
     return f"""
 WITH texts(license, text) AS (VALUES {values}), long(license, digest) AS (VALUES {long}),
-known AS (SELECT digest, min(license) AS license FROM (SELECT sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_sql_line('x')}), lambda y: y <> ''), ' ')) AS digest, license FROM texts UNION ALL SELECT digest, license FROM long) GROUP BY 1),
-rows AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_sql_line('x')}) AS lines FROM documents),
+known AS (SELECT digest, min(license) AS license FROM (SELECT {digest(lines('text'))} AS digest, license FROM texts UNION ALL SELECT digest, license FROM long) GROUP BY 1),
+rows AS (SELECT doc_id, {lines("coalesce(text, '')")} AS lines FROM documents),
 hits AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
-  FROM (SELECT doc_id, unnest(lines) AS line FROM rows) JOIN known ON digest = sha256(line) WHERE line <> '' GROUP BY doc_id),
-digests AS (SELECT doc_id, sha256(array_to_string(list_filter(lines, lambda y: y <> ''), ' ')) AS digest FROM rows)
+  FROM (SELECT doc_id, {_sql_spelled('line')} AS line FROM (SELECT doc_id, unnest(lines) AS line FROM rows)) JOIN known ON digest = sha256(line) WHERE line <> '' GROUP BY doc_id),
+digests AS (SELECT doc_id, {digest('lines')} AS digest FROM rows)
 SELECT d.doc_id, d.digest, k.license, coalesce(h.n, 0) AS n_notices, coalesce(h.names, '') AS notices
 FROM digests d LEFT JOIN known k ON k.digest = d.digest LEFT JOIN hits h ON h.doc_id = d.doc_id"""
