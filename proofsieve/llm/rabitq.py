@@ -4,7 +4,8 @@ Each vector less the mean is rotated by a seeded random rotation and kept as the
 its length, the inner product of the code and the vector, and its inner product with the mean. A query is rotated and cut into
 bit planes; counting the bits that a code shares with each plane gives the inner product of both, and with the scalars
 an estimate of that of the vectors, without bias and with a known error. In each block of codes the best estimates are
-computed exactly, which gives a threshold; every vector whose upper bound reaches it is reranked on the original vectors.
+computed exactly, which gives a threshold; every vector whose upper bound reaches it is reranked on the original vectors. Blocks of codes pass
+a block of queries one after the other, so the best so far set the threshold from the second on, and only the last best leave the task.
 All rows are coded; only the mean, over all rows, and the rotation are kept outside the codes. The stated queries meet all rows in blocks; a
 block's vectors go along with its codes in their own precision, since a block of a thousand queries asks for nearly all of them.
 """
@@ -88,8 +89,8 @@ def exact(queries: np.ndarray, vectors: np.ndarray, rows: np.ndarray, columns: n
     return out
 
 
-def nearest_in(codes: Codes, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, product) of the k nearest of each query in a block; a query's own id is left out."""
+def nearest_in(codes: Codes, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, bound: float, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, product) of the k nearest of each query in a block, of those that reach its ``floor``; a query's own id is left out."""
     value, error = codes.estimates(queries, mean, turn, bound)
     own = query_ids[:, None] == ids[None, :]
     value[own] = -np.inf
@@ -98,7 +99,7 @@ def nearest_in(codes: Codes, vectors: np.ndarray, ids: np.ndarray, queries: np.n
     rows = np.repeat(np.arange(len(queries)), first)
     products = exact(queries, vectors, rows, best.ravel()).reshape(len(queries), first)
     products[np.take_along_axis(own, best, axis=1)] = -np.inf
-    threshold = np.full(len(queries), -np.inf) if first < k else -np.partition(-products, k - 1, axis=1)[:, k - 1]
+    threshold = floor if first < k else np.maximum(floor, -np.partition(-products, k - 1, axis=1)[:, k - 1])
     rows, columns = np.nonzero((value + error >= threshold[:, None]) & ~own)
     again = np.zeros(value.shape, bool)
     again[np.repeat(np.arange(len(queries)), first), best.ravel()] = True
@@ -106,12 +107,32 @@ def nearest_in(codes: Codes, vectors: np.ndarray, ids: np.ndarray, queries: np.n
     again[own] = False
     rows, columns = np.nonzero(again)
     products = exact(queries, vectors, rows, columns)
-    order = np.lexsort((ids[columns], -products, rows))
+    reach = products >= floor[rows]
+    return best_of(rows[reach], columns[reach], ids[columns[reach]], products[reach], k)
+
+
+def best_of(rows: np.ndarray, columns: np.ndarray, ids: np.ndarray, products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, product) of the k largest products of each row, ties to the smaller id, in this order."""
+    order = np.lexsort((ids, -products, rows))
     rows, columns, products = rows[order], columns[order], products[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
     return rows[place < k], columns[place < k], products[place < k]
 
 
+class Best:
+    """The k nearest so far of the queries of a block; ``floor``: the product that a vector must reach to be among them."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.rows, self.ids, self.products = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, products: np.ndarray) -> None:
+        ids = np.r_[self.ids, ids]
+        self.rows, self.ids, self.products = best_of(np.r_[self.rows, rows], ids, ids, np.r_[self.products, products], self.k)
+        last = np.flatnonzero(np.arange(len(self.rows)) - np.searchsorted(self.rows, self.rows) == self.k - 1)
+        self.floor[self.rows[last]] = self.products[last]
+
+
 def stored_kind(vectors: DataFrame) -> type:
     """The precision in which components are kept: that of the column, which double precision holds exactly."""
     return np.float32 if dict(vectors.dtypes)["v"] == "array<float>" else np.float64
@@ -173,21 +194,31 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, bound: float = BOU
     one = index.select("dim", "block", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
     two = queries.select("dim", "query_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
     pairs = one.hint("merge").join(two.hint("merge"), ["dim", "salt"]).select("block", "query_block")
+    # The last join leaves the rows of a query block together, in one task or, if Spark splits it, a few; each gives out its own best.
     met = pairs.hint("merge").join(index.hint("merge"), "block").hint("merge").join(queries.drop("dim").hint("merge"), "query_block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
+        own, best, query_ids, q = None, Best(0, k), np.zeros(0, np.int64), np.zeros((0, 0))
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(best.rows), own if own is not None else 0)), pa.array(best.rows), pa.array(query_ids[best.rows]), pa.array(best.ids), pa.array(best.products)], names=["block", "place", "query_id", "vec_id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 d = r["dim"]
-                ids, query_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["query_ids"], np.int64)
-                x, q = (np.frombuffer(r[c], kind).astype(np.float64).reshape(-1, d) for c in ("v", "queries"))
+                if r["query_block"] != own:
+                    yield done()
+                    own, query_ids, q = r["query_block"], np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["queries"], kind).astype(np.float64).reshape(-1, d)
+                    best = Best(len(q), k)
+                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["v"], kind).astype(np.float64).reshape(-1, d)
                 codes = Codes(np.frombuffer(r["bits"], np.uint8).reshape(len(ids), -1), *(np.frombuffer(r[c]) for c in ("length", "factor", "at_mean")), d)
                 turn = turns.setdefault(d, rotation(d))
                 for a in range(0, len(q), 256):
-                    row, column, product = nearest_in(codes, x, ids, q[a : a + 256], query_ids[a : a + 256], means[d], turn, k, bound)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), r["query_block"])), pa.array(a + row), pa.array(query_ids[a : a + 256][row]), pa.array(ids[column]), pa.array(product)], names=["block", "place", "query_id", "vec_id", "score"])
+                    row, column, product = nearest_in(codes, x, ids, q[a : a + 256], query_ids[a : a + 256], means[d], turn, k, bound, best.floor[a : a + 256])
+                    best.add(a + row, ids[column], product)
+        yield done()
 
     found = met.mapInArrow(search, "block bigint, place bigint, query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("block", "place").orderBy(F.col("score").desc(), "vec_id"))
