@@ -10,12 +10,12 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsieve.functions.text import canonical_section_key, eval_normalize, given, stripped
+from proofsieve.operators.models import predict
 
 K = 5
 
@@ -308,17 +308,9 @@ def score_samples(samples: DataFrame, metrics: list[str], make: Callable[[], Cal
         words, there = F.array_distinct(content_tokens("actual_output")), F.flatten(F.transform("retrieval_context", content_tokens))
         return rows.select("case_id", "metric", F.when(F.size(words) > 0, F.size(F.array_intersect(words, there)) / F.size(words)).otherwise(0.0).alias("score"), F.lit(None).cast("string").alias("error"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def model() -> Callable[[list], list]:
         judge = make()
-        for frame in frames:
-            scores, errors = [], []
-            for r in frame.to_dict("records"):
-                try:
-                    scores.append(float(judge(r["metric"], r)))
-                    errors.append(None)
-                except Exception as failed:  # a user's judge may fail in any way; the row says so
-                    scores.append(None)
-                    errors.append(str(failed))
-            yield pd.DataFrame({"case_id": frame["case_id"], "metric": frame["metric"], "score": scores, "error": errors})
-
-    return rows.mapInPandas(run, "case_id string, metric string, score double, error string")
+        return lambda batch: [float(judge(sample["metric"], sample)) for sample in batch]
+
+    asked = rows.select("case_id", "metric", F.struct(*rows.columns).alias("sample"))
+    return predict(asked, model, ["sample"], "score", "double").select("case_id", "metric", "score", "error")

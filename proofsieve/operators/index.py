@@ -6,12 +6,12 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import islice
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsieve.functions.text import canonical_section_key, given, section_descriptor, section_pieces, stripped, tokens
+from proofsieve.operators.models import filled, predict
 
 
 def upsert(existing: DataFrame, batch: DataFrame, key: str = "chunk_id", version: str = "version") -> DataFrame:
@@ -189,23 +189,7 @@ def embed_hashed(rows: DataFrame, text: str = "text", dim: int = 64) -> DataFram
 
 
 def embed_with(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "text", batch_size: int = 8) -> DataFrame:
-    """Adds ``embedding`` and ``error`` by a user's model, made once a task and called with batches of texts; a batch that fails has an error and no vectors."""
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "embedding array<float>", "error string"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
-        for frame in frames:
-            vectors, errors = [], []
-            for k in range(0, len(frame), batch_size):
-                part = frame[text].iloc[k : k + batch_size].fillna("").tolist()
-                try:
-                    vectors += model(part)
-                    errors += [None] * len(part)
-                except Exception as failed:  # a user's model may fail in any way; the rows say so
-                    vectors += [None] * len(part)
-                    errors += [str(failed)] * len(part)
-            yield frame.assign(embedding=vectors, error=errors)
-
-    return rows.mapInPandas(run, schema)
+    """Adds ``embedding`` and ``error`` by a user's model, made once a task and called with batches of texts, null ones as empty; a text that fails has an error and no vector."""
+    return predict(rows, lambda: filled(make()), [text], "embedding", "array<float>", batch_size)
 
 

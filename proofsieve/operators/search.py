@@ -7,15 +7,15 @@ filter column is no filter. Chunks have chunk_id, text, ticker, filing_type, sec
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofsieve.functions.terms import SIGNAL_TERMS
 from proofsieve.functions.text import canonical_section_key, given, normalize_python, normalize_token, space_tokens, tokens
+from proofsieve.operators.models import predict
 
 #: So many rows, or bytes, of a table of queries are sent to every task at a time.
 BROADCAST_QUERIES, BROADCAST_BYTES = 10_000, 32 << 20
@@ -247,26 +247,15 @@ def with_texts(rows: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFr
     return rows.hint("merge").join(asked.hint("merge"), "query_id").hint("merge").join(there.hint("merge"), "chunk_id")
 
 
-def rerank(rows: DataFrame, queries: DataFrame, chunks: DataFrame, make: Callable[[], Callable[[list[tuple[str, str]]], list[float]]] | None = None, batch_size: int = 16, most: int = 4000) -> DataFrame:
-    """Adds ``reranker_score`` of (query, text cut to ``most``): by a user's scorer, made once a task, which must return a score for each pair or the job fails; else the overlap."""
+def rerank(rows: DataFrame, queries: DataFrame, chunks: DataFrame, make: Callable[[], Callable[[list[tuple[str, str]]], list[float]]] | None = None, batch_size: int = 16, most: int = 4000, strict: bool = True) -> DataFrame:
+    """Adds ``reranker_score`` of (query, text cut to ``most``): by a user's scorer, made once a task, which must return a score for each pair or the job fails; else the overlap.
+    Without ``strict`` a pair that it fails on has no score, and the column ``error`` says why."""
     both, cut, given_texts = with_texts(rows, queries, chunks), F.substring("__c", 1, most), "__c" in rows.columns
     drop = [] if given_texts else ["__q", "__c", "__section"]
     if make is None:
         return both.withColumn("reranker_score", F.round(overlap_share(F.col("__q"), cut), 9)).drop(*drop)
-
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        scorer = make()
-        for q, c in batches:
-            pairs, out = list(zip(q.fillna(""), c.fillna(""), strict=True)), []
-            for k in range(0, len(pairs), batch_size):
-                got = list(scorer(pairs[k : k + batch_size]))
-                if len(got) != len(pairs[k : k + batch_size]):
-                    raise ValueError("the scorer returned another number of scores than it got pairs")
-                out += got
-            yield pd.Series(out, dtype="float64")
-
-    return both.withColumn("reranker_score", scored("__q", cut)).drop(*drop)
+    pairs = both.withColumns({"__asked": F.coalesce("__q", F.lit("")), "__cut": F.coalesce(cut, F.lit(""))})
+    return predict(pairs, make, ["__asked", "__cut"], "reranker_score", "double", batch_size, strict).drop("__asked", "__cut", *drop, *(["error"] if strict else []))
 
 
 def priors(rows: DataFrame, queries: DataFrame, intent: DataFrame, chunks: DataFrame, use: bool = True) -> DataFrame:

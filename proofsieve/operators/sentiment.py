@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofsieve.functions.text import given, tokens
+from proofsieve.operators.models import filled, predict
 from proofsieve.sources.scratch import written
 
 #: Words of the default scorer; a user's own lists or model replace them.
@@ -29,19 +29,11 @@ def scores_by_words(text: Column | str, positive: list[str] | None = None, negat
 
 
 def classify(rows: DataFrame, text: str = "text", make: Callable[[], Callable[[list[str]], list[dict[str, float]]]] | None = None, batch_size: int = 16) -> DataFrame:
-    """Adds scores, label (the largest, ties by name) and confidence, by a user's model made once a task, else by word lists."""
+    """Adds scores, label (the largest, ties by name), confidence and error, by a user's model made once a task, else by word lists. A text that the model fails on has an error and no label."""
     if make is None:
-        scored = rows.withColumn("scores", scores_by_words(text))
+        scored = rows.withColumns({"scores": scores_by_words(text), "error": F.lit(None).cast("string")})
     else:
-        schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "scores map<string,double>"])
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = make()
-            for frame in frames:
-                texts = frame[text].fillna("").tolist()
-                yield frame.assign(scores=[s for k in range(0, len(texts), batch_size) for s in model(texts[k : k + batch_size])])
-
-        scored = rows.mapInPandas(run, schema)
+        scored = predict(rows, lambda: filled(make()), [text], "scores", "map<string,double>", batch_size)
     best = F.array_sort(F.transform(F.map_entries("scores"), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("k"))))[0]
     return scored.withColumn("label", best["k"]).withColumn("confidence", -best["s"])
 
