@@ -172,11 +172,12 @@ class Digests:
         self.seen: dict[str, tuple[int, str, bytes]] = {}
 
     def __call__(self, texts: list[str]) -> list[pa.Array]:
-        split = [self.codec.pattern.findall(text) for text in texts]
-        new = {word for words in split for word in words if word not in self.seen}
+        once: dict[str, str] = {}  # a pre-token that repeats is one string
+        split = [[once.setdefault(word, word) for word in self.codec.pattern.findall(text)] for text in texts]
+        new = [word for word in once if word not in self.seen]
         if len(self.seen) + len(new) > REMEMBER:
             self.seen.clear()
-            new = {word for words in split for word in words}
+            new = [*once]
         for word, ids in self.codec.encode_words(new).items():
             self.seen[word] = len(ids), " ".join(map(str, ids)), self.codec.decode(ids)
         n, by_ids, by_bytes, all_ids = [], [], [], []

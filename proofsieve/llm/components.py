@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofsieve.llm.shared import stored
+from proofsieve.llm.shared import stored, tidy
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def _contracted(links: DataFrame) -> DataFrame:
             own = node != root
             yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(root[own])], names=["u", "v"])
 
-    return links.select("u", "v").mapInArrow(run, "u bigint, v bigint")
+    return links.select("u", "v").mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def _settled(links: DataFrame) -> bool:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +90,8 @@ def targets(sized: DataFrame) -> DataFrame:
     for r in within.groupBy("part").agg((F.max("own") + 1).alias("n")).orderBy("part").collect():
         starts.append((r.part, before))
         before += r.n
-    starts = F.broadcast(sized.sparkSession.createDataFrame(starts, "part int, start bigint"))  # a row for each partition of the sort
+    # A row for each partition of the sort; as an Arrow table it reaches the JVM without a Python worker, which would stay.
+    starts = F.broadcast(sized.sparkSession.createDataFrame(pa.table({"part": pa.array([x for x, _ in starts], pa.int32()), "start": pa.array([x for _, x in starts], pa.int64())})))
     sources = within.join(starts, "part").select("key", "source_size", ((F.col("own") + F.col("start")) % 3 + 1).cast("double").alias("weight"))
     full = F.col("source_size") * MOST
     level, before = 0.0, -1

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from proofsieve.llm.chunks import pieces, split_by_shard, squeeze, steps, unsqueeze
 from proofsieve.llm.components import components
-from proofsieve.llm.shared import by_bytes, byte_view, small_batches, stored
+from proofsieve.llm.shared import by_bytes, byte_view, small_batches, stored, tidy
 from proofsieve.llm.simhash import near_pairs
 from proofsieve.llm.words import Hasher, joined
 
@@ -99,7 +99,7 @@ def keys(docs: DataFrame) -> DataFrame:
             hashes, n = hashes[n >= OFTEN], n[n >= OFTEN]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(n), part.column(0).type), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.int64()), pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], names=names)
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key bigint, parities array<bigint>, fp bigint, hash bigint, n bigint")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, key bigint, parities array<bigint>, fp bigint, hash bigint, n bigint")
 
 
 def shared_shingles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -158,7 +158,7 @@ def shared_shingles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> D
                 break
         return pa.table({"hash": hashes.view(np.int64), "key": own_keys, "n": n.astype(np.int32), "r": left.astype(np.int32)})
 
-    asked = small_batches(docs.select("text")).mapInArrow(ask, "shard int, data binary")
+    asked = small_batches(docs.select("text")).mapInArrow(tidy(ask), "shard int, data binary")
     return asked.groupBy("shard").applyInArrow(meet, "hash bigint, key bigint, n int, r int")
 
 
@@ -173,7 +173,7 @@ def texts_of(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame
         for part, sets in _batched(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array([key_of(x) for x in sets], pa.int64()), part.column(0)], names=["key", "text"])
 
-    own = small_batches(found.select(F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(run, "key bigint, text string")
+    own = small_batches(found.select(F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(tidy(run), "key bigint, text string")
     return own.groupBy("key").agg(F.first("text").alias("text"))
 
 
@@ -197,7 +197,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("x")), texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
     both = pairs.hint("merge").join(left.hint("merge"), "a").hint("merge").join(right.hint("merge"), "b")
-    return small_batches(both.select("a", "b", "x", "y")).mapInArrow(run, "a bigint, b bigint")
+    return small_batches(both.select("a", "b", "x", "y")).mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:

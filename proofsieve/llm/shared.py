@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,27 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library than glibc
+        return None
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives what it has freed back to the system when a task ends. Python workers outlive their tasks, and what they keep
+    free for later counts against the executor while other stages need it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := _trim():
+            trim(0)
+
+    return tidied
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, with underscores ahead until no column has it in any case."""
     taken = {c.lower() for c in columns}
@@ -118,4 +141,4 @@ def per_text(
                 own = [batch.column(i).slice(start, end - start) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*own, *work(part)], names=[*keep, *(n for n, _ in fields)])
 
-    return small_batches(source).mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(tidy(run), schema)

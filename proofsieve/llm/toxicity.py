@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsieve.llm.shared import by_bytes, byte_view, fresh, small_batches, stored
+from proofsieve.llm.shared import by_bytes, byte_view, fresh, small_batches, stored, tidy
 from proofsieve.llm.words import LETTER, Hasher, ranges
 
 SEED = 4
@@ -75,7 +75,7 @@ def features(docs: DataFrame, key: str, text: str, buckets: int, more: list[str]
                 found = pa.array([terms[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), found, *(c.slice(a, b - a) for c in batch.columns[2:])], names=[key, "terms", *more])
 
-    return small_batches(docs.select(key, text, *more)).mapInArrow(run, schema)
+    return small_batches(docs.select(key, text, *more)).mapInArrow(tidy(run), schema)
 
 
 def shrunk(pull: np.ndarray, squares: np.ndarray, rate: float, force: float) -> np.ndarray:
@@ -213,7 +213,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], name: str = "score
                 out = sigmoid(own.raw(rows[there], terms[there], b - a))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), pa.array(out)], names=[*keep, name])
 
-    return small_batches(source).mapInArrow(run, ", ".join([*(f"`{c}` {dtypes[c]}" for c in keep), f"`{name}` double"]))
+    return small_batches(source).mapInArrow(tidy(run), ", ".join([*(f"`{c}` {dtypes[c]}" for c in keep), f"`{name}` double"]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
