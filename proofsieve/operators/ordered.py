@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from proofsieve.sources.scratch import written
 
 
-def running_sum(rows: DataFrame, value: str, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:
+def running_sum(rows: DataFrame, value: str, order: list[str], name: str, by: list[str] | None = None, ties: bool = False) -> DataFrame:
     """``rows`` with ``name``, the sum of ``value`` over the rows of the same ``by`` up to each row in ``order``, itself included.
 
-    Pass narrow rows and join the rest after. ``order`` should tell rows apart: rows equal in it stand in one range and in any order. Nulls come
-    first, null groups are one group, and null values count as 0.
+    Pass narrow rows and join the rest after. ``order`` should tell rows apart: rows equal in it stand in one range and in any order, or with ``ties``
+    all have the sum up to the last of them. Nulls come first, null groups are one group, and null values count as 0.
     """
     by = by or []
     ranged = written(rows.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()), "ordered")
@@ -26,7 +26,8 @@ def running_sum(rows: DataFrame, value: str, order: list[str], name: str, by: li
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range that a group is in
     before = sums.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__p"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.col("__part") == F.col("__p"))
-    inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*by, "__part").orderBy(*order)
+    inside = own.rangeBetween(Window.unboundedPreceding, 0) if ties else own.rowsBetween(Window.unboundedPreceding, 0)
     both = ranged.hint("merge").join(before.hint("merge"), same)
     total = F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("__before")
     return both.withColumn(name, total).select(*rows.columns, name)

@@ -387,7 +387,7 @@ def error_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS n FROM events")
 def event_rate(spark: SparkSession, d: str) -> DataFrame:
-    e = V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = V.table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     return R.trailing_count(e, "event_type", 86_400).select("event_id", "n")
 
 
