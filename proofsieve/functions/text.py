@@ -34,7 +34,7 @@ def col(x: Column | str) -> Column:
 
 def stripped(x: Column | str) -> Column:
     """Without white space at the ends."""
-    return F.regexp_replace(col(x), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col(x), F.lit(" \t\r\n\f"))
 
 
 def given(x: Column | str) -> Column:
@@ -47,6 +47,18 @@ def once(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(x), f)[0]
 
 
+def runs(ordered: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """Array of f(value, how often it is there) of each distinct value of an ordered array without nulls, in one pass. ``ordered`` should be a column or come through ``once``."""
+    n = F.size(ordered)
+    at = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
+    return once(at, lambda first: F.transform(first, lambda p, k: f(F.get(ordered, p), F.coalesce(F.get(first, k + 1), n) - p)))
+
+
+def counted(ordered: Column) -> Column:
+    """Map of each distinct value of an ordered array without nulls to how often it is there."""
+    return F.map_from_entries(runs(ordered, lambda value, n: F.struct(value.alias("value"), n.alias("n"))))
+
+
 def _looked_up(table: dict[str, str], key: Column) -> Column:
     """The value of a key, or null; by the key's first letter first, so that no list is long."""
     letters = sorted({k[0] for k in table})
@@ -97,20 +109,22 @@ def html_to_text(html: Column | str) -> Column:
 
 
 def marked_sections(text: Column | str) -> Column:
-    """The text with MARK, the section's number and MARK before each heading."""
-    out = F.replace(col(text), F.lit(MARK), F.lit(""))
-    for k, (_, pattern) in enumerate(MARKERS):
-        out = F.regexp_replace(out, f"(?i)({pattern})", f"{MARK}{k}{MARK}$1")
-    return out
+    """The text with MARK before each heading, all headings in one pass."""
+    either = "|".join(f"(?:{pattern})" for _, pattern in MARKERS)
+    return F.regexp_replace(F.replace(col(text), F.lit(MARK), F.lit("")), f"(?i)({either})", f"{MARK}$1")
 
 
 def section_pieces(text: Column | str) -> Column:
-    """Array of (name, content) from each heading to the next, in the order of the text."""
-    parts = F.split(marked_sections(text), MARK)
-    names = F.array(*[F.lit(k) for k, _ in MARKERS])
-    # Before the first heading stands part 0; then a number and a piece take turns.
-    count = ((F.size(parts) - 1) / 2).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.struct(F.element_at(names, F.element_at(parts, 2 * i).cast("int") + 1).alias("name"), F.element_at(parts, 2 * i + 1).alias("content"))))
+    """Array of (name, content) from each heading to the next, in the order of the text. The text is cut once, however many pieces it has."""
+
+    def named(piece: Column) -> Column:
+        name = F.lit(None).cast("string")
+        for key, pattern in reversed(MARKERS):
+            name = F.when(piece.rlike(f"(?i)^(?:{pattern})"), key).otherwise(name)
+        return F.struct(name.alias("name"), piece.alias("content"))
+
+    # Before the first heading stands part 0.
+    return once(F.split(marked_sections(text), MARK), lambda parts: F.when(F.size(parts) > 1, F.transform(F.slice(parts, 2, F.size(parts)), named)))
 
 
 def clean_section_text(text: Column | str) -> Column:
@@ -135,13 +149,17 @@ def normalize_python(text: str) -> str:
 
 def canonical_section_key(name: Column | str) -> Column:
     """The first section one of whose aliases is the normalized name or the start of it, else null."""
-    n, out = normalize_token(name), None
-    for key, aliases in ALIASES.items():
-        hit = F.lit(False)
-        for alias in map(normalize_python, aliases):
-            hit = hit | (n == alias) | F.startswith(n, F.lit(f"{alias} "))
-        out = F.when(hit, key) if out is None else out.when(hit, key)
-    return out
+
+    def first(n: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for key, aliases in reversed(ALIASES.items()):
+            hit = F.lit(False)
+            for alias in map(normalize_python, aliases):
+                hit = hit | (n == alias) | F.startswith(n, F.lit(f"{alias} "))
+            out = F.when(hit, key).otherwise(out)
+        return out
+
+    return once(normalize_token(name), first)
 
 
 def section_slug(name: Column | str) -> Column:

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 
+from proofsieve.functions import text as T
 from proofsieve.operators import runlog as R
 
 
@@ -20,3 +21,17 @@ def test_trailing_count_goes_through_a_window_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "specifiedwindowframe(RangeFrame, -" not in plan and "unboundedpreceding" in plan
     assert R.trailing_count(events.limit(0), "kind", 60).count() == 0
+
+
+def test_a_text_is_cut_into_pieces_once(spark):
+    rows = spark.createDataFrame([(1, "x Item 1. Business a ITEM 1A. risk  factors b Item 7 Management c\x01 item 7a. Quantitative d Item 1 Business"), (2, "none"), (3, None)], "i int, text string")
+    out = rows.select("i", T.section_pieces("text").alias("p"))
+    got = {r.i: r.p and [(x.name, x.content) for x in r.p] for r in out.collect()}
+    assert got[1] == [("business", "Item 1. Business a "), ("risk_factors", "ITEM 1A. risk  factors b "), ("md&a", "Item 7 Management c "), ("market_risk", "item 7a. Quantitative d "), ("business", "Item 1 Business")]
+    assert not got[2] and not got[3]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1  # not again for each piece
+
+
+def test_ends_of_a_text_are_stripped_as_in_sql(spark):
+    texts = [" \t\r\n\fa b\n \n", "a \x85", "\xa0a\xa0", " \n", "", None]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.stripped("t")).collect()] == ["a b", "a \x85", "\xa0a\xa0", "", "", None]
