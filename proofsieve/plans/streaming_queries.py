@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofsieve.plans import views as V
 from proofsieve.plans.evaluation_queries import STATUS
+from proofsieve.sources.scratch import written
 from proofsieve.streaming import streams as Z
 
 QUERIES, SQL = {}, {}
@@ -43,12 +44,12 @@ def stream_sections(spark: SparkSession, d: str) -> DataFrame:
     """Whole filings through sections to chunks, in two arrivals, the log being compacted after each."""
     base = Z.work_dir(spark, "stream-sections")
     filings = V.filings(spark, d).select("ticker", F.lit("10-K").alias("filing_type"), F.col("document_id").alias("filing_date"), "text")
+    made = written(filings, "stream-filings")  # put together once for both arrivals
     for k in range(2):
-        filings.where(F.pmod(F.xxhash64("filing_date"), F.lit(2)) == k).write.mode("append").parquet(f"{base}/in")
+        made.where(F.pmod(F.xxhash64("filing_date"), F.lit(2)) == k).write.mode("append").parquet(f"{base}/in")
         Z.ingest_stream(spark.readStream.schema(filings.schema).parquet(f"{base}/in"), f"{base}/index", f"{base}/checkpoint", sections=True)
         Z.compact(spark, f"{base}/index")
-    made = Z.index_of(spark, f"{base}/index")
-    return made.groupBy(F.col("metadata")["filing_date"].alias("document_id"), "section_key").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
+    return Z.index_of(spark, f"{base}/index").groupBy(F.col("metadata")["filing_date"].alias("document_id"), "section_key").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @query(f"SELECT job_id, status FROM (SELECT user_id AS job_id, {STATUS} AS status, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS n FROM events) WHERE n = 1")

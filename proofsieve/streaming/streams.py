@@ -62,7 +62,7 @@ def _numbers(spark: SparkSession, index: str, kind: str) -> list[int]:
 def index_of(spark: SparkSession, index: str) -> DataFrame:
     """The chunks of a log, of each id those of the last batch that has it; chunk ids follow from the filing, so nothing is entered twice.
 
-    Only the newest base and the batches after it are read.
+    Only the newest base and the batches after it are read; a base alone has each id once already.
     """
     upto = max(_numbers(spark, index, "manifest"), default=-1)
     newer = [n for n in _numbers(spark, index, "batch") if n > upto]
@@ -70,6 +70,8 @@ def index_of(spark: SparkSession, index: str) -> DataFrame:
     if newer:
         rows = spark.read.option("basePath", index).parquet(*[f"{index}/batch={n}" for n in newer])
         parts.append(rows.withColumn("version", F.col("batch").cast("bigint")).drop("batch"))
+    if upto >= 0 and not newer:
+        return parts[0]
     chunks = reduce(DataFrame.unionByName, parts)
     return upsert(chunks.limit(0), chunks)
 
