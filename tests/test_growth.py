@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from proofsieve.functions import text as T
 from proofsieve.operators import runlog as R
+from proofsieve.operators import sentiment as N
 from proofsieve.operators import stored as K
 
 
@@ -38,6 +39,14 @@ def test_ends_of_a_text_are_stripped_as_in_sql(spark):
     assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.stripped("t")).collect()] == ["a b", "a \x85", "\xa0a\xa0", "", "", None]
 
 
+def test_learnt_sentiment_shuffles_no_token(spark):
+    model = N.learn(spark.createDataFrame([("positive", "good up"), ("negative", "bad")], "label string, text string"))
+    out = N.classify_learnt(spark.createDataFrame([(1, "good good bad"), (2, "up"), (2, "up")], "i int, text string"), model, "i")
+    assert {r.i: r.label for r in out.collect()} == {1: "positive", 2: "positive"}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1
+
+
 def test_postings_are_not_shuffled(spark, tmp_path):
     rows = spark.createDataFrame([(f"c{i}", "A", "a b a " + "c " * (i % 3)) for i in range(40)], "chunk_id string, ticker string, text string")
     K.write_postings(rows, str(tmp_path), buckets=2, block=8)
