@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofsieve.functions.text import canonical_section_key, given, section_descriptor, section_pieces, stripped, tokens
+from proofsieve.functions.text import canonical_section_key, counted, given, once, section_descriptor, section_pieces, stripped, tokens
 from proofsieve.operators.models import filled, predict
 
 
@@ -179,13 +179,12 @@ def ingest(existing: DataFrame, batch: DataFrame, replace: bool = False, scope:
 
 def embed_hashed(rows: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
     """Adds ``embedding``: signed counts of hashed tokens, of length 1; empty texts get an empty array."""
-    at = lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")
-    sign = lambda t: F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    placed = F.transform(F.col("__t"), lambda t: F.struct(at(t).alias("at"), sign(t).alias("sign")))
-    sums = F.aggregate(placed, F.array_repeat(F.lit(0.0), dim), lambda acc, p: F.transform(acc, lambda x, i: x + F.when(i == p["at"], p["sign"]).otherwise(0.0)))
+    code = lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int") * 2 + F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)).cast("int")  # noqa: E731  # odd: counts -1
+    sums = once(F.sort_array(F.transform(tokens(text), code)), lambda codes: once(counted(codes), lambda n: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(n[2 * i], F.lit(0)) - F.coalesce(n[2 * i + 1], F.lit(0)))))
+    sums = F.transform(sums, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda s, x: s + x * x))
-    out = rows.withColumn("__t", tokens(text)).withColumn("__v", sums).withColumn("__n", norm)
-    return out.withColumn("embedding", F.when(F.col("__n") > 0, F.transform("__v", lambda x: (x / F.col("__n")).cast("float"))).otherwise(F.array().cast("array<float>"))).drop("__t", "__v", "__n")
+    out = rows.withColumn("__v", sums).withColumn("__n", norm)
+    return out.withColumn("embedding", F.when(F.col("__n") > 0, F.transform("__v", lambda x: (x / F.col("__n")).cast("float"))).otherwise(F.array().cast("array<float>"))).drop("__v", "__n")
 
 
 def embed_with(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "text", batch_size: int = 8) -> DataFrame:

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 
 from proofsieve.functions import text as T
+from proofsieve.operators import index as I
 from proofsieve.operators import runlog as R
 from proofsieve.operators import sentiment as N
 from proofsieve.operators import stored as K
@@ -39,6 +40,11 @@ def test_ends_of_a_text_are_stripped_as_in_sql(spark):
     assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.stripped("t")).collect()] == ["a b", "a \x85", "\xa0a\xa0", "", "", None]
 
 
+def test_embeddings_go_over_tokens_once(spark):
+    plan = I.embed_hashed(spark.createDataFrame([("a b a",)], "text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(transform" not in plan  # a vector made anew for each token
+
+
 def test_learnt_sentiment_shuffles_no_token(spark):
     model = N.learn(spark.createDataFrame([("positive", "good up"), ("negative", "bad")], "label string, text string"))
     out = N.classify_learnt(spark.createDataFrame([(1, "good good bad"), (2, "up"), (2, "up")], "i int, text string"), model, "i")
