@@ -7,8 +7,10 @@ shingles themselves. In any fixed order of all shingles, two sets that similar s
 shingles each; rare shingles go first, so common passages seldom meet. Candidates are left out where the sizes or the
 parities prove that they differ too much, and the others are verified on the whole sets, so no pair is lost and none is wrong.
 
-Equal sets are one class. Where many classes share a shingle they are compared with one of them first, and
-then only pairs that aren't linked already. Shingles are looked up in packed rows from batches of texts to shards of hashes, and only the texts of
+Equal sets are one class. A large group of near copies has pairs with the square of its size, each of them at many shingles, but few
+are needed to connect it. So before shingles meet, each class is compared with a few of those that have the same pick: the set's first hash from
+a fixed point on, the same for two sets as often as they are similar. Where many classes share a shingle they are compared with one of them first,
+and only pairs that aren't linked already are made. Shingles are looked up in packed rows from batches of texts to shards of hashes, and only the texts of
 candidates are shuffled.
 """
 
@@ -40,6 +42,10 @@ PAIRS, FEW = 8, 50
 PARITIES = 512
 #: Bits in which fingerprints that are matched first may differ, and segments of the index.
 BITS, SEGMENTS = 2, 2
+#: Each set picks the first of its hashes from each of so many points on.
+POINTS = np.arange(8, dtype=np.uint64) << np.uint64(61)
+#: So many of the classes that have a pick in common are compared with all of these.
+HEADS = 6
 #: Entries that are packed at a time; so many classes at most are sent to every task to fetch their texts, 16 MB of ids.
 PACKED, SENT = 400_000, 2_000_000
 
@@ -77,6 +83,11 @@ def fingerprint(own: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(own)).view("<i8")[0])
 
 
+def picks(own: np.ndarray) -> np.ndarray:
+    """The distinct hashes of a sorted set that come first from each of the POINTS on, around; hashes are random, so two sets have one of these in common with a chance that is their similarity."""
+    return np.unique(own[np.searchsorted(own, POINTS) % max(1, len(own))]) if len(own) else own
+
+
 def _batched(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     hasher = Hasher(SEED, lower=True)
     for batch in batches:
@@ -86,20 +97,20 @@ def _batched(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20
 
 
 def keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, parities, fp) for each row; and rows with a null key of (hash, n): shingles common in a batch."""
+    """(doc_id, key, n, parities, fp, picks) for each row; and rows with a null key of (hash, n): shingles common in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "key", "parities", "fp", "hash", "n"]
+        names = ["doc_id", "key", "parities", "fp", "picks", "hash", "n"]
         for part, sets in _batched(batches, 1, BATCH):
             own = [key_of(x) for x in sets]
             none = pa.nulls(len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.int64()), pa.array([parities(x) for x in sets], pa.list_(pa.int64())), pa.array([fingerprint(x) for x in sets], pa.int64()), none, pa.array([len(x) for x in sets], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.int64()), pa.array([parities(x) for x in sets], pa.list_(pa.int64())), pa.array([fingerprint(x) for x in sets], pa.int64()), pa.array([picks(x).view(np.int64) for x in sets], pa.list_(pa.int64())), none, pa.array([len(x) for x in sets], pa.int64())], names=names)
             once = dict(zip(own, sets, strict=True)).values()
             hashes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *once]), return_counts=True)
             hashes, n = hashes[n >= OFTEN], n[n >= OFTEN]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), part.column(0).type), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.int64()), pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), part.column(0).type), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.list_(pa.int64())), pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], names=names)
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, key bigint, parities array<bigint>, fp bigint, hash bigint, n bigint")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, key bigint, parities array<bigint>, fp bigint, picks array<bigint>, hash bigint, n bigint")
 
 
 def shared_shingles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -230,6 +241,15 @@ def matched(classes: DataFrame) -> DataFrame:
     return own.union(near.select("key", "n", "key2", "n2"))
 
 
+def picked(classes: DataFrame) -> DataFrame:
+    """(key, n, key2, n2): classes that have a pick in common and may be similar by their sizes, each with at most HEADS of them."""
+    own = classes.select("key", "n", F.explode("picks").alias("pick"))
+    nth = F.row_number().over(Window.partitionBy("pick").orderBy(F.xxhash64("pick", "key"), "key"))
+    heads = own.withColumn("nth", nth).where(F.col("nth") <= HEADS).select(F.col("pick").alias("pick2"), F.col("key").alias("key2"), F.col("n").alias("n2"))
+    met = own.hint("merge").join(heads.hint("merge"), F.expr("pick = pick2 and key <> key2 and 5L * least(n, n2) >= 4L * greatest(n, n2)"))
+    return met.select("key", "n", "key2", "n2")
+
+
 def links(shared: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): pairs of similar keys that connect the same keys as all such pairs do; ``shared`` is (hash, key, n, r)."""
 
@@ -239,7 +259,7 @@ def links(shared: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         return stored(verified(pairs, texts), "near-copies-links")
 
     near = "4L * (n + n2) <= 9L * least(r, r2)"
-    found, turn, fresh_links = similar(matched(classes)), 0, None
+    found, turn, fresh_links = similar(matched(classes).union(picked(classes))), 0, None
     now = shared
     while True:
         groups = components(found, "a", "b")
@@ -277,7 +297,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     named = docs.where("doc_id is not null")
     both = stored(keys(named), "near-copies-keys")
     rows = both.where("key is not null")
-    first = [F.first(c).alias(c) for c in ("n", "parities", "fp")]
+    first = [F.first(c).alias(c) for c in ("n", "parities", "fp", "picks")]
     classes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), *first), "near-copies-classes")
     often = both.where("key is null").groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "hash").limit(COMMON).toArrow()
     hashes, n = often["hash"].to_numpy().view(np.uint64), often["n"].to_numpy()

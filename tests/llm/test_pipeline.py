@@ -98,3 +98,22 @@ def test_near_copies_are_dropped_at_four_fifths(spark):
         assert {tuple(r) for r in near_copies.near_copies(docs).collect()} == {*root.items(), (None, None)}
     finally:
         near_copies.PAIRS = before
+
+
+def test_near_copies_of_a_group_are_connected_without_all_their_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for family in range(6):
+        base = [word() for _ in range(220)]
+        for copy in range(16):
+            other = list(base)
+            for at in rng.sample(range(220), rng.randint(1, 2)):
+                other[at] = word()
+            rows.append((100 * family + copy, " ".join(other)))
+    made, candidates = [], near_copies._candidates
+    monkeypatch.setattr(near_copies, "_candidates", lambda pairs, classes: made.append(pairs.count()) or candidates(pairs, classes))
+    groups = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {tuple(r) for r in groups} == {(i, i // 100 * 100) for i, _ in rows}
+    # All pairs at all the shingles that they share would be 100 for each text.
+    assert made[0] <= len(rows) * (1 + len(near_copies.POINTS) * near_copies.HEADS) and sum(made[1:]) <= len(rows)
