@@ -242,12 +242,15 @@ def matched(classes: DataFrame) -> DataFrame:
 
 
 def picked(classes: DataFrame) -> DataFrame:
-    """(key, n, key2, n2): classes that have a pick in common and may be similar by their sizes, each with at most HEADS of them."""
-    own = classes.select("key", "n", F.explode("picks").alias("pick"))
+    """(key, n, key2, n2): classes that have a pick in common and may be similar by their sizes and parities, each with at most HEADS of them."""
+    rows = classes.select("key", "n", "parities", F.explode("picks").alias("pick"))
     nth = F.row_number().over(Window.partitionBy("pick").orderBy(F.xxhash64("pick", "key"), "key"))
-    heads = own.withColumn("nth", nth).where(F.col("nth") <= HEADS).select(F.col("pick").alias("pick2"), F.col("key").alias("key2"), F.col("n").alias("n2"))
-    met = own.hint("merge").join(heads.hint("merge"), F.expr("pick = pick2 and key <> key2 and 5L * least(n, n2) >= 4L * greatest(n, n2)"))
-    return met.select("key", "n", "key2", "n2")
+    first = rows.select("pick", "key").withColumn("nth", nth).where(F.col("nth") <= HEADS).withColumn("met", F.count("*").over(Window.partitionBy("pick"))).where("met > 1")
+    own = first.select("pick", "key").hint("merge").join(classes.select("key", "n", "parities").hint("merge"), "key")
+    # Written, so that AQE may split a pick that many classes have. Many have one in a common passage, so rows carry their parities here too.
+    heads = stored(own.select(F.col("pick").alias("pick2"), F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("parities").alias("parities2")), "near-copies-heads")
+    near = F.expr("pick = pick2 and key <> key2 and 5L * least(n, n2) >= 4L * greatest(n, n2)") & _close("parities", "parities2", F.col("n") + F.col("n2"))
+    return rows.hint("merge").join(heads.hint("merge"), near).select("key", "n", "key2", "n2")
 
 
 def links(shared: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:

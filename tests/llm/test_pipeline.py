@@ -117,3 +117,19 @@ def test_near_copies_of_a_group_are_connected_without_all_their_pairs(spark, mon
     assert {tuple(r) for r in groups} == {(i, i // 100 * 100) for i, _ in rows}
     # All pairs at all the shingles that they share would be 100 for each text.
     assert made[0] <= len(rows) * (1 + len(near_copies.POINTS) * near_copies.HEADS) and sum(made[1:]) <= len(rows)
+
+
+def test_texts_with_a_common_passage_are_not_paired_at_its_picks(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage, rows = [word() for _ in range(80)], []
+    for k in range(120):
+        own = [word() for _ in range(80)]
+        rows.append((10 * k, " ".join(passage + own)))
+        if k % 10 == 0:
+            rows.append((10 * k + 1, " ".join(passage + own[:-1] + [word()])))
+    made, candidates = [], near_copies._candidates
+    monkeypatch.setattr(near_copies, "_candidates", lambda pairs, classes: made.append(pairs.distinct().count()) or candidates(pairs, classes))
+    groups = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {tuple(r) for r in groups} == {(i, i // 10 * 10) for i, _ in rows}
+    assert sum(made) <= len(rows)
