@@ -170,8 +170,9 @@ def section_aware_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> D
 SCOPE = ["ticker", "filing_type"]
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, scope: list[str] | None = None, k1: float = 1.5, b: float = 0.75, digits: int = 6, split: Callable[[str], Column] = tokens) -> DataFrame:
-    """(query_id, chunk_id, rank, score) by BM25 with smoothed idf, counts per scope (columns of both tables). Chunks without a common term are no hits. ``split`` is the tokenizer.
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, scope: list[str] | None = None, k1: float = 1.5, b: float = 0.75, digits: int = 6, split: Callable[[str], Column] = tokens, pad: bool = False) -> DataFrame:
+    """(query_id, chunk_id, rank, score) by BM25 with smoothed idf, counts per scope (columns of both tables). ``split`` is the tokenizer. Chunks without a common term are no hits;
+    with ``pad`` those of the scope that have text follow at score 0 until there are ``k``.
 
     The corpus is tokenized once. A term's row is dropped where it stands unless it is asked for in its scope, by a hash join with the terms if these are
     few enough to be sent to every task, and only what is left is counted and shuffled; one row without a term tells of each chunk's length.
@@ -190,7 +191,13 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, scope: list[st
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     weighed = post.hint("merge").join(df.hint("merge").join(stats.hint("merge"), scope).hint("merge"), [*scope, "term"]).select(*scope, "term", "chunk_id", weight.alias("w"))
-    scored = asked.hint("merge").join(weighed.hint("merge"), [*scope, "term"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), digits).alias("score"))
+    parts = asked.hint("merge").join(weighed.hint("merge"), [*scope, "term"]).select("query_id", "chunk_id", "w")
+    if pad:
+        # Fewer than k hits leave enough of a scope's first k chunks to fill up with.
+        nth = F.dense_rank().over(Window.partitionBy(*scope).orderBy("chunk_id"))
+        first = corpus.where(given("text").isNotNull()).select(*scope, "chunk_id").withColumn("__n", nth).where(F.col("__n") <= k)
+        parts = parts.union(queries.select("query_id", *scope).hint("merge").join(first.hint("merge"), scope).select("query_id", "chunk_id", F.lit(0.0)))
+    scored = parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), digits).alias("score"))
     return top(scored, k, F.col("score").desc(), "chunk_id").select("query_id", "chunk_id", "rank", "score")
 
 

@@ -171,35 +171,37 @@ def hybrid_fallback(spark: SparkSession, d: str) -> DataFrame:
     return S.hybrid_search(V.queries(spark, d), c).select("query_id", "chunk_id", "rank", "overlap", "fused_rank", "mode")
 
 
-MERGED = f"""{dense_ctes('wq', 'vchunks', 30, 'cosine')}, {bm25_ctes('wq', 'vchunks', 30, SPACED)}, merged AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.chunk_id, b.chunk_id) AS chunk_id, d.rank AS dense_rank, b.rank AS bm25_rank,
+def _merged(pad: bool = False) -> str:
+    return f"""{dense_ctes('wq', 'vchunks', 30, 'cosine')}, {bm25_ctes('wq', 'vchunks', 30, SPACED, pad)}, merged AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.chunk_id, b.chunk_id) AS chunk_id, d.rank AS dense_rank, b.rank AS bm25_rank,
   least(coalesce(d.rank, 10000), coalesce(b.rank, 10000)) AS best_rank, concat_ws(',', CASE WHEN d.rank IS NOT NULL THEN 'dense' END, CASE WHEN b.rank IS NOT NULL THEN 'bm25' END) AS sources
   FROM dense d FULL OUTER JOIN bm25 b ON d.query_id = b.query_id AND d.chunk_id = b.chunk_id)"""
 
 
-@query(f"WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.WORDED}, {MERGED} SELECT * FROM merged")
+@query(f"WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.WORDED}, {_merged()} SELECT * FROM merged")
 def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
     q, c = V.worded_queries(spark, d), V.vector_chunks(spark, d)
     return S.merge_candidates(S.dense_topk(q, c, 30), S.bm25_topk(q, c, 30, split=space_tokens)).withColumn("sources", F.array_join("sources", ","))
 
 
-PRIORS = f"""{MERGED}, {intent_ctes('wq')}, prior AS (SELECT m.*, {SHARE.format(c='c.text[1:4000]')} AS reranker_score, CASE WHEN list_contains(target_sections, c.section_key) THEN 0.2 ELSE 0 END::DOUBLE AS section_prior,
+def _priors(pad: bool = False) -> str:
+    return f"""{_merged(pad)}, {intent_ctes('wq')}, prior AS (SELECT m.*, {SHARE.format(c='c.text[1:4000]')} AS reranker_score, CASE WHEN list_contains(target_sections, c.section_key) THEN 0.2 ELSE 0 END::DOUBLE AS section_prior,
   least(0.15, round(0.03 * len(list_filter(matched_tokens, lambda x: contains({normal('c.text')}, x))), 9))::DOUBLE AS keyword_prior FROM merged m JOIN wq q USING (query_id) JOIN intent USING (query_id) JOIN vchunks c USING (chunk_id))"""
 
 
-@query(f"WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.WORDED}, {PRIORS} SELECT query_id, chunk_id, reranker_score FROM prior")
+@query(f"WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.WORDED}, {_priors()} SELECT query_id, chunk_id, reranker_score FROM prior")
 def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
     q, c = V.worded_queries(spark, d), V.vector_chunks(spark, d)
     return S.rerank(S.merge_candidates(S.dense_topk(q, c, 30), S.bm25_topk(q, c, 30, split=space_tokens)), q, c).select("query_id", "chunk_id", "reranker_score")
 
 
-@query(f"WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.WORDED}, {PRIORS} SELECT query_id, chunk_id, section_prior, keyword_prior FROM prior")
+@query(f"WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.WORDED}, {_priors(pad=True)} SELECT query_id, chunk_id, section_prior, keyword_prior FROM prior")
 def rerank_priors(spark: SparkSession, d: str) -> DataFrame:
     q, c = V.worded_queries(spark, d), V.vector_chunks(spark, d)
-    rows = S.merge_candidates(S.dense_topk(q, c, 30), S.bm25_topk(q, c, 30, split=space_tokens))
+    rows = S.merge_candidates(S.dense_topk(q, c, 30), S.bm25_topk(q, c, 30, split=space_tokens, pad=True))
     return S.priors(rows, q, S.section_intent(q), c).select("query_id", "chunk_id", "section_prior", "keyword_prior")
 
 
-@query(f"""WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.WORDED}, {PRIORS}, final AS (SELECT *, round(reranker_score + section_prior + keyword_prior, 6) AS final_score FROM prior)
+@query(f"""WITH {V.VECTOR_CHUNKS}, {V.QUERIES}, {V.WORDED}, {_priors()}, final AS (SELECT *, round(reranker_score + section_prior + keyword_prior, 6) AS final_score FROM prior)
 SELECT query_id, chunk_id, rank, dense_rank, bm25_rank, final_score, sources FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, best_rank, chunk_id) AS rank FROM final) WHERE rank <= 5""")
 def reranked_search(spark: SparkSession, d: str) -> DataFrame:
     out = S.reranked_search(V.worded_queries(spark, d), V.vector_chunks(spark, d))

@@ -38,12 +38,17 @@ RUNS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 SPACED = r"list_filter(regexp_split_to_array({}, '[ \t\r\n\f]+'), lambda x: x <> '')"
 
 
-def bm25_ctes(queries: str, chunks: str, k: int, split: str = RUNS) -> str:
+def bm25_ctes(queries: str, chunks: str, k: int, split: str = RUNS, pad: bool = False) -> str:
+    """``pad``: chunks with text that share no term with the query are hits of score 0."""
+    found = """SELECT a.query_id, p.chunk_id, round(sum(ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / s.avgdl))), 6) AS score
+   FROM bask a JOIN bpost p ON a.ticker = p.ticker AND a.term = p.term JOIN bdf f ON f.ticker = p.ticker AND f.term = p.term JOIN bstat s ON s.ticker = p.ticker GROUP BY 1, 2"""
+    if pad:
+        found = rf"""SELECT query_id, chunk_id, max(score) AS score FROM ({found}
+   UNION ALL SELECT q.query_id, c.chunk_id, 0 FROM {queries} q JOIN {chunks} c ON q.ticker = c.ticker WHERE regexp_matches(c.text, '[^ \t\r\n\f]')) GROUP BY 1, 2"""
     return f"""btok AS (SELECT ticker, chunk_id, {split.format('text')} AS t FROM {chunks}),
 bstat AS (SELECT ticker, count(*) AS n, avg(len(t)) AS avgdl FROM btok GROUP BY 1),
 bpost AS (SELECT ticker, chunk_id, term, dl, count(*) AS tf FROM (SELECT ticker, chunk_id, len(t) AS dl, unnest(t) AS term FROM btok) GROUP BY 1, 2, 3, 4),
 bdf AS (SELECT ticker, term, count(*) AS df FROM bpost GROUP BY 1, 2),
 bask AS (SELECT query_id, ticker, unnest(list_distinct({split.format('text')})) AS term FROM {queries}),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM
-  (SELECT a.query_id, p.chunk_id, round(sum(ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / s.avgdl))), 6) AS score
-   FROM bask a JOIN bpost p ON a.ticker = p.ticker AND a.term = p.term JOIN bdf f ON f.ticker = p.ticker AND f.term = p.term JOIN bstat s ON s.ticker = p.ticker GROUP BY 1, 2)) WHERE rank <= {k})"""
+  ({found})) WHERE rank <= {k})"""
